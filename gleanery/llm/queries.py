@@ -9,14 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from ._shared import table
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the queries; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_llr import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_automaton import digests, encode_texts
+
+    return digests(encode_texts(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op8_bpe_codec, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
