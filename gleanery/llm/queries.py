@@ -22,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digests, find_secrets
+
+    return digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_automaton import digests, encode_texts
 
@@ -34,9 +40,17 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import NearConfig, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), NearConfig(shingle=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op8_bpe_codec, op9_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_secret_ledger, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import secrets
+
+    return {"op4_secret_ledger": secrets.oracle()}
