@@ -22,6 +22,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity_mil import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digests, find_secrets
 
@@ -47,7 +53,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_secret_ledger, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_secret_ledger, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -90,14 +90,20 @@ class Chunk:
         return np.concatenate(([0], np.cumsum(self.counts)))
 
     @cached_property
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word, from all its bytes."""
-        starts, ends = self.spans
+    def _running(self) -> np.ndarray:
         n = len(self.data)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=total[1:])
-        own = (total[ends] - total[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
-        return mix64(own)
+        return total
+
+    def hash_spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64 bits for each span, from all its bytes."""
+        return mix64((self._running[ends] - self._running[starts]) * _power_table(_BASE_INVERSE, len(self.data) + 1)[starts])
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """64 bits for each word."""
+        return self.hash_spans(*self.spans)
 
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Per-text totals of a per-byte mask."""
