@@ -18,9 +18,9 @@ the token's right part), and arcs that a merge laid beside an arc before that
 arc went remain (the arc beside which ``w`` was laid is its left part).  Where
 ``u`` is ``v``, the copy has lost the very arc beside which ``w`` would lie.
 
-Encoding walks the positions of a pre-split word.  Since each prefix has one
-path, each position has at most one last arc, and a word takes time linear in
-its length.  Decoding emits the arcs' labels.
+Encoding follows the one path through a pre-split word, longer arcs first.
+Since each prefix has one path, no position is left twice, and a word takes
+time linear in its length.  Decoding emits the arcs' labels.
 
 Edge cases: null and empty texts have no ids and decode to the empty text.
 Text equal to an added token's content becomes that token's id, as in the
@@ -69,6 +69,9 @@ class Automaton:
     lacks: dict[int, int]
     trie: dict[int, int] = field(default_factory=dict)
     accepts: list[int] = field(default_factory=list)
+    #: For each token: the longest other token that it starts with (-1: none), and its bytes.
+    shorter: list[int] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
     #: Merges whose arc was gone already.
     idle: int = 0
 
@@ -88,32 +91,45 @@ class Automaton:
         return True
 
     def word(self, text: bytes, arcs: dict[int, bool]) -> list[int]:
-        n, trie, accepts = len(text), self.trie, self.accepts
-        last: list[int] = [-1] * (n + 1)
-        for i in range(n):
-            state = last[i]
-            if state < 0 and i:
-                continue
-            node = 0
-            for j in range(i, n):
-                node = trie.get(node << 8 | text[j], -1)
-                if node < 0:
+        """The tokens of the one path that spells ``text``.
+
+        Longer arcs are tried first.  No position has two paths, so one from
+        which the end cannot be reached is never entered again.
+        """
+        n, trie, accepts, shorter, sizes = len(text), self.trie, self.accepts, self.shorter, self.sizes
+        out: list[int] = []
+        closed: set[int] = set()
+        at, state = 0, -1
+        while at < n:
+            arc, node = -1, 0
+            for j in range(at, n):
+                node = trie.get(node << 8 | text[j])
+                if node is None:
                     break
-                arc = accepts[node]
-                if arc >= 0:
-                    if i:
-                        key = state << 20 | arc
-                        there = arcs.get(key)
-                        if there is None:
-                            there = arcs[key] = self.has_arc(state, arc)
-                        if not there:
-                            continue
-                    last[j + 1] = arc
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.labels[last[n]])
-        return out[::-1]
+                if accepts[node] >= 0:
+                    arc = accepts[node]
+            while True:
+                if arc < 0:  # nothing leads on from here: step back
+                    closed.add(at)
+                    arc = out.pop()
+                    at -= sizes[arc]
+                    state = out[-1] if out else -1
+                    arc = shorter[arc]
+                    continue
+                if at + sizes[arc] not in closed:
+                    if state < 0:
+                        break
+                    key = state << 20 | arc
+                    there = arcs.get(key)
+                    if there is None:
+                        there = arcs[key] = self.has_arc(state, arc)
+                    if there:
+                        break
+                arc = shorter[arc]
+            out.append(arc)
+            at += sizes[arc]
+            state = arc
+        return out
 
 
 def compile_merges(tokenizer_json: str) -> Automaton:
@@ -149,6 +165,14 @@ def compile_merges(tokenizer_json: str) -> Automaton:
                 a.accepts.append(-1)
             node = nxt
         a.accepts[node] = i
+    a.sizes = [len(x) for x in labels]
+    a.shorter = [-1] * size
+    for i in live:
+        node = 0
+        for b in labels[i][:-1]:
+            node = a.trie[node << 8 | b]
+            if a.accepts[node] >= 0:
+                a.shorter[i] = a.accepts[node]
     return a
 
 
