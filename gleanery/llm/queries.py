@@ -34,6 +34,18 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cws import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    return place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_automaton import digests, encode_texts
 
@@ -53,7 +65,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_secret_ledger, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_secret_ledger, op6_weighted_fingerprints, op7_shard_placement, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
