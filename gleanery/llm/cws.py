@@ -55,15 +55,12 @@ def uniform(*parts: Column) -> Column:
 
 def draws(spark: SparkSession, config: SamplingConfig) -> DataFrame:
     """``(cell, d)``: for each sample, in turn, ``r``, ``b`` and ``ln c``."""
-    cell, seed = F.col("cell"), F.lit(config.seed)
-
-    def gamma2(i: int, which: int) -> Column:  # the sum of two exponential draws
-        return -F.ln(uniform(seed, cell, F.lit(i), F.lit(which)) * uniform(seed, cell, F.lit(i), F.lit(which + 1)))
-
-    parts = []
-    for i in range(config.samples):
-        parts += [gamma2(i, 0), uniform(seed, cell, F.lit(i), F.lit(2)), F.ln(gamma2(i, 3))]
-    return spark.range(config.buckets).select(F.col("id").cast("int").alias("cell")).select("cell", F.array(*[p.cast("float") for p in parts]).alias("d"))
+    one = spark.range(config.buckets * config.samples).select(F.floor(F.col("id") / config.samples).cast("int").alias("cell"), (F.col("id") % config.samples).cast("int").alias("i"))
+    draw = lambda which: uniform(F.lit(config.seed), F.col("cell"), F.col("i"), F.lit(which))
+    gamma2 = lambda which: -F.ln(draw(which) * draw(which + 1))  # noqa: E731  the sum of two exponential draws
+    each = one.select("cell", F.struct("i", gamma2(0).cast("float").alias("r"), draw(2).cast("float").alias("b"), F.ln(gamma2(3)).cast("float").alias("c")).alias("v"))
+    rows = each.groupBy("cell").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    return rows.select("cell", F.flatten(F.transform("v", lambda v: F.array(v["r"], v["b"], v["c"]))).alias("d"))
 
 
 def words(text: Column) -> Column:
