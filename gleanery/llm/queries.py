@@ -28,6 +28,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixture_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import document_rates
+
+    return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digests, find_secrets
 
@@ -65,7 +71,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op4_secret_ledger, op6_weighted_fingerprints, op7_shard_placement, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_mixture_rates, op4_secret_ledger, op6_weighted_fingerprints, op7_shard_placement, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
