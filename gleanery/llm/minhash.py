@@ -44,6 +44,9 @@ from .textkernel import Chunk, chunks, mix64
 MISS = 1e-6
 #: Rounds with other pivots before members are compared one by one.
 PIVOT_ROUNDS = 2
+#: Texts and elements in one part of a large group.
+PART_TEXTS = 128
+PART_ELEMENTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -145,6 +148,46 @@ def full_sets(docs: DataFrame, ids: DataFrame, config: NearConfig) -> DataFrame:
     return texts.mapInArrow(run, "id long, elements array<long>")
 
 
+class _Part:
+    """Members of a group, from an Arrow list of (rep, component, minor, codes)."""
+
+    def __init__(self, rows: pa.StructArray):
+        self.rep = rows.field("rep").to_numpy(zero_copy_only=False)
+        self.component = rows.field("component").to_numpy(zero_copy_only=False)
+        self.minor = rows.field("minor").to_numpy(zero_copy_only=False).astype(bool)
+        codes = rows.field("codes")
+        self.sizes = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.codes = codes.flatten().to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(self.rep)), self.sizes)
+
+
+def shared_counts(x: _Part, y: _Part) -> np.ndarray:
+    """Sizes of all intersections between two parts' sets."""
+    both = np.intersect1d(x.codes, y.codes)
+    out = np.zeros((len(x.rep), len(y.rep)), np.float32)
+    for at in range(0, len(both), 8192):
+        some = both[at : at + 8192]
+        grids = []
+        for p in (x, y):
+            place = np.minimum(np.searchsorted(some, p.codes), len(some) - 1)
+            hit = some[place] == p.codes
+            grid = np.zeros((len(p.rep), len(some)), np.float32)
+            grid[p.owner[hit], place[hit]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def compare_parts(x: _Part, y: _Part, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that reach the threshold, across components; two outside the largest one come up once."""
+    both = shared_counts(x, y)
+    reach = 100 * both >= percent * (x.sizes[:, None] + y.sizes[None, :] - both)
+    reach &= x.component[:, None] != y.component[None, :]
+    reach &= ~y.minor[None, :] | (x.rep[:, None] < y.rep[None, :])
+    i, j = np.nonzero(reach)
+    return x.rep[i], y.rep[j]
+
+
 class _Linker:
     """Finds the links among classes that share a bucket."""
 
@@ -193,23 +236,30 @@ class _Linker:
         alone = over.join(c.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("over").alias("component"))
         self.components = self.scratch.put(known.union(alone), f"merged-{name}")
 
-    def open_members(self, name: str) -> tuple[DataFrame, DataFrame] | None:
-        """Members, with components, of buckets that hold several components; and those outside the largest."""
-        named = self.members.select("key", "rep", "n").join(self.components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        named = self.scratch.put(named, f"named-{name}")
-        counts = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-        largest = counts.groupBy("key").agg(F.count("*").alias("several"), F.max_by("component", F.struct("c", F.negative("component"))).alias("largest")).where("several > 1")
-        open_ = self.scratch.put(named.join(largest.select("key", "largest"), "key"), f"open-{name}")
-        return None if open_.isEmpty() else (open_, open_.where("component <> largest"))
+    def named(self, group: str, name: str) -> DataFrame | None:
+        """Members of the groups that hold several components: ``(g, rep, n, component, largest, texts, elements)``.
+
+        A group is a bucket (``group`` is "key"), or what shares a bucket with one pivot ("pivot").
+        """
+        rows = self.members.select(F.col(group).alias("g"), "rep", "n").distinct()
+        rows = rows.join(self.components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        rows = self.scratch.put(rows, f"named-{name}")
+        counts = rows.groupBy("g", "component").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
+        groups = counts.groupBy("g").agg(F.count("*").alias("several"), F.max_by("component", F.struct("c", F.negative("component"))).alias("largest"), F.sum("c").alias("texts"), F.sum("e").alias("elements"))
+        # Written, so that the join reads both sides from exchanges and can split a large group.
+        groups = self.scratch.put(groups.where("several > 1").drop("several"), f"groups-{name}")
+        return None if groups.isEmpty() else rows.join(groups, "g")
 
     def other_pivots(self, name: str) -> bool:
-        found = self.open_members(name)
+        """Compares members outside their bucket's largest component with another of its members."""
+        found = self.named("key", name)
         if found is None:
             return False
-        members, minor = found
-        order = F.xxhash64("rep", "key", F.lit(name))
-        pivots = members.where("component = largest").groupBy("key").agg(F.min_by("rep", order).alias("pivot"), F.min_by("n", order).alias("pivot_n"))
-        pairs = minor.join(pivots, "key").where(self.sizes_fit("n", "pivot_n")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+        members = self.scratch.put(found.select("g", "rep", "n", "component", "largest"), f"open-{name}")
+        order = F.xxhash64("rep", "g", F.lit(name))
+        pivots = members.where("component = largest").groupBy("g").agg(F.min_by("rep", order).alias("pivot"), F.min_by("n", order).alias("pivot_n"))
+        pivots = self.scratch.put(pivots, f"others-{name}")
+        pairs = members.where("component <> largest").join(pivots, "g").where(self.sizes_fit("n", "pivot_n")).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         links = self.confirm(pairs, name)
         if links.isEmpty():
             return False
@@ -217,18 +267,37 @@ class _Linker:
         return True
 
     def the_rest(self) -> None:
-        """Compares every open member with all members of other components in its buckets."""
-        found = self.open_members("rest")
+        """Compares every member outside its group's largest component with the group's members in other components.
+
+        The members of a group are packed into parts of bounded size, and the
+        parts compared two by two: a row for two parts, and one for each link,
+        are all that comes of a group, and no task holds more than two parts.
+        Elements are cut to 32 bits there, which can only add to what two sets
+        share; what passes is confirmed on the full sets.
+        """
+        found = self.named("pivot", "rest")
         if found is None:
             return
-        members, minor = found
-        bands = self.classes.select("rep", "bands")
-        # With the bands at hand, a pair comes up in the first bucket that it shares only.
-        x = minor.join(bands, "rep").select("key", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("bands").alias("xb"))
-        y = members.join(bands, "rep").select("key", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("component").alias("yl"), F.col("largest").alias("big"), F.col("bands").alias("yb"))
-        first = F.element_at(F.array_intersect("xb", "yb"), 1) == F.col("key")
-        pairs = x.join(y, "key").where((F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("big")) | (F.col("x") < F.col("y"))) & self.sizes_fit("xn", "yn") & first)
-        self.merge(self.confirm(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "rest"), "rest")
+        codes = self.sets.select(F.col("id").alias("rep"), F.transform("elements", lambda e: (e % 2147483647).cast("int")).alias("codes"))
+        parts = lambda t, e: F.greatest(F.ceil(t / PART_TEXTS), F.ceil(e / PART_ELEMENTS)).cast("int")
+        # A group of two was compared when its pivot was.
+        rows = found.where("texts > 2").withColumn("parts", parts(F.col("texts"), F.col("elements")))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("minor", F.col("component") != F.col("largest"))
+        rows = rows.join(codes, "rep").select("g", "part", "parts", "minor", F.struct("rep", "component", "minor", "codes").alias("one"))
+        pack = lambda df: df.groupBy("g", "part", "parts").agg(F.collect_list("one").alias("all"))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        x = pack(rows.where("minor")).select("g", F.col("part").alias("i"), F.explode(every).alias("j"), F.col("all").alias("x"))
+        y = pack(rows).select("g", F.col("part").alias("j"), F.explode(every).alias("i"), F.col("all").alias("y"))
+        percent = self.config.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in range(b.num_rows):
+                    left, right = compare_parts(_Part(b.column(0)[k].values), _Part(b.column(1)[k].values), percent)
+                    if len(left):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], names=["a", "b"])
+
+        self.merge(self.confirm(x.join(y, ["g", "i", "j"]).select("x", "y").mapInArrow(run, "a long, b long"), "rest"), "rest")
 
     def run(self) -> DataFrame:
         """``(id, component)`` of the classes with links."""
