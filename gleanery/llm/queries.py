@@ -40,6 +40,12 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rangecoder import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cws import fingerprint_edits
 
@@ -71,7 +77,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_mixture_rates, op4_secret_ledger, op6_weighted_fingerprints, op7_shard_placement, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_mixture_rates, op4_secret_ledger, op5_range_coded_ids, op6_weighted_fingerprints, op7_shard_placement, op8_bpe_codec, op9_token_counts, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
