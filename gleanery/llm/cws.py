@@ -9,9 +9,10 @@ in a sample with a probability of their generalised Jaccard similarity, the
 sum of the lesser weights over the sum of the greater.
 
 Terms are hashed into ``buckets`` cells.  The draws of all cells form a table
-of fixed size that is broadcast, so that no logarithm is taken per word.  A
-sample is one 64-bit number with the rank in its upper bits, and a document's
-fingerprint is the column-wise minimum over its terms.
+of fixed size that is broadcast, so that no logarithm is taken per word and
+sample.  A rank is a function of (term, t) with a continuous distribution, so
+the least rank itself stands for the pair, and a document's fingerprint is the
+column-wise minimum over its terms.
 
 The table's one large shuffle brings neighbours in id order together: ids are
 cut into ranges of about equal numbers, each range holds its documents and the
@@ -54,11 +55,12 @@ def uniform(*parts: Column) -> Column:
 
 
 def draws(spark: SparkSession, config: SamplingConfig) -> DataFrame:
-    """``(cell, d)``: for each sample, in turn, ``r``, ``b`` and ``ln c``."""
+    """``(cell, d)``: for each sample, in turn, ``r``, ``b`` and ``ln c - r (1 - b)``, the rank at ``t = 0``."""
     one = spark.range(config.buckets * config.samples).select(F.floor(F.col("id") / config.samples).cast("int").alias("cell"), (F.col("id") % config.samples).cast("int").alias("i"))
     draw = lambda which: uniform(F.lit(config.seed), F.col("cell"), F.col("i"), F.lit(which))
     gamma2 = lambda which: -F.ln(draw(which) * draw(which + 1))  # noqa: E731  the sum of two exponential draws
-    each = one.select("cell", F.struct("i", gamma2(0).cast("float").alias("r"), draw(2).cast("float").alias("b"), F.ln(gamma2(3)).cast("float").alias("c")).alias("v"))
+    drawn = one.select("cell", "i", gamma2(0).alias("r"), draw(2).alias("b"), F.ln(gamma2(3)).alias("c"))
+    each = drawn.select("cell", F.struct("i", F.col("r").cast("float").alias("r"), F.col("b").cast("float").alias("b"), (F.col("c") - F.col("r") * (1 - F.col("b"))).cast("float").alias("c")).alias("v"))
     rows = each.groupBy("cell").agg(F.array_sort(F.collect_list("v")).alias("v"))
     return rows.select("cell", F.flatten(F.transform("v", lambda v: F.array(v["r"], v["b"], v["c"]))).alias("d"))
 
@@ -72,22 +74,15 @@ def words(text: Column) -> Column:
 def fingerprints(terms: DataFrame, keys: list[str], config: SamplingConfig) -> DataFrame:
     """From ``(keys..., cell, w)``, with a null cell for texts as such, to ``(keys..., s)``: an array of samples.
 
-    ``s`` holds, per sample, what identifies (term, t), and nulls for the empty set.
+    ``s`` holds, per sample, the least rank, and nulls for the empty set.
     """
-    spark = terms.sparkSession
-    joined = terms.join(F.broadcast(draws(spark, config)), "cell", "left")
-    log = F.ln(F.col("w").cast("double"))
+    joined = terms.select(*keys, "cell", F.ln(F.col("w").cast("double")).alias("log")).join(F.broadcast(draws(terms.sparkSession, config)), "cell", "left")
     columns = []
     for i in range(config.samples):
-        r, b, c = (F.col("d")[3 * i + k].cast("double") for k in range(3))
-        t = F.floor(log / r + b)
-        rank = c - r * (t - b + 1)
-        # Ranks lie within +-64 but for draws rarer than 2**-60; 33 bits of rank, then 30 that identify the sample.
-        high = F.floor((F.greatest(F.least(rank, F.lit(63.99)), F.lit(-64.0)) + 64) * float(1 << 26))
-        low = F.pmod(F.xxhash64("cell", t), F.lit(1 << 30))
-        columns.append(F.min(F.shiftleft(high, 30) + low).alias(f"s{i}"))
+        r, b, c = (F.get("d", F.lit(3 * i + k)) for k in range(3))
+        columns.append(F.min(c - r * F.floor(F.col("log") / r + b)).alias(f"s{i}"))
     mins = joined.groupBy(*keys).agg(*columns)
-    return mins.select(*keys, F.array(*[F.col(f"s{i}").bitwiseAND(F.lit((1 << 30) - 1)) for i in range(config.samples)]).alias("s"))
+    return mins.select(*keys, F.array(*[F.col(f"s{i}") for i in range(config.samples)]).alias("s"))
 
 
 def likeness(x: str, y: str, samples: int) -> Column:
