@@ -83,5 +83,16 @@ def append_struct(docs: DataFrame, text: str, name: str, fields: T.StructType, k
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, fields)]))
 
 
-def utf8_sha256(column) -> F.Column:
-    return F.sha2(column, 256)
+#: The most ids that are broadcast: 16 MB of them.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, key: str, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not among the single column of ``gone``.
+
+    The ids are counted first: few are broadcast, more are hashed and shuffled with the rows.
+    """
+    name = fresh(docs, "_gone")
+    ids = scratch.put(gone.toDF(name).where(F.col(name).isNotNull()).distinct(), "gone")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col(key) == F.col(name), "left_anti")

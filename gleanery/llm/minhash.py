@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, without_ids
 from .components import connected_components
 from .textkernel import Chunk, chunks, mix64
 
@@ -324,5 +324,5 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """The rows of ``docs``, with their columns, but for those that are near copies of a kept one."""
-    gone = near_duplicates(docs, config).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, config).where("not kept").select("doc_id")
+    return without_ids(docs, "doc_id", gone, Scratch(docs.sparkSession))

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Scratch
+from ._shared import Scratch, without_ids
 
 #: Domains and the condition on ``labels``; the first that holds counts.
 DOMAINS = {"toxic": "toxic = 1", "clean": "quality = 1", "low": "quality = 0"}
@@ -92,7 +92,9 @@ def posteriors(docs: DataFrame, labels: DataFrame, config: MixConfig, scratch: S
     """``(doc_id, n_tokens, copies, p0, p1, ...)``; ``copies`` are rows with the same id and text."""
     table, priors = classifier(docs, labels, config, scratch)
     n = len(DOMAINS)
-    each = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.concat(_words("text"), F.array(F.lit(None).cast("string")))).alias("word")).where("word is null or word <> ''")
+    # The text's hash is taken below the explode, once a text.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), F.concat(_words("text"), F.array(F.lit(None).cast("string"))).alias("words"))
+    each = texts.select("doc_id", "h", F.explode("words").alias("word")).where("word is null or word <> ''")
     keyed = each.select("doc_id", "h", F.when(F.col("word").isNotNull(), _cell("word", config)).alias("cell"))
     joined = keyed.join(F.broadcast(scratch.put(table, "likelihoods")), "cell", "left")  # one row a cell
     sums = joined.groupBy("doc_id", "h").agg(F.count("cell").alias("words"), F.sum(F.when(F.col("cell").isNull(), 1).otherwise(0)).alias("copies"), *[F.sum(f"l{k}").alias(f"s{k}") for k in range(n)])
@@ -179,5 +181,5 @@ def mix(docs: DataFrame, labels: DataFrame, config: MixConfig) -> DataFrame:
     A rate of 1 or more keeps the document, once.  Rows with a null id stay.
     """
     rates = document_rates(docs, labels, config)
-    gone = rates.where((F.col("rate") < 1) & (draw("doc_id", config.seed) >= F.col("rate"))).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = rates.where((F.col("rate") < 1) & (draw("doc_id", config.seed) >= F.col("rate"))).select("doc_id")
+    return without_ids(docs, "doc_id", gone, Scratch(docs.sparkSession))
