@@ -1,0 +1 @@
+"""Data-quality auditing of training sets, as Spark plans."""

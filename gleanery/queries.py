@@ -1,15 +1,406 @@
-"""Registered queries of the audit engine and their SQL twins."""
+"""Registered queries of the audit engine and their SQL twins.
+
+The tables hold no photos, so the operators run on what stands in for them:
+``embeddings`` as vectors and as 8 x 8 rasters, ``events`` as shots of cameras,
+``documents`` and ``pages`` as file contents, ``lineitem`` as labels, ``orders``
+as stored objects.  Every query reads its tables whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .config import DEFAULT, AuditConfig
+from .functions import boxes as bx
+from .functions import markers as mk
+from .functions import names as nm
+from .functions import rasters as rs
+from .functions import vectors as vec
+from .operators import bursts, control, evaluation, findings, labels, overlay, pairs, shift, templates
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+OFFSET = 1_000_000
+
 
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, v, label)``."""
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), vec.doubles(F.col("embedding")).alias("v"), "label")
+
+
+def copies(v: DataFrame) -> DataFrame:
+    """Every tenth vector with its last three components negated."""
+    return v.where("id % 10 = 0").select((F.col("id") + OFFSET).alias("id"), evaluation.edited(F.col("v"), F.lit("negated_tail")).alias("v"), "label")
+
+
+def hashed(v: DataFrame) -> DataFrame:
+    return v.select("id", rs.mean_hash(F.col("v")).alias("hash"))
+
+
+# The tables' vectors in SQL: v(id, v, label), c (the planted copies), h(id, b) (lists of hash bits).
+_V = """v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+c AS (SELECT id + 1000000 AS id, list_concat(v[1:61], [-x for x in v[62:64]]) AS v, label FROM v WHERE id % 10 = 0),
+"""
+_V = _V.replace("v[1:61]", "v[1:len(v)-3]").replace("v[62:64]", "v[len(v)-2:len(v)]")
+_H = "(SELECT id, [CASE WHEN x >= list_sum(v) / len(v) THEN 1 ELSE 0 END for x in v] AS b FROM {})"
+_DIST = "CAST(list_sum([abs(z[1] - z[2]) for z in list_zip(x.b, y.b)]) AS INTEGER)"
+
+
+@register(f"WITH {_V} a AS (SELECT * FROM v UNION ALL SELECT * FROM c), h AS {_H.format('a')} SELECT x.id AS a, y.id AS b, {_DIST} AS distance FROM h x JOIN h y ON x.id < y.id WHERE {_DIST} <= 5")
+def hash_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return pairs.hamming_join(hashed(v.union(copies(v))), None, DEFAULT.hash_distance)
+
+
+@register(f"WITH {_V} hv AS {_H.format('v')}, hc AS {_H.format('c')} SELECT x.id AS a, y.id AS b, {_DIST} AS distance FROM hv x JOIN hc y ON true WHERE {_DIST} <= 5")
+def hash_leak_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return pairs.hamming_join(hashed(v), hashed(copies(v)), DEFAULT.hash_distance)
+
+
+_COS = "list_inner_product(x.v, y.v)"
+
+
+@register(f"WITH {_V} q AS (SELECT 1) SELECT x.id AS a, y.id AS b, round({_COS}, 4) AS similarity FROM v x JOIN v y ON x.id < y.id WHERE {_COS} >= 0.4")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.cosine_join(vectors(spark, sf_dir), None, 0.4).withColumn("similarity", F.round("similarity", 4))
+
+
+@register(f"WITH {_V} q AS (SELECT 1) SELECT x.id AS a, y.id AS b, round({_COS}, 4) AS similarity FROM v x JOIN c y ON true WHERE {_COS} >= 0.4")
+def cosine_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return pairs.cosine_join(v, copies(v), 0.4).withColumn("similarity", F.round("similarity", 4))
+
+
+@register(f"""WITH {_V} a AS (SELECT * FROM v UNION ALL SELECT * FROM c), h AS (SELECT x.id, x.v, y.b FROM a x JOIN {_H.format('a')} y USING (id))
+SELECT x.id AS a, y.id AS b, round({_COS}, 4) AS similarity FROM h x JOIN h y ON x.id < y.id WHERE {_COS} >= 0.4 AND {_DIST} > 5""")
+def similar_minus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    both = v.union(copies(v))
+    near = pairs.cosine_join(both, None, 0.4)
+    return pairs.minus_pairs(near, pairs.hamming_join(hashed(both), None, DEFAULT.hash_distance)).withColumn("similarity", F.round("similarity", 4))
+
+
+@register(f"""WITH {_V} a AS (SELECT * FROM v UNION ALL SELECT * FROM c), h AS (SELECT x.id, x.v, y.b FROM a x JOIN {_H.format('a')} y USING (id)),
+p AS (SELECT x.id AS a, y.id AS b, {_DIST} AS distance, {_COS} AS s FROM h x JOIN h y ON x.id < y.id WHERE {_DIST} <= 5)
+SELECT a, b, distance FROM p WHERE (s >= 0.85 AND NOT (a % 30 = 0)) OR (a + b) % 16 >= 8""")
+def confirm_hash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    both = v.union(copies(v))
+    found = pairs.hamming_join(hashed(both), None, DEFAULT.hash_distance)
+    va, vb = both.select(F.col("id").alias("a"), F.col("v").alias("va")), both.select(F.col("id").alias("b"), F.col("v").alias("vb"))
+    sims = found.join(va, "a").join(vb, "b").select("a", "b", vec.dot(F.col("va"), F.col("vb")).alias("similarity"))
+    points = found.select("a", "b", ((F.col("a") + F.col("b")) % 16).alias("points"), (F.col("a") % 30 == 0).alias("fixed_camera"))
+    return pairs.confirm_hash_pairs(found, sims, points, DEFAULT.confirm_similarity, DEFAULT.confirm_points)
+
+
+# -- capture bursts ---------------------------------------------------------------------------------------------------
+
+_RUNS = """t AS (SELECT user_id AS camera, epoch_us(ts) AS taken_us, event_id AS file, event_type = 'view' AS is_test FROM events),
+l AS (SELECT *, CASE WHEN taken_us - lag(taken_us) OVER w <= 600000000 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY camera ORDER BY taken_us, file)),
+r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY camera ORDER BY taken_us, file ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM l)"""
+_GROUP = """camera, run, string_agg(CAST(file AS VARCHAR), ',' ORDER BY taken_us, file) AS files, count(*) AS n, round((max(taken_us) - min(taken_us)) / 1e6, 1) AS span"""
+BURSTS = AuditConfig(burst_gap_seconds=600.0)
+
+
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("camera"), F.unix_micros(F.col("ts").cast("timestamp")).alias("taken_us"), F.col("event_id").alias("file"), (F.col("event_type") == "view").alias("is_test"))
+
+
+def _joined(files: str) -> Column:
+    return F.array_join(F.transform(files, lambda x: x.cast("string")), ",")
+
+
+@register(f"WITH {_RUNS} SELECT {_GROUP} FROM r GROUP BY camera, run HAVING count(*) >= 2")
+def burst_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bursts.find_bursts(shots(spark, sf_dir), config=BURSTS).select("camera", "run", _joined("files").alias("files"), "n", "span")
+
+
+@register(f"WITH {_RUNS}, g AS (SELECT {_GROUP} FROM r GROUP BY camera, run HAVING count(*) >= 2) SELECT * FROM g ORDER BY n DESC, camera, run LIMIT 20")
+def burst_largest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bursts.find_bursts(shots(spark, sf_dir), config=BURSTS, limit=BURSTS.burst_groups).select("camera", "run", _joined("files").alias("files"), "n", "span")
+
+
+@register(f"""WITH {_RUNS} SELECT camera, run, string_agg(CAST(file AS VARCHAR), ',' ORDER BY taken_us, file) FILTER (is_test) AS test_files, count(*) AS n
+FROM r GROUP BY camera, run HAVING count(*) >= 2 AND count(*) FILTER (is_test) BETWEEN 1 AND count(*) - 1""")
+def burst_cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = bursts.find_bursts(shots(spark, sf_dir), config=BURSTS)
+    return g.where((F.size("test_files") > 0) & (F.size("test_files") < F.col("n"))).select("camera", "run", _joined("test_files").alias("test_files"), "n")
+
+
+@register(f"""WITH {_RUNS}, k AS (SELECT x.file AS a, y.file AS b FROM t x JOIN t y ON x.camera = y.camera AND x.file < y.file AND abs(x.taken_us - y.taken_us) <= 300000000),
+g AS (SELECT {_GROUP} FROM r GROUP BY camera, run HAVING count(*) >= 2),
+i AS (SELECT x.camera, x.run, count(*) AS c FROM k JOIN r x ON k.a = x.file JOIN r y ON k.b = y.file WHERE x.camera = y.camera AND x.run = y.run GROUP BY 1, 2)
+SELECT g.* FROM g LEFT JOIN i USING (camera, run) WHERE 2 * coalesce(c, 0) < n * (n - 1)""")
+def burst_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = shots(spark, sf_dir)
+    # Pairs within five minutes: each shot meets those of its own and the next five-minute slot.
+    slot = F.floor(F.col("taken_us") / 300_000_000)
+    x = s.select("camera", slot.alias("slot"), F.col("file").alias("fx"), F.col("taken_us").alias("tx"))
+    y = s.select("camera", F.explode(F.array(slot - 1, slot)).alias("slot"), F.col("file").alias("fy"), F.col("taken_us").alias("ty"), slot.alias("own"))
+    near = x.join(y, ["camera", "slot"]).where((F.abs(F.col("tx") - F.col("ty")) <= 300_000_000) & ((F.col("own") > F.col("slot")) | (F.col("fx") < F.col("fy"))))
+    known = near.select(F.col("fx").alias("a"), F.col("fy").alias("b"))
+    return bursts.find_bursts(s, known, BURSTS).select("camera", "run", _joined("files").alias("files"), "n", "span")
+
+
+# -- rasters ----------------------------------------------------------------------------------------------------------
+
+_PX = """px AS (SELECT id, i AS p, i // 8 AS y, i % 8 AS x, v[i + 1] * 1000 AS g FROM (SELECT id, v, unnest(range(64)) AS i FROM v)),
+ras AS (SELECT id, list(g ORDER BY p) AS g FROM px GROUP BY id),
+rf AS (SELECT px.*, ras.g AS a, CASE WHEN y = 0 THEN 1 ELSE y - 1 END AS u, CASE WHEN y = 7 THEN 6 ELSE y + 1 END AS d, CASE WHEN x = 0 THEN 1 ELSE x - 1 END AS l, CASE WHEN x = 7 THEN 6 ELSE x + 1 END AS r FROM px JOIN ras USING (id)),
+lap AS (SELECT id, p, a[u*8+x+1] + a[d*8+x+1] + a[y*8+l+1] + a[y*8+r+1] - 4 * g AS e FROM rf),
+sob AS (SELECT id, p, (a[u*8+r+1] + 2*a[y*8+r+1] + a[d*8+r+1] - a[u*8+l+1] - 2*a[y*8+l+1] - a[d*8+l+1]) / 4 AS gx, (a[d*8+l+1] + 2*a[d*8+x+1] + a[d*8+r+1] - a[u*8+l+1] - 2*a[u*8+x+1] - a[u*8+r+1]) / 4 AS gy FROM rf)"""
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("id", F.transform("v", lambda x: x * 1000).alias("g"), "label")
+
+
+@register(f"WITH {_V} {_PX} SELECT id, round(var_pop(e), 2) AS sharpness FROM lap GROUP BY id")
+def laplacian_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters(spark, sf_dir).select("id", F.round(rs.sharpness(F.col("g"), 8, 8), 2).alias("sharpness"))
+
+
+@register(f"WITH {_V} {_PX} SELECT id, round(var_pop(e), 1) AS sharpness FROM lap GROUP BY id HAVING var_pop(e) <= 280000")
+def blurry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = rasters(spark, sf_dir).select("id", rs.sharpness(F.col("g"), 8, 8).alias("sharpness"))
+    return s.where("sharpness <= 280000").withColumn("sharpness", F.round("sharpness", 1))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rasters(spark, sf_dir)
+    quarter = lambda taps: [(dy, dx, w / 4) for dy, dx, w in taps]
+    both = r.select("id", (F.col("label") % 2).alias("shape"), rs.stencil(F.col("g"), 8, 8, quarter(rs.SOBEL_X)).alias("gx"), rs.stencil(F.col("g"), 8, 8, quarter(rs.SOBEL_Y)).alias("gy"))
+    return both.select("id", "shape", F.posexplode(F.arrays_zip("gx", "gy")).alias("place", "e")).select("id", "shape", "place", "e.gx", "e.gy")
+
+
+_VOTES = """sh AS (SELECT sob.*, label % 2 AS shape FROM sob JOIN v USING (id)),
+vt AS (SELECT shape, p AS place, avg(CASE WHEN gx >= 60 THEN 1.0 ELSE 0.0 END) AS ux, avg(CASE WHEN gx <= -60 THEN 1.0 ELSE 0.0 END) AS dx, avg(CASE WHEN gy >= 60 THEN 1.0 ELSE 0.0 END) AS uy, avg(CASE WHEN gy <= -60 THEN 1.0 ELSE 0.0 END) AS dy FROM sh GROUP BY 1, 2),
+vo AS (SELECT shape, place, greatest(ux, dx) >= greatest(uy, dy) AS use_x, greatest(greatest(ux, dx), greatest(uy, dy)) AS agree,
+  CASE WHEN greatest(ux, dx) >= greatest(uy, dy) THEN CASE WHEN ux >= dx THEN 1.0 ELSE -1.0 END ELSE CASE WHEN uy >= dy THEN 1.0 ELSE -1.0 END END AS sign FROM vt)"""
+
+
+@register(f"WITH {_V} {_PX}, {_VOTES} SELECT shape, CAST(place AS INTEGER) AS place, round(agree, 4) AS agree, CAST(sign AS INTEGER) AS sign, use_x FROM vo")
+def overlay_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = overlay.votes(edges(spark, sf_dir), 60.0)
+    return v.select("shape", "place", F.round("agree", 4).alias("agree"), F.col("sign").cast("int").alias("sign"), "use_x")
+
+
+@register(f"""WITH {_V} {_PX}, {_VOTES}, pat AS (SELECT * FROM vo WHERE agree >= 0.36),
+m AS (SELECT s.shape, s.id, avg(CASE WHEN (CASE WHEN use_x THEN gx ELSE gy END) * sign >= 30 THEN 1.0 ELSE 0.0 END) AS share FROM sh s JOIN pat ON s.shape = pat.shape AND s.p = pat.place GROUP BY 1, 2)
+SELECT shape, id, round(share, 4) AS share FROM m WHERE share >= 0.7""")
+def overlay_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges(spark, sf_dir)
+    config = AuditConfig(overlay_edge=60.0)
+    m = overlay.members(e, overlay.votes(e, config.overlay_edge).where("agree >= 0.36"), config)
+    return m.select("shape", "id", F.round("share", 4).alias("share"))
+
+
+@register("""WITH s AS (SELECT label AS shape, vec_id AS id, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+k AS (SELECT unnest(range(20)) AS k)
+SELECT DISTINCT shape, id FROM s LEFT JOIN k ON n > 20 AND floor(k * (n - 1) / 19) = r WHERE n <= 20 OR k IS NOT NULL""")
+def overlay_even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.even_sample(vectors(spark, sf_dir).select(F.col("label").alias("shape"), "id"), 20)
+
+
+@register(f"""WITH {_V} q AS (SELECT id, [v[(i // 8) * 8 + (7 - i % 8) + 1] for i in range(64)] AS f, v FROM v), s AS (SELECT id, [z[1] + z[2] for z in list_zip(v, f)] AS s FROM q)
+SELECT id, round(s[1] / sqrt(list_inner_product(s, s)), 4) AS first, round(s[20] / sqrt(list_inner_product(s, s)), 4) AS twentieth FROM s""")
+def mirror_invariant_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", vec.mirror_invariant(F.col("v"), vec.mirrored(F.col("v"), 8)).alias("m"))
+    return v.select("id", F.round(F.get("m", F.lit(0)), 4).alias("first"), F.round(F.get("m", F.lit(19)), 4).alias("twentieth"))
+
+
+@register(f"""WITH {_V} p AS (SELECT x.id AS a, y.id AS b, x.v AS xv, y.v AS yv FROM v x JOIN v y ON y.id = x.id + 1), s AS (SELECT a, b, list_sum([CASE WHEN abs(z[1] - z[2]) > 0.025 THEN 1.0 ELSE 0.0 END for z in list_zip(xv, yv)]) / len(xv) AS share FROM p)
+SELECT a, b, round(share, 4) AS share, share BETWEEN 0.001 AND 0.8 AS plausible FROM s""")
+def changed_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", "v")
+    p = v.toDF("a", "x").join(v.select((F.col("id") - 1).alias("a"), F.col("id").alias("b"), F.col("v").alias("y")), "a")
+    s = p.select("a", "b", rs.changed_share(F.col("x"), F.col("y"), 0.025).alias("share"))
+    return s.select("a", "b", F.round("share", 4).alias("share"), F.col("share").between(0.001, 0.8).alias("plausible"))
+
+
+# -- distribution shift -----------------------------------------------------------------------------------------------
+
+
+@register(f"""WITH {_V} d AS (SELECT unnest(range(1, 65)) AS d), m AS (SELECT d, avg(v[d]) FILTER (label < 7) AS a, avg(v[d]) FILTER (label >= 7) AS b FROM v, d GROUP BY d)
+SELECT round(sum((a - b) * (a - b)), 6) AS distance FROM m""")
+def shift_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = vectors(spark, sf_dir).select("label", F.posexplode("v").alias("d", "x"))
+    m = each.groupBy("d").agg(F.avg(F.when(F.col("label") < 7, F.col("x"))).alias("a"), F.avg(F.when(F.col("label") >= 7, F.col("x"))).alias("b"))
+    return m.agg(F.round(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))), 6).alias("distance"))
+
+
+@register(f"""WITH {_V} s AS ((SELECT id, v, 0 AS t FROM v WHERE label < 7 ORDER BY md5('train#' || id), id LIMIT 60) UNION ALL (SELECT id, v, 1 AS t FROM v WHERE label >= 7 ORDER BY md5('test#' || id), id LIMIT 40)),
+cn AS (SELECT count(*) AS n, sum(t) AS m FROM s), d AS (SELECT unnest(range(1, 65)) AS d), tot AS (SELECT d, sum(v[d]) AS total FROM s, d GROUP BY d),
+k AS (SELECT p, id, v, row_number() OVER (PARTITION BY p ORDER BY md5(p || '#' || id), id) AS k FROM s, (SELECT unnest(range(1, 201)) AS p)),
+ch AS (SELECT p, v FROM k, cn WHERE k <= m UNION ALL SELECT 0 AS p, v FROM s WHERE t = 1),
+g AS (SELECT p, round(sum(pow(x / m - (total - x) / (n - m), 2)), 6) AS gap FROM (SELECT p, d, sum(v[d]) AS x FROM ch, d GROUP BY p, d) JOIN tot USING (d), cn GROUP BY p),
+o AS (SELECT gap AS distance FROM g WHERE p = 0)
+SELECT round(max(distance), 4) AS distance, round((1 + count(*) FILTER (gap >= distance)) / 201.0, 4) AS p_value FROM g, o WHERE p > 0""")
+def shift_pvalue_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    train, test = shift.sampled(v.where("label < 7"), 60, "train#"), shift.sampled(v.where("label >= 7"), 40, "test#")
+    return shift.permutation_test(train, test, 200)
+
+
+@register(f"WITH {_V} m AS (SELECT y.id, max({_COS}) AS closest FROM v x JOIN v y ON x.label < 7 AND y.label >= 7 GROUP BY y.id) SELECT id, round(closest, 3) AS closest FROM m ORDER BY round(closest, 3), id LIMIT 3")
+def shift_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return shift.outliers(v.where("label < 7"), v.where("label >= 7"), DEFAULT.shift_outliers)
+
+
+# -- labels -----------------------------------------------------------------------------------------------------------
+
+_LINE = """CASE WHEN l_linenumber = 7 THEN 'x ' || CAST(l_orderkey % 10 AS VARCHAR) WHEN l_linenumber = 6 THEN CAST(l_partkey % 3 AS VARCHAR) || ' 0.1 0.1 0.4 0.1 0.4 0.5'
+WHEN l_linenumber = 5 THEN '-1 0.5 0.5 0.2 0.2' ELSE CAST(l_partkey % 3 AS VARCHAR) || ' ' || CAST(l_suppkey % 10 / 10 AS VARCHAR) || ' 0.5 ' || CAST(l_partkey % 5 / 10 AS VARCHAR) || ' 0.25' END"""
+
+
+def yolo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label file for each order: a line for each of its items."""
+    li = read(spark, sf_dir, "lineitem")
+    text = F.expr(_LINE.replace("AS VARCHAR", "AS STRING"))
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", text.alias("t")))).alias("all"))
+    return lines.select(F.col("l_orderkey").cast("string").alias("file"), F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias("text"))
+
+
+_YOLO = f"""ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS line, {_LINE} AS t FROM lineitem),
+ps AS (SELECT file, line, string_split(t, ' ') AS s FROM ln), vs AS (SELECT file, line, [TRY_CAST(x AS DOUBLE) for x in s] AS v, len(s) AS n FROM ps),
+gd AS (SELECT *, list_count(v) = n AND v[1] >= 0 AND (n IN (5, 6) OR (n >= 7 AND n % 2 = 1)) AS good FROM vs),
+yo AS (SELECT file, line, CASE WHEN good THEN CAST(floor(v[1]) AS BIGINT) END AS cls,
+ CASE WHEN good THEN CASE WHEN n <= 6 THEN v[2] - v[4] / 2 ELSE least(v[2], v[4], v[6]) END END AS x1, CASE WHEN good THEN CASE WHEN n <= 6 THEN v[3] - v[5] / 2 ELSE least(v[3], v[5], v[7]) END END AS y1,
+ CASE WHEN good THEN CASE WHEN n <= 6 THEN v[2] + v[4] / 2 ELSE greatest(v[2], v[4], v[6]) END END AS x2, CASE WHEN good THEN CASE WHEN n <= 6 THEN v[3] + v[5] / 2 ELSE greatest(v[3], v[5], v[7]) END END AS y2,
+ NOT good AS malformed FROM gd),
+bo AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS box_no FROM yo WHERE NOT malformed)"""
+_IOU = """CASE WHEN least(a.x2, b.x2) - greatest(a.x1, b.x1) <= 0 OR least(a.y2, b.y2) - greatest(a.y1, b.y1) <= 0 THEN 0 ELSE
+ (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) END"""
+
+
+@register(f"WITH {_YOLO} SELECT file, line, CAST(cls AS VARCHAR) AS cls, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2, malformed FROM yo")
+def yolo_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = labels.parse_yolo(yolo_files(spark, sf_dir))
+    return p.select("file", "line", F.col("cls").cast("string").alias("cls"), *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")], "malformed")
+
+
+@register(f"WITH {_YOLO} SELECT file, count(*) AS bad, min(line) AS first_bad FROM yo WHERE malformed GROUP BY file")
+def yolo_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.malformed_lines(labels.parse_yolo(yolo_files(spark, sf_dir)))
+
+
+def _yolo_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = labels.parse_yolo(yolo_files(spark, sf_dir)).where("not malformed")
+    return p.select("file", F.col("file").alias("photo"), "box_no", F.col("cls").cast("string").alias("cls"), "x1", "y1", "x2", "y2", F.lit(640).alias("fw"), F.lit(480).alias("fh"))
+
+
+_EMPTY = "(x2 - x1 < 1e-9 OR y2 - y1 < 1e-9 OR (x2 - x1) * 640 < 1 OR (y2 - y1) * 480 < 1)"
+
+
+@register(f"""WITH {_YOLO}, e AS (SELECT *, {_EMPTY} AS is_empty FROM bo),
+rp AS (SELECT DISTINCT a.file, a.box_no FROM e a JOIN e b ON a.file = b.file AND a.cls = b.cls AND b.box_no < a.box_no AND NOT a.is_empty AND NOT b.is_empty WHERE {_IOU} >= 0.95)
+SELECT e.file AS photo, count(*) AS total, count(*) FILTER (NOT is_empty AND (least(x1, y1) < -0.01 OR greatest(x2, y2) > 1.01)) AS outside, count(*) FILTER (is_empty) AS empty, count(rp.box_no) AS repeated
+FROM e LEFT JOIN rp USING (file, box_no) GROUP BY e.file""")
+def yolo_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.box_problems(_yolo_boxes(spark, sf_dir)).select("photo", "total", "outside", "empty", "repeated")
+
+
+@register(f"""WITH {_YOLO}, e AS (SELECT *, {_EMPTY} AS is_empty FROM bo) SELECT DISTINCT a.file, a.box_no FROM e a JOIN e b ON a.file = b.file AND a.cls = b.cls AND b.box_no < a.box_no AND NOT a.is_empty AND NOT b.is_empty WHERE {_IOU} >= 0.95""")
+def iou_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _yolo_boxes(spark, sf_dir)
+    solid = (F.col("x2") - F.col("x1") >= 1 / 640) & (F.col("y2") - F.col("y1") >= 1 / 480)
+    return labels.repeated_boxes(b.where(solid)).select("file", "box_no")
+
+
+@register(f"""WITH {_YOLO}, e AS (SELECT *, {_EMPTY} AS is_empty FROM bo),
+rp AS (SELECT DISTINCT a.file, a.box_no FROM e a JOIN e b ON a.file = b.file AND a.cls = b.cls AND b.box_no < a.box_no AND NOT a.is_empty AND NOT b.is_empty WHERE {_IOU} >= 0.95),
+c AS (SELECT e.file AS photo, count(*) AS total, count(*) FILTER (NOT is_empty AND (least(x1, y1) < -0.01 OR greatest(x2, y2) > 1.01)) AS outside, count(*) FILTER (is_empty) AS empty, count(rp.box_no) AS repeated FROM e LEFT JOIN rp USING (file, box_no) GROUP BY e.file)
+SELECT photo AS subject, 'outside' AS kind, outside || ' of ' || total || ' boxes extend outside the photo' AS detail FROM c WHERE outside > 0
+UNION ALL SELECT photo, 'empty', empty || ' of ' || total || ' boxes have no area' FROM c WHERE empty > 0
+UNION ALL SELECT photo, 'repeated', repeated || ' of ' || total || ' boxes repeat another box (same class, same place)' FROM c WHERE repeated > 0""")
+def label_problem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.problem_rows(labels.box_problems(_yolo_boxes(spark, sf_dir)))
+
+
+@register("""SELECT CAST(c_custkey AS VARCHAR) AS image_id, 'p' || c_custkey || '.jpg' AS file_name, CAST(count(o_orderkey) AS INTEGER) AS n, round(coalesce(sum(o_totalprice), 0), 2) AS x_total
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def coco_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One JSON file a nation and market segment, whose boxes are the orders.
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    file = F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("file")
+    image = F.struct(F.col("c_custkey").alias("id"), F.concat(F.lit("p"), F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("file_name"))
+    note = F.struct(F.col("o_custkey").alias("image_id"), F.lit(1).alias("category_id"), F.array(F.col("o_totalprice"), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"))
+    images = c.groupBy(file).agg(F.collect_list(image).alias("images"))
+    notes = o.join(c, o.o_custkey == c.c_custkey).groupBy(file).agg(F.collect_list(note).alias("annotations"))
+    told = images.join(notes, "file", "left").withColumn("annotations", F.coalesce("annotations", F.array()))
+    files = told.select("file", F.to_json(F.struct("images", "annotations")).alias("text"))
+    parsed = labels.parse_coco(files)
+    total = F.aggregate(F.coalesce("boxes", F.array()), F.lit(0.0), lambda acc, b: acc + b["x1"])
+    return parsed.select("image_id", "file_name", F.size(F.coalesce("boxes", F.array())).alias("n"), F.round(total, 2).alias("x_total"))
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) || '.txt' AS subject, 'orphan' AS kind, 'no photo has this label file''s name' AS detail FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en' GROUP BY doc_id HAVING count(*) = 1) USING (doc_id)")
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = read(spark, sf_dir, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.lit(None).cast("string").alias("file_name"))
+    photos = read(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("photo"))
+    return labels.orphans(labels.photo_for(files, photos))
+
+
+@register("SELECT CAST(doc_id AS VARCHAR) || '.jpg' AS subject, 'missing' AS kind, 'no label for this photo (fine if it has nothing to label)' AS detail FROM documents ANTI JOIN labels USING (doc_id) WHERE EXISTS (SELECT 1 FROM labels) ORDER BY 1 LIMIT 10")
+def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photo = F.concat(F.col("doc_id").cast("string"), F.lit(".jpg")).alias("photo")
+    return labels.missing_labels(read(spark, sf_dir, "documents").select(photo), read(spark, sf_dir, "labels").select(photo))
+
+
+_SIZE = "p_partkey AS photo, p_size AS dw, p_size + p_partkey % 3 AS dh, CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + p_partkey % 3 END AS aw, CASE WHEN p_partkey % 2 = 0 THEN p_size + p_partkey % 3 ELSE p_size END AS ah, CAST(1 + p_partkey % 8 AS INTEGER) AS orientation"
+
+
+@register(f"""WITH s AS (SELECT {_SIZE} FROM part), d AS (SELECT *, CASE WHEN dw = aw AND dh = ah THEN NULL
+ WHEN dw = ah AND dh = aw AND orientation >= 5 THEN format('the labels are for the rotated photo ({{}}x{{}}) but the file stores it as {{}}x{{}} with an EXIF rotation tag ({{}}); any tool that ignores the tag puts every box in the wrong place', dw, dh, aw, ah, orientation)
+ WHEN dw = ah AND dh = aw THEN format('the labels say {{}}x{{}} but the photo is {{}}x{{}}: width and height look swapped', dw, dh, aw, ah)
+ ELSE format('the labels say {{}}x{{}} but the photo is {{}}x{{}}: was it resized after labeling?', dw, dh, aw, ah) END AS detail FROM s WHERE least(dw, dh) > 0)
+SELECT photo AS subject, 'size' AS kind, detail FROM d WHERE detail IS NOT NULL""")
+def size_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.size_problems(read(spark, sf_dir, "part").selectExpr(*[c.strip() for c in _SIZE.replace("CAST(1 + p_partkey % 8 AS INTEGER)", "int(1 + p_partkey % 8)").split(",")]))
+
+
+@register("""SELECT p_partkey AS photo, CAST(round_even(ln((200 + p_size) / CAST(100 + p_partkey % 300 AS DOUBLE)) / 0.05, 0) AS INTEGER) AS key FROM part""")
+def shape_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("photo"), bx.shape_key((200 + F.col("p_size")).cast("double"), (100 + F.col("p_partkey") % 300).cast("double")).alias("key"))
+
+
+@register("""WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 10 - 0.2 AS p, l_tax * 10 AS q FROM lineitem), c AS (SELECT *, least(greatest(least(p, q), 0), 1) AS lo, least(greatest(greatest(p, q), 0), 1) AS hi FROM b)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN hi - lo >= 0.05 THEN lo ELSE least(greatest((lo + hi - 0.05) / 2, 0), 0.95) END, 6) AS x1,
+ round(CASE WHEN hi - lo >= 0.05 THEN hi ELSE least(greatest((lo + hi - 0.05) / 2, 0), 0.95) + 0.05 END, 6) AS x2 FROM c""")
+def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem")
+    p, q = F.col("l_discount") * 10 - 0.2, F.col("l_tax") * 10
+    b = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", bx.clamped(F.struct(p.alias("x1"), p.alias("y1"), q.alias("x2"), q.alias("y2"))).alias("b"))
+    return b.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("b.x1", 6).alias("x1"), F.round("b.x2", 6).alias("x2"))
