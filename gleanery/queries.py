@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .config import DEFAULT, AuditConfig
 from .functions import boxes as bx
@@ -288,11 +287,11 @@ def yolo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label file for each order: a line for each of its items."""
     li = read(spark, sf_dir, "lineitem")
     text = F.expr(_LINE.replace("AS VARCHAR", "AS STRING"))
-    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", text.alias("t")))).alias("all"))
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")))).alias("all"))
     return lines.select(F.col("l_orderkey").cast("string").alias("file"), F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias("text"))
 
 
-_YOLO = f"""ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS line, {_LINE} AS t FROM lineitem),
+_YOLO = f"""ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, {_LINE} AS t FROM lineitem),
 ps AS (SELECT file, line, string_split(t, ' ') AS s FROM ln), vs AS (SELECT file, line, [TRY_CAST(x AS DOUBLE) for x in s] AS v, len(s) AS n FROM ps),
 gd AS (SELECT *, list_count(v) = n AND v[1] >= 0 AND (n IN (5, 6) OR (n >= 7 AND n % 2 = 1)) AS good FROM vs),
 yo AS (SELECT file, line, CASE WHEN good THEN CAST(floor(v[1]) AS BIGINT) END AS cls,
@@ -404,3 +403,291 @@ def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = F.col("l_discount") * 10 - 0.2, F.col("l_tax") * 10
     b = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", bx.clamped(F.struct(p.alias("x1"), p.alias("y1"), q.alias("x2"), q.alias("y2"))).alias("b"))
     return b.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("b.x1", 6).alias("x1"), F.round("b.x2", 6).alias("x2"))
+
+
+# -- provenance -------------------------------------------------------------------------------------------------------
+
+NEEDLES = (("apache license", "Apache"), ("mit license", "MIT"), ("license", "other licence"), ("@mail", "mail"), ("secret", "secret"), ("href", "link"))
+_FIRST = "CASE " + " ".join(f"WHEN contains(t, '{n}') THEN '{label}'" for n, label in NEEDLES) + " END"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _marker_sql(markers) -> str:
+    return "CASE " + " ".join(f"WHEN contains(t, '{n}') THEN '{label}'" for n, label in markers) + " END"
+
+
+@register(f"SELECT doc_id, {_FIRST} AS marker FROM (SELECT doc_id, {_LOWER.format('text')} AS t FROM documents) WHERE {_FIRST} IS NOT NULL")
+def marker_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").select("doc_id", mk.first_marker(mk.ascii_lower(F.col("text")), NEEDLES).alias("marker"))
+    return d.where("marker is not null")
+
+
+@register(f"""WITH p AS (SELECT page_id, {_LOWER.format("html || CASE page_id % 7 WHEN 0 THEN ' Steps: 20, Sampler: Euler' WHEN 1 THEN ' MidJourney v6' WHEN 2 THEN ' credit: Getty Images' WHEN 3 THEN ' NovelAI via Alamy' ELSE '' END")} AS t FROM pages)
+SELECT page_id, coalesce({_marker_sql(mk.AI_MARKERS)}, CASE WHEN regexp_matches(t, 'steps: [0-9]+, sampler: ') THEN 'Stable Diffusion settings (Steps, Sampler)' END, CASE WHEN contains(t, '"class_type"') AND contains(t, '"inputs"') THEN 'ComfyUI workflow' END) AS ai, {_marker_sql(mk.STOCK_MARKERS)} AS stock FROM p""")
+def provenance_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tails = F.expr("CASE page_id % 7 WHEN 0 THEN ' Steps: 20, Sampler: Euler' WHEN 1 THEN ' MidJourney v6' WHEN 2 THEN ' credit: Getty Images' WHEN 3 THEN ' NovelAI via Alamy' ELSE '' END")
+    t = mk.ascii_lower(F.concat("html", tails))
+    return read(spark, sf_dir, "pages").select("page_id", mk.ai_marker(t).alias("ai"), mk.stock_marker(t).alias("stock"))
+
+
+# -- templates --------------------------------------------------------------------------------------------------------
+
+_PAIRS = "pr AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id % 25 = 0)"
+_REFS = "rf AS (SELECT a, b, e.vec_id AS ref, row_number() OVER (PARTITION BY a, b ORDER BY md5(a || '|' || b || '|' || e.vec_id)) AS r FROM pr JOIN embeddings e ON e.vec_id <> a AND e.vec_id <> b QUALIFY r <= 40)"
+
+
+def _template_pairs(v: DataFrame) -> DataFrame:
+    return v.where("id % 25 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+
+
+@register(f"WITH {_PAIRS}, {_REFS} SELECT a, b, ref FROM rf")
+def reference_sample_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return templates.reference_sample(_template_pairs(v), v.select("id"), DEFAULT.template_references)
+
+
+_NEAR = "round(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(x.v, y.v)]), 9)"
+
+
+@register(f"""WITH {_V} n AS (SELECT x.id AS q, y.id, {_NEAR} AS d FROM v x JOIN v y ON x.id % 5 = 0 AND y.id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM n)
+SELECT q, max(d) FILTER (r = 1) < 0.75 * max(d) FILTER (r = 2) AS matched FROM r WHERE r <= 2 GROUP BY q""")
+def knn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", "v")
+    return templates.ratio_matches(pairs.nearest(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 2), DEFAULT.ratio)
+
+
+@register(f"WITH {_V} n AS (SELECT x.id AS q, y.id, {_COS} AS s FROM v x JOIN v y ON x.id <> y.id AND x.id % 20 = 0 AND y.id % 20 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(2 - 2 * s, 9), id) AS r FROM n) SELECT q, id, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 3")
+def top3_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", "v")
+    return pairs.nearest(v.where("id % 20 = 0"), v.where("id % 20 <> 0"), 3).select("q", "id", "rank")
+
+
+@register(f"""WITH {_PAIRS}, {_REFS}, m AS (SELECT a, b, k, ref, (a + b + k * 7 + ref * 3) % 11 = 0 AS matched FROM rf, (SELECT unnest(range(30)) AS k)),
+s AS (SELECT a, b, k, count(*) FILTER (matched) AS seen FROM m GROUP BY a, b, k), d AS (SELECT a, b, count(*) FILTER (seen < 3) AS "distinct" FROM s GROUP BY a, b) SELECT a, b, "distinct", "distinct" >= 20 AS kept FROM d""")
+def distinct_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    refs = templates.reference_sample(_template_pairs(v), v.select("id"), DEFAULT.template_references)
+    m = refs.select("a", "b", "ref", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("keypoint"))
+    m = m.withColumn("matched", (F.col("a") + F.col("b") + F.col("keypoint") * 7 + F.col("ref") * 3) % 11 == 0)
+    return templates.distinct_inliers(m).withColumn("kept", F.col("distinct") >= DEFAULT.least_distinct)
+
+
+# -- findings and decisions -------------------------------------------------------------------------------------------
+
+_FINDINGS = """f AS (
+ SELECT 0 AS type_rank, 'train_test_leak' AS type, o_orderkey AS seq, [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)] AS files, CAST(NULL AS BIGINT) AS matching_keypoints, CAST(NULL AS DOUBLE) AS coverage FROM orders WHERE o_orderkey % 1500 = 1
+ UNION ALL SELECT 1, 'train_test_leak_edited_copy', o_orderkey, [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)], 25 + o_custkey % 20, (o_custkey % 100) / 100.0 FROM orders WHERE o_orderkey % 1000 = 2
+ UNION ALL SELECT 3, 'edited_copy', o_orderkey, [CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR)], 25 + o_custkey % 20, (o_custkey % 100) / 100.0 FROM orders WHERE o_orderkey % 700 = 3
+ UNION ALL SELECT 4, 'blurry', o_orderkey, [CAST(o_orderkey AS VARCHAR)], NULL, NULL FROM orders WHERE o_orderkey % 900 = 4)"""
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    two = F.array(key.cast("string"), cust.cast("string")).alias("files")
+    points, cover = (25 + cust % 20).alias("matching_keypoints"), ((cust % 100) / 100.0).alias("coverage")
+    return findings.findings({
+        "train_test_leak": o.where(key % 1500 == 1).select(key.alias("seq"), two),
+        "train_test_leak_edited_copy": o.where(key % 1000 == 2).select(key.alias("seq"), two, points, cover),
+        "edited_copy": o.where(key % 700 == 3).select(key.alias("seq"), two, points, cover),
+        "blurry": o.where(key % 900 == 4).select(key.alias("seq"), F.array(key.cast("string")).alias("files")),
+    })
+
+
+_LISTED = "array_to_string(files, ',') AS files"
+
+
+@register(f"WITH {_FINDINGS} SELECT type, seq, {_LISTED}, CAST(row_number() OVER (ORDER BY type_rank, seq) - 1 AS INTEGER) AS finding, (SELECT count(*) FROM f) > 30 AS truncated FROM f ORDER BY type_rank, seq LIMIT 30")
+def findings_union_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.capped(_findings(spark, sf_dir)).select("type", "seq", F.array_join("files", ",").alias("files"), "finding", "truncated")
+
+
+@register(f"""WITH {_FINDINGS}, t AS (SELECT * FROM f WHERE type_rank >= 1 ORDER BY type_rank, seq LIMIT 8) SELECT type, seq, matching_keypoints FROM t
+WHERE type IN ('train_test_leak_edited_copy', 'edited_copy') AND (matching_keypoints < 35 OR coverage < 0.25) ORDER BY type <> 'train_test_leak_edited_copy', matching_keypoints, type_rank, seq LIMIT 2""")
+def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = _findings(spark, sf_dir).where("type_rank >= 1").orderBy("type_rank", "seq").limit(8)
+    return findings.for_review(shown).select("type", "seq", "matching_keypoints")
+
+
+@register(f"WITH {_FINDINGS} SELECT type, seq, CASE WHEN type_rank <= 1 THEN files[1] ELSE files[2] END AS target FROM f WHERE type_rank < 4")
+def removal_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.removal_targets(_findings(spark, sf_dir).where("type_rank < 4")).select("type", "seq", "target")
+
+
+@register(f"WITH {_FINDINGS}, u AS (SELECT DISTINCT unnest(files) AS file FROM (SELECT files FROM f ORDER BY type_rank, seq LIMIT 30)) SELECT file, 'img' || (row_number() OVER (ORDER BY file) - 1) AS image FROM u")
+def photo_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.photo_ids(findings.capped(_findings(spark, sf_dir)))
+
+
+@register("""WITH p AS (SELECT o_orderkey AS pair_no, 'f' || o_custkey AS a, 'g' || (o_custkey % 50) AS b, CASE WHEN o_orderkey % 2 = 0 THEN 'f' || o_custkey ELSE 'g' || (o_custkey % 50) END AS target,
+ CASE o_orderkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'different' WHEN 2 THEN 'unsure' END AS v FROM orders),
+s AS (SELECT pair_no, a AS file, a = target AS t, coalesce(v, 'unsure') AS v FROM p UNION ALL SELECT pair_no, b, b = target, coalesce(v, 'unsure') FROM p),
+g AS (SELECT file, bool_or(t) AS q, min(pair_no) AS first_pair, min(pair_no) FILTER (t) AS first_target, max(pair_no) FILTER (t AND v = 'same') AS last_same FROM s GROUP BY file)
+SELECT g.file, CASE WHEN q THEN 'quarantine' ELSE 'keep' END AS action, s.v AS verdict, q AND last_same IS NULL AS disputed FROM g JOIN s ON s.file = g.file AND s.pair_no = CASE WHEN NOT q THEN first_pair WHEN last_same IS NOT NULL THEN last_same ELSE first_target END""")
+def verdict_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    a = F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
+    b = F.concat(F.lit("g"), (F.col("o_custkey") % 50).cast("string"))
+    key = F.col("o_orderkey")
+    reviewed = o.select(key.alias("pair_no"), a.alias("a"), b.alias("b"), F.when(key % 2 == 0, a).otherwise(b).alias("target"))
+    verdict = F.when(key % 4 == 0, "same").when(key % 4 == 1, "different").when(key % 4 == 2, "unsure")
+    verdicts = o.select(key.alias("pair_no"), verdict.alias("verdict"), F.lit("said so").alias("reason")).where("verdict is not null")
+    return findings.resolve_verdicts(reviewed, verdicts).select("file", "action", "verdict", "disputed")
+
+
+# -- evaluation -------------------------------------------------------------------------------------------------------
+
+
+@register(f"WITH {_V} n AS (SELECT x.id AS q, x.label, y.label AS guess, row_number() OVER (PARTITION BY x.id ORDER BY {_NEAR}, y.id) AS r FROM v x JOIN v y ON x.id % 5 = 0 AND y.id % 5 <> 0) SELECT round(avg(CASE WHEN label = guess THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM n WHERE r = 1")
+def knn_accuracy_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return evaluation.one_nn_accuracy(v.where("id % 5 <> 0"), v.where("id % 5 = 0"))
+
+
+@register(f"WITH {_V} n AS (SELECT x.id AS q, x.label, y.label AS guess, row_number() OVER (PARTITION BY x.id ORDER BY {_NEAR}, y.id) AS r FROM v x JOIN (SELECT * FROM v WHERE id % 5 <> 0 UNION ALL SELECT * FROM c) y ON x.id % 5 = 0) SELECT round(avg(CASE WHEN label = guess THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM n WHERE r = 1")
+def knn_accuracy_leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return evaluation.one_nn_accuracy(v.where("id % 5 <> 0").union(copies(v)), v.where("id % 5 = 0"))
+
+
+_SCORED = "sc AS (SELECT o_custkey % 60 AS inliers, (o_orderkey % 100) / 100.0 AS coverage, o_orderstatus = 'F' AS truth FROM orders)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select((F.col("o_custkey") % 60).alias("inliers"), ((F.col("o_orderkey") % 100) / 100.0).alias("coverage"), (F.col("o_orderstatus") == "F").alias("truth"))
+
+
+@register(f"WITH {_SCORED}, b AS (SELECT unnest([25.0, 30.0, 40.0, 50.0, 60.0, 80.0]) AS bar) SELECT CAST(bar AS DOUBLE) AS bar, count(*) FILTER (inliers >= bar AND truth) AS hits, count(*) FILTER (inliers >= bar AND NOT truth) AS others FROM b, sc GROUP BY bar")
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _scored(spark, sf_dir).select(F.col("inliers").cast("double").alias("score"), "truth")
+    return evaluation.threshold_sweep(s, [25, 30, 40, 50, 60, 80])
+
+
+@register(f"""WITH {_SCORED}, g AS (SELECT * FROM (SELECT unnest([30, 35, 40]) AS i), (SELECT unnest([-1.0, 0.25, 0.5]) AS c))
+SELECT i AS max_inliers, CASE c WHEN 0.25 THEN '0.25' WHEN 0.5 THEN '0.5' END AS max_coverage, count(*) AS reviewed, count(*) FILTER (NOT truth) AS false_reviewed FROM g, sc WHERE inliers < i OR coverage < c GROUP BY i, c""")
+def gate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = evaluation.gate_grid(_scored(spark, sf_dir), [30, 35, 40], [None, 0.25, 0.5])
+    text = F.when(F.col("max_coverage") == 0.25, "0.25").when(F.col("max_coverage") == 0.5, "0.5")
+    return g.select("max_inliers", text.alias("max_coverage"), "reviewed", "false_reviewed")
+
+
+@register(f"WITH {_SCORED} SELECT count(*) FILTER (truth AND inliers >= 25) AS tp, count(*) FILTER (truth AND inliers < 25) AS fn, count(*) FILTER (NOT truth AND inliers >= 25) AS fp, count(*) FILTER (NOT truth AND inliers < 25) AS tn FROM sc")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.confusion(_scored(spark, sf_dir).select("truth", (F.col("inliers") >= 25).alias("flagged")))
+
+
+@register("WITH s AS (SELECT o_totalprice AS x, row_number() OVER (ORDER BY o_totalprice) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT max(x) FILTER (r = n // 4) AS q1, max(x) FILTER (r = 2 * n // 4) AS q2, max(x) FILTER (r = 3 * n // 4) AS q3 FROM s")
+def quartiles_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.index_quartiles(read(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@register("SELECT min(o_totalprice) AS least, round(median(o_totalprice), 4) AS median, round(quantile_cont(o_totalprice, 0.99), 4) AS p99, max(o_totalprice) AS greatest FROM orders")
+def spread_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.spread(read(spark, sf_dir, "orders"), "o_totalprice").select("least", F.round("median", 4).alias("median"), F.round("p99", 4).alias("p99"), "greatest")
+
+
+@register(f"""WITH {_V} k AS (SELECT id, CAST(floor(id / 10) AS BIGINT) % 4 AS k, v FROM v WHERE id % 10 = 0),
+e AS (SELECT id + 1000000 AS id, id AS origin, ['exact', 'negated_tail', 'mirror', 'darker'][k + 1] AS kind, CASE k WHEN 1 THEN list_concat(v[1:61], [-x for x in v[62:64]]) WHEN 2 THEN [v[(i // 8) * 8 + (7 - i % 8) + 1] for i in range(64)] WHEN 3 THEN [x * 0.5 for x in v] ELSE v END AS v FROM k),
+hv AS {_H.format('v')}, he AS {_H.format('e')}, f AS (SELECT x.id AS a, y.id AS b FROM hv x JOIN he y ON true WHERE {_DIST} <= 5)
+SELECT kind, count(*) AS planted, count(f.a) AS found, round(count(f.a) / count(*), 4) AS recall FROM e LEFT JOIN f ON f.a = origin AND f.b = id GROUP BY kind""")
+def recall_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", "v")
+    planted = evaluation.plant(v, 10, OFFSET)
+    return evaluation.recall_by_kind(planted, pairs.hamming_join(hashed(v), hashed(planted), DEFAULT.hash_distance))
+
+
+@register("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3")
+def most_common_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.most_common(read(spark, sf_dir, "events"), "event_type", 3)
+
+
+@register("""WITH b AS (SELECT p_partkey AS photo, p_size % 5 AS box_no, 0.1 AS x1, 0.1 AS y1, p_size / 100.0 AS x2, 0.6 AS y2 FROM part), k AS (SELECT l_partkey AS photo, l_discount * 5 AS x, l_tax * 10 AS y FROM lineitem)
+SELECT photo, box_no, count(*) FILTER (x >= x1 AND x <= x2 AND y >= y1 AND y <= y2) AS inside FROM b LEFT JOIN k USING (photo) GROUP BY 1, 2""")
+def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("photo"), (F.col("p_size") % 5).alias("box_no"), F.lit(0.1).alias("x1"), F.lit(0.1).alias("y1"), (F.col("p_size") / 100.0).alias("x2"), F.lit(0.6).alias("y2"))
+    k = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("photo"), (F.col("l_discount") * 5).alias("x"), (F.col("l_tax") * 10).alias("y"))
+    return evaluation.points_in_boxes(k, b)
+
+
+@register("SELECT CAST(sum(p_size) AS BIGINT) AS tokens_in, CAST(sum(p_partkey) AS BIGINT) AS tokens_out, round((sum(p_size) * 3.0 + sum(p_partkey) * 15.0) / 1e6, 6) AS cost FROM part")
+def review_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.cost(read(spark, sf_dir, "part").select(F.col("p_size").alias("tokens_in"), F.col("p_partkey").alias("tokens_out")), 3.0, 15.0)
+
+
+# -- the upload service's tables --------------------------------------------------------------------------------------
+
+_OBJECTS = "ob AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'uploads/' WHEN 1 THEN 'results/sessions/' ELSE 'saved/' END || 'o' || (o_custkey % 40) || '/s' || (o_custkey % 7) || '/' || CASE o_orderkey % 3 WHEN 0 THEN 'images' WHEN 1 THEN 'test' ELSE 'labels' END || '/' || (o_orderkey % 20) || '/p' || o_orderkey || '.jpg' AS key, o_orderdate AS modified FROM orders)"
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = _OBJECTS[_OBJECTS.index("CASE") : _OBJECTS.index(" AS key")]
+    return read(spark, sf_dir, "orders").select(F.expr(key).alias("key"), F.col("o_orderdate").alias("modified"))
+
+
+@register(f"""WITH {_OBJECTS}, p AS (SELECT key, modified, string_split(key, '/') AS s FROM ob WHERE starts_with(key, 'saved/')), f AS (SELECT key, modified, s[2] AS owner, s[3] AS session, s[4] AS folder FROM p WHERE len(s) = 6 AND s[4] IN ('images', 'test'))
+SELECT owner, session, count(*) AS photos, epoch_us(max(modified)) AS saved_us, array_to_string((list(key ORDER BY key) FILTER (folder = 'images'))[1:3], ',') AS previews FROM f GROUP BY 1, 2""")
+def library_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.library(_objects(spark, sf_dir)).select("owner", "session", "photos", F.unix_micros(F.col("saved").cast("timestamp")).alias("saved_us"), F.when(F.size("previews") > 0, F.array_join("previews", ",")).alias("previews"))
+
+
+@register("WITH l AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, o_custkey % 30 AS session FROM orders) SELECT day, count(*) AS started, count(*) >= 5 AS full_day FROM l GROUP BY day")
+def quota_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), (F.col("o_custkey") % 30).alias("session"))
+    return control.quota(log, 5).withColumnRenamed("full", "full_day")
+
+
+@register(f"""WITH {_OBJECTS} SELECT key FROM ob WHERE modified > DATE '1998-06-01' - CASE WHEN starts_with(key, 'uploads/') THEN 1 ELSE 30 END""")
+def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime
+
+    return control.retained(_objects(spark, sf_dir), datetime.date(1998, 6, 1)).select("key")
+
+
+@register("""WITH r AS (SELECT o_orderkey AS request, o_orderkey % 25 AS photos, o_custkey % 23 AS labels, o_orderkey % 11 = 0 AS bad, o_orderkey % 2 = 0 AS keep, o_custkey % 3 = 0 AS guest FROM orders)
+SELECT request, CASE WHEN photos + labels < 1 OR photos + labels > 40 OR photos < 1 OR photos > 20 THEN 'Pick between 1 and 20 photos.' WHEN labels > 20 THEN 'Pick at most 20 label files.'
+ WHEN keep AND NOT guest THEN 'Keeping photos needs a valid guest id.' WHEN bad THEN 'Only JPEG and PNG photos are supported.' END AS error FROM r""")
+def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    kind = F.when(key % 11 == 0, "image/gif").otherwise("image/png")
+    photo = F.struct(F.lit("x").alias("name"), kind.alias("type"), F.lit("train").alias("split"))
+    label = F.struct(F.lit("x").alias("name"), F.lit("text/plain").alias("type"), F.lit("labels").alias("split"))
+    files = F.concat(F.array_repeat(photo, (key % 25).cast("int")), F.array_repeat(label, (cust % 23).cast("int")))
+    guest = F.when(cust % 3 == 0, F.sha2(cust.cast("string"), 256))
+    return control.upload_errors(o.select(key.alias("request"), files.alias("files"), (key % 2 == 0).alias("keep"), guest.alias("guest")))
+
+
+@register("""WITH n AS (SELECT p_partkey AS photo, p_name || CASE p_partkey % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN ' (1).png' WHEN 2 THEN '/../x' ELSE '...' END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'image/jpeg' ELSE 'image/png' END AS t FROM part),
+c AS (SELECT photo, t, coalesce(nullif(left(trim(regexp_replace(name, '[^A-Za-z0-9.-]+', '_', 'g'), '._'), 80), ''), 'photo') AS s FROM n)
+SELECT photo, CASE WHEN regexp_matches(lower(s), '\\.(jpg|jpeg|png)$') THEN s ELSE s || CASE WHEN t = 'image/jpeg' THEN '.jpg' ELSE '.png' END END AS name FROM c""")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tail = F.expr("CASE p_partkey % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN ' (1).png' WHEN 2 THEN '/../x' ELSE '...' END")
+    kind = F.when(F.col("p_partkey") % 2 == 0, "image/jpeg").otherwise("image/png")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("photo"), nm.safe_name(F.concat("p_name", tail), kind).alias("name"))
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN left(sha256(sha256(CAST(c_custkey AS VARCHAR))), 32) END AS owner FROM customer")
+def owner_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    return read(spark, sf_dir, "customer").select("c_custkey", nm.owner_of(F.when(F.col("c_custkey") % 3 != 0, F.sha2(key, 256)).otherwise(F.upper(F.sha2(key, 256)))).alias("owner"))
+
+
+@register(f"WITH {_OBJECTS} SELECT key, CASE WHEN starts_with(key, 'saved/o1/') THEN 'uploads/s/' || substr(key, 10) ELSE key END AS public, replace(key, '/', '__') AS local, split_part(key, '/', -1) AS name FROM ob")
+def public_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("key")
+    return _objects(spark, sf_dir).select("key", nm.public_key(k, F.lit("saved/o1/"), F.lit("uploads/s/")).alias("public"), nm.local_name(k, F.lit(""), F.lit(None).cast("string")).alias("local"), nm.display_name(k).alias("name"))
+
+
+# -- text twins -------------------------------------------------------------------------------------------------------
+
+
+@register("SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_dup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return d.where("n > 1")
+
+
+@register("SELECT lang, source, count(*) AS n, grouping_id(lang, source) AS level FROM documents GROUP BY ROLLUP (lang, source)")
+def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
