@@ -140,7 +140,7 @@ def neighbours(docs: DataFrame, config: SamplingConfig, scratch: Scratch) -> Dat
     heads = scratch.put(ids.select("doc_id", place.alias("g")).groupBy("g").agg(F.max("doc_id").alias("head"), F.count("*").alias("c")), "heads")
     present = sorted((r.g, r.head) for r in heads.collect())  # at most most_ranges rows
     before = {g: present[k - 1][0] for k, (g, _) in enumerate(present)}  # the first range follows the last
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    to = F.create_map(*[F.lit(x) for pair in (before or {-1: -1}).items() for x in pair])
     head = F.create_map(*[F.lit(x) for pair in present if pair[1] is not None for x in pair]) if any(h is not None for _, h in present) else None
     placed = rows.withColumn("g", place)
     is_head = placed.doc_id.isNull() if head is None else F.col("doc_id").eqNullSafe(head[F.col("g")])

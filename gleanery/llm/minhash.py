@@ -76,6 +76,8 @@ def element_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fast_similarity_sketch(elements: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
     """``n`` rows of ``t`` coordinates; rows without elements hold the largest value."""
+    if t > 500:
+        raise ValueError("a coordinate holds the number of its round in ten bits")
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     values = np.full(n * t, top, np.uint64)
     fraction = np.uint64((1 << 54) - 1)

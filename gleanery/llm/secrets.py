@@ -61,7 +61,10 @@ RULES = BASE_RULES + MORE_RULES
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(SPAN))])
-_NONE = F.array().cast(T.ArrayType(SPAN))
+
+
+def _none() -> Column:
+    return F.array().cast(T.ArrayType(SPAN))
 
 
 def match_spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -78,9 +81,9 @@ def match_spans(text: Column, rule: Rule, rank: int) -> Column:
         counts = F.coalesce(F.char_length(x["2"]) >= rule.least, F.lit(False))
         return F.struct(end.alias("at"), F.when(counts, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found")).cast(kind)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), _NONE.alias("found")).cast(kind)
+    start = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("found")).cast(kind)
     named = F.transform(parts, lambda p: F.struct(*[p[n].alias(str(i)) for i, n in enumerate(("gap", "hit", "part"))]))
-    return F.when(text.rlike(rule.pattern), F.aggregate(named, start, step, lambda acc: acc["found"])).otherwise(_NONE)
+    return F.when(text.rlike(rule.pattern), F.aggregate(named, start, step, lambda acc: acc["found"])).otherwise(_none())
 
 
 def _rank(rule: Rule, rules: Sequence[Rule]) -> int:
@@ -109,7 +112,7 @@ class BlobLedger:
             seen = self.read().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
             blobs = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
             blobs = blobs.where(F.size("rules") > 0)
-            found = [F.when(F.array_contains("rules", r.key), match_spans(F.col("text"), r, _rank(r, rules))).otherwise(_NONE) for r in rules]
+            found = [F.when(F.array_contains("rules", r.key), match_spans(F.col("text"), r, _rank(r, rules))).otherwise(_none()) for r in rules]
         else:
             blobs = blobs.withColumn("rules", keys)
             found = [match_spans(F.col("text"), r, _rank(r, rules)) for r in rules]
@@ -139,7 +142,7 @@ def find_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Seque
     ledger.scan(paths.select("blob", "text"), rules)
     # Written, so that the join reads both sides from exchanges and can split the paths of a common blob.
     findings = scratch.put(ledger.findings(rules), "findings")
-    return paths.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", _NONE).alias("spans"))
+    return paths.select("doc_id", "blob").join(findings, "blob", "left").select("doc_id", "blob", F.coalesce("spans", _none()).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
