@@ -101,3 +101,23 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
 def cost(calls: DataFrame, price_in: float, price_out: float) -> DataFrame:
     """One row: tokens and their price of ``calls(tokens_in, tokens_out)``."""
     return calls.agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round((F.sum("tokens_in") * price_in + F.sum("tokens_out") * price_out) / 1e6, 6).alias("cost"))
+
+
+def contained_passages(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``(doc_id, item_id)`` of documents that contain an item's whole text.
+
+    A passage's second to fourth words stand between separators wherever it
+    occurs, so an equi-join on three words in a row finds all candidates; whole
+    texts are looked at for those alone.  Items of fewer than five words have
+    no such key and are refused.
+    """
+    split = lambda text: F.filter(F.split(text, r"[ \t-\r]+", -1), lambda w: w != "")
+    own = items.select("item_id", F.col("text").alias("passage"), split("text").alias("w"))
+    if not own.where(F.size("w") < 5).isEmpty():
+        raise ValueError("a passage of fewer than five words has no key")
+    keyed = own.select("item_id", F.concat_ws(" ", F.slice("w", 2, 3)).alias("key"))
+    lists = docs.select("doc_id", split("text").alias("w")).where(F.size("w") >= 3)
+    windows = F.zip_with(F.zip_with(F.slice("w", 1, F.size("w") - 2), F.slice("w", 2, F.size("w") - 2), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice("w", 3, F.size("w") - 2), lambda a, b: F.concat(a, F.lit(" "), b))
+    found = lists.select("doc_id", F.explode(F.array_distinct(windows)).alias("key")).join(keyed, "key").select("doc_id", "item_id").distinct()
+    texts = found.join(docs.select("doc_id", "text"), "doc_id").join(own.select("item_id", "passage"), "item_id")
+    return texts.where(F.contains("text", F.col("passage"))).select("doc_id", "item_id")

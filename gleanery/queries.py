@@ -691,3 +691,51 @@ def exact_dup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT lang, source, count(*) AS n, grouping_id(lang, source) AS level FROM documents GROUP BY ROLLUP (lang, source)")
 def corpus_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@register("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.contained_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@register(f"""WITH {_V} hv AS {_H.format('v')}, hc AS {_H.format('c')}, gone AS (SELECT DISTINCT y.id FROM hv x JOIN hc y ON x.id % 5 = 0 WHERE {_DIST} <= 5),
+n AS (SELECT x.id AS q, x.label, y.label AS guess, row_number() OVER (PARTITION BY x.id ORDER BY {_NEAR}, y.id) AS r FROM v x JOIN (SELECT * FROM v WHERE id % 5 <> 0 UNION ALL SELECT * FROM c WHERE id NOT IN (SELECT id FROM gone)) y ON x.id % 5 = 0)
+SELECT round(avg(CASE WHEN label = guess THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM n WHERE r = 1""")
+def knn_accuracy_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    test = v.where("id % 5 = 0")
+    leaks = pairs.hamming_join(hashed(test), hashed(copies(v)), DEFAULT.hash_distance).select(F.col("b").alias("id")).distinct()
+    return evaluation.one_nn_accuracy(v.where("id % 5 <> 0").union(copies(v).join(leaks, "id", "left_anti")), test)
+
+
+@register("""SELECT 'p' || p_partkey || '.xml' AS file, CASE WHEN p_partkey % 9 <> 0 THEN p_name || '.jpg' END AS file_name, CASE WHEN p_partkey % 9 <> 0 THEN p_size ELSE -1 END AS width,
+CASE WHEN p_partkey % 9 <> 0 THEN CAST(1 + p_partkey % 2 AS INTEGER) ELSE -1 END AS n, CASE WHEN p_partkey % 9 <> 0 THEN p_size + 0.5 END AS x2, p_partkey % 9 = 0 AS unreadable FROM part""")
+def voc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    one = F.concat(F.lit("<object><name>a</name><bndbox><xmin>1</xmin><ymin>2</ymin><xmax>"), size, F.lit(".5</xmax><ymax>9</ymax></bndbox></object>"))
+    head = F.when(F.col("p_partkey") % 9 == 0, "<!DOCTYPE x>").otherwise("")
+    text = F.concat(head, F.lit("<annotation><filename>"), "p_name", F.lit(".jpg</filename><size><width>"), size, F.lit("</width><height>3</height></size>"), F.repeat(one, (1 + F.col("p_partkey") % 2).cast("int")), F.lit("</annotation>"))
+    p = labels.parse_voc(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".xml")).alias("file"), text.alias("text")))
+    n = F.when(F.col("boxes").isNotNull(), F.size("boxes")).otherwise(-1)
+    return p.select("file", "file_name", F.coalesce("width", F.lit(-1)).alias("width"), n.alias("n"), F.get("boxes", F.lit(0))["x2"].alias("x2"), "unreadable")
+
+
+@register("""SELECT CAST(o_orderkey AS VARCHAR) AS file, 'k/' || o_custkey || '/' || o_orderkey || '.jpg' AS source, 'quarantine/' || o_orderkey || '.jpg' AS target FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0""")
+def quarantine_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    file = F.col("o_orderkey").cast("string").alias("file")
+    decided = o.select(file, F.when(F.col("o_orderstatus") == "F", "quarantine").otherwise("keep").alias("action"))
+    keys = o.where("o_orderkey % 2 = 0").select(file, F.concat(F.lit("k/"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("key"))
+    return findings.quarantine_manifest(decided, keys, "quarantine/")
+
+
+@register(f"WITH {_FINDINGS} SELECT type, seq, CASE WHEN type_rank <= 1 THEN 0 WHEN type_rank = 3 THEN 2 ELSE 3 END AS severity FROM f")
+def severity_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.severity(_findings(spark, sf_dir)).select("type", "seq", "severity")
+
+
+@register("""WITH k AS (SELECT p_partkey, 1 + p_size % 8 AS tag FROM part)
+SELECT p_partkey, tag <> 1 AS risky, tag IN (5, 6, 7, 8) AS swaps FROM k""")
+def orientation_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = 1 + F.col("p_size") % 8
+    return read(spark, sf_dir, "part").select("p_partkey", bx.risky_orientation(tag).alias("risky"), bx.swaps_dimensions(tag).alias("swaps"))
