@@ -309,7 +309,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, config: CodeConfig = C
         shared = spark.sparkContext.broadcast((tokenizer, f.read()))  # as large as the vocabulary
     end, block, limit = np.array([config.end_id], "<u4").tobytes(), config.block, config.segment
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(ranges, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Ranges are of ids alone: what is sampled for them goes to the driver.
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, segment = _encoder(shared), TaskContext.get().partitionId(), 0
