@@ -7,12 +7,19 @@ documents' likelihood, and its gradient tells the sentences apart: those that
 explain toxic documents and occur in no clean one.  After training, the
 sentence scores locate what offends.
 
+What a sentence without evidence scores, the bias alone, is a chance of the
+training texts' lengths and would flag any text of some thousand sentences.
+Scoring therefore divides it out of each factor, so that such a sentence
+counts as 0, and of all sentences of a text below ``weak`` only the highest
+enters the noisy-or: no number of them makes a text toxic.
+
 Features are hashed: each word without the punctuation around it, ASCII
 letters lower-cased, and its first four and five bytes.  Labels, language,
 source and ids are never features.  Training reads a bounded sample of
 labelled rows outside the held-out fold (:class:`ToxicityConfig` states the
 bounds), chosen by a hash of the id, and weighs both classes as the labels
-have them.  Scoring reads every whole text.
+have them.  A text in the sample is read whole, however long.  Scoring reads
+every whole text.
 
 Edge cases: a null or empty text has no sentence and scores the noisy-or of
 none, 0.  Rows that repeat score alike, and a null id is never held out and
@@ -41,8 +48,9 @@ class ToxicityConfig:
     #: The most labelled rows of each class that training reads.
     toxic_rows: int = 2500
     clean_rows: int = 3500
-    #: Training (not scoring) passes over labelled texts with more words.
-    longest_words: int = 5000
+    #: Training takes whole texts of each class until they have so many words; the last may pass it.
+    toxic_words: int = 1_500_000
+    clean_words: int = 2_000_000
     #: A feature counts if so many training texts have it.
     least_texts: int = 2
     steps: int = 250
@@ -51,6 +59,8 @@ class ToxicityConfig:
     cost: float = 1.0
     #: Log-odds of a sentence without features that count, before training.
     bias: float = -4.0
+    #: Of a text's sentences below this score, only the highest counts.
+    weak: float = 0.05
     #: Sentences with at least this score are located.
     locate: float = 0.5
 
@@ -104,6 +114,10 @@ class Bags:
     weight: np.ndarray
 
 
+#: Features whose products are held at once in training.
+BLOCK = 1 << 20
+
+
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
@@ -112,26 +126,33 @@ def train(bags: Bags, config: ToxicityConfig) -> np.ndarray:
     """Weights of all cells, and the bias last; full-batch Adam, the same for the same bags."""
     n, m = len(bags.toxic), len(bags.text)
     owner = bags.text[bags.sentence]
-    seen = np.unique(np.stack([np.repeat(owner, 3), bags.cells.reshape(-1)]).astype(np.int64).T @ np.array([config.cells, 1]))
-    texts = np.bincount(seen % config.cells, minlength=config.cells)
+    texts, cut = np.zeros(config.cells, np.int64), np.searchsorted(owner, np.arange(n + 1))
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        texts[np.unique(bags.cells[a:b])] += 1
     counts = np.flatnonzero(texts >= config.least_texts)
-    place = np.full(config.cells, len(counts), np.int64)
+    place = np.full(config.cells, len(counts), np.int32)
     place[counts] = np.arange(len(counts))
-    at, of = place[bags.cells.reshape(-1)], np.repeat(bags.sentence, 3)
+    at, of = place[bags.cells.reshape(-1)], np.repeat(bags.sentence.astype(np.int32), 3)
     there = at < len(counts)
     at, of = at[there], of[there]
+    del owner, there
+    blocks = [slice(a, a + BLOCK) for a in range(0, len(at), BLOCK)]
     w, first, second = np.zeros(len(counts) + 1), np.zeros(len(counts) + 1), np.zeros(len(counts) + 1)
     w[-1] = config.bias
     share = bags.weight / bags.weight.sum()
     cost = config.cost * share[bags.toxic].mean()
     for step in range(1, config.steps + 1):
-        z = np.bincount(of, w[at], minlength=m) + w[-1]
+        z = np.full(m, w[-1])
+        for b in blocks:
+            z += np.bincount(of[b], w[at[b]], minlength=m)
         soft = softplus(z)
         total = np.bincount(bags.text, soft, minlength=n)
         # d loss / d z: towards 0 for clean texts, towards explaining toxic ones.
         pull = np.where(bags.toxic, -1.0 / np.maximum(np.expm1(np.minimum(total, 500.0)), 1e-9), 1.0) * share
         dz = pull[bags.text] * np.exp(z - soft)
-        grad = np.append(np.bincount(at, dz[of], minlength=len(counts)), dz.sum())
+        grad = np.append(np.zeros(len(counts)), dz.sum())
+        for b in blocks:
+            grad[:-1] += np.bincount(at[b], dz[of[b]], minlength=len(counts))
         rest = np.sign(grad[:-1]) * np.maximum(np.abs(grad[:-1]) - cost, 0)
         grad[:-1] = np.where(w[:-1] == 0, rest, grad[:-1] + cost * np.sign(w[:-1]))
         before = w.copy()
@@ -157,26 +178,38 @@ def training_sample(labels: DataFrame, config: ToxicityConfig) -> tuple[DataFram
     return pick(True, config.toxic_rows).union(pick(False, config.clean_rows)), totals
 
 
+def within_words(docs: DataFrame, sample: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """The sample's ids in its order, of each class until their texts have the words that the bounds allow."""
+    n_words = F.size(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+")).cast("long")
+    sizes = docs.select("doc_id", n_words.alias("n")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.sum("n").alias("n"))
+    left, taken = {True: config.toxic_words, False: config.clean_words}, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most as many rows as the sample
+        if left[r.toxic] > 0:
+            left[r.toxic] -= r.n
+            taken.append((r.doc_id, r.toxic))
+    return docs.sparkSession.createDataFrame(taken, sample.schema)
+
+
 def gather(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> Bags | None:
     """The training sample's features, on the driver; none if a class is missing."""
     sample, totals = training_sample(labels, config)
     if len(totals) < 2:
         return None
-    cells, longest = config.cells, config.longest_words
+    cells = config.cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, chunk in chunks(b.column(0), lower=True):
                 codes, (begins, of) = features(chunk, cells), sentences(chunk)
                 out = []
-                for i in np.flatnonzero((chunk.counts > 0) & (chunk.counts <= longest)):
+                for i in np.flatnonzero(chunk.counts > 0):
                     lo, hi = chunk.first[i], chunk.first[i + 1]
                     out.append((int(row + i), codes[lo:hi].tobytes(), (of[lo:hi] - of[lo]).astype(np.int32).tobytes()))
                 if out:
                     at, x, y = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), pa.array(x, pa.binary()), pa.array(y, pa.binary())], names=["toxic", "cells", "sentence"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # as many rows as the bounds allow
+    chosen = docs.select("doc_id", "text").join(F.broadcast(within_words(docs, sample, config)), "doc_id").select("text", "toxic")  # as many rows as the bounds allow
     rows = chosen.mapInArrow(run, "toxic boolean, cells binary, sentence binary").collect()
     toxic = np.array([r.toxic for r in rows], bool)
     if not toxic.any() or toxic.all():
@@ -200,11 +233,20 @@ def _chars(chunk: Chunk, at: np.ndarray, text: np.ndarray) -> np.ndarray:
     return points[at] - points[chunk.offsets[text]]
 
 
+def noisy_or(z: np.ndarray, bias: float, text: np.ndarray, n: int, weak: float) -> np.ndarray:
+    """Each text's score: its sentences' excess over ``bias``, and the highest alone of those below ``weak``."""
+    excess = np.maximum(softplus(z) - softplus(bias), 0.0)
+    strong = excess >= -np.log1p(-weak)
+    most = np.zeros(n)
+    np.maximum.at(most, text[~strong], excess[~strong])
+    return -np.expm1(-(np.bincount(text[strong], excess[strong], minlength=n) + most))
+
+
 def score_texts(docs: DataFrame, weights: np.ndarray | None, config: ToxicityConfig) -> DataFrame:
     """``doc_id, score, offending``: the latter as (start, end, score) of sentences, in code points."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))  # one float a cell
-    cells, locate = config.cells, config.locate
+    cells, locate, weak = config.cells, config.locate, config.weak
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,23 +254,22 @@ def score_texts(docs: DataFrame, weights: np.ndarray | None, config: ToxicityCon
         for b in batches:
             for row, chunk in chunks(b.column(1), lower=True):
                 n = chunk.n
-                total, found = np.zeros(n), np.zeros(n, np.int64)
+                score, found = np.zeros(n), np.zeros(n, np.int64)
                 starts = ends = np.zeros(0, np.int64)
                 scores = np.zeros(0)
                 if w is not None and len(chunk.spans[0]):
                     begins, of = sentences(chunk)
                     z = np.bincount(of, w[features(chunk, cells)].sum(axis=1), minlength=len(begins)) + float(w[-1])
                     text = np.searchsorted(chunk.first, begins, "right") - 1
-                    soft = softplus(z)
-                    total = np.bincount(text, soft, minlength=n)
-                    s = np.exp(z - soft)
+                    score = noisy_or(z, float(w[-1]), text, n, weak)
+                    s = np.exp(z - softplus(z))
                     bad = np.flatnonzero(s >= locate)
                     final = np.append(begins[1:], len(of)) - 1
                     starts, ends = _chars(chunk, chunk.spans[0][begins[bad]], text[bad]), _chars(chunk, chunk.spans[1][final[bad]], text[bad])
                     scores, found = s[bad], np.bincount(text[bad], minlength=n)
                 spans = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(scores, pa.float64())], fields=list(span))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(found))).astype(np.int32)), spans)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array(-np.expm1(-total), pa.float64()), lists], names=["doc_id", "score", "offending"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array(score, pa.float64()), lists], names=["doc_id", "score", "offending"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>")
 

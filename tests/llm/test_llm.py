@@ -141,6 +141,32 @@ def test_toxicity_held_out(spark):
     assert found and np.mean(["awful" in s for s in found]) > 0.9
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    """Labelled texts of any length are learnt from, and many clean sentences stay clean."""
+    rng = random.Random(2)
+    clean = [" ".join(rng.choice("abcdefgh") * 3 + rng.choice("ijklmnop") * 2 for _ in range(8)) + "." for _ in range(300)]
+    longest = " ".join(clean * 3)  # 7,200 words
+    texts = [longest + " you awful gribble there.", longest, *(" ".join(rng.sample(clean, 4)) for _ in range(2))]
+    rows = [(k, texts[k % 4]) for k in range(100)]
+    told = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([*rows, (900, " ".join(clean * 60))], "doc_id long, text string")
+    got = by_id(toxicity_mil.toxicity(docs, told))
+    assert all(got[k].predicted == int(k % 4 == 0) for k, _ in rows)
+    assert got[900].predicted == 0 and not got[900].offending
+    # However many sentences there are without evidence, or with little, they are as one.
+    z, text = np.array([-8.0] * 50_000 + [-4.0] * 1_000), np.zeros(51_000, np.int64)
+    assert toxicity_mil.noisy_or(z, -8.0, text, 1, 0.05)[0] < 0.05
+    assert toxicity_mil.noisy_or(z[:50_000], -8.0, text[:50_000], 1, 0.05)[0] == 0
+
+
+def test_toxicity_bounds_total_words(spark):
+    """The last text of a class that the bound lets in is whole."""
+    docs = spark.createDataFrame([(k, "w " * 100) for k in range(20)], "doc_id long, text string")
+    sample = spark.createDataFrame([(k, k % 2 == 0) for k in range(20)], "doc_id long, toxic boolean")
+    config = toxicity_mil.ToxicityConfig(toxic_words=250, clean_words=1)
+    assert Counter(r.toxic for r in toxicity_mil.within_words(docs, sample, config).collect()) == {True: 3, False: 1}
+
+
 def test_toxicity_without_labels(docs, labels):
     got = toxicity_mil.toxicity(docs, labels.limit(0).select("doc_id", "toxic"))
     assert got.count() == len(ROWS) and got.agg(F.max("score")).first()[0] == 0
