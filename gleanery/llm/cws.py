@@ -8,7 +8,9 @@ b + 1)``; the sample is the pair (term, t) of the least rank.  Two texts agree
 in a sample with a probability of their generalised Jaccard similarity, the
 sum of the lesser weights over the sum of the greater.
 
-Terms are hashed into ``buckets`` cells.  The draws of all cells form a table
+Terms are hashed into ``buckets`` cells, and the similarity is that of the
+merged cells: texts with thousands of distinct words look more alike than they
+are (the README has figures).  The draws of all cells form a table
 of fixed size that is broadcast, so that no logarithm is taken per word and
 sample.  A rank is a function of (term, t) with a continuous distribution, so
 the least rank itself stands for the pair, and a document's fingerprint is the
