@@ -158,8 +158,22 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def key_end(text: Column, span: Column) -> Column:
+    """Where what a span reports ends: a private key's, which is found by its BEGIN line, with its END line.
+
+    Without one before the next dashed line, it ends with the base64
+    run, and a word that begins the next line may be taken for its last one.
+    """
+    rest = text.substr((span["end"] + 1).cast("int"), F.char_length(text))
+    dashes = F.instr(rest, "-----")
+    last = F.regexp_extract(rest.substr(F.greatest(dashes, F.lit(1)), F.lit(80)), r"^-----END [A-Z ]{0,40}PRIVATE KEY-----", 0)
+    run = F.regexp_extract(rest, r"^\s*+(?=[A-Za-z0-9+/=]{16})[A-Za-z0-9+/=\r\n]*+", 0)
+    more = F.when((dashes > 0) & (last != ""), dashes - 1 + F.char_length(last)).otherwise(F.char_length(run))
+    return F.when(span["kind"] == "pem", span["end"] + more).otherwise(span["end"])
+
+
 def redact_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule] = RULES, mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every found span replaced by ``mask``; ``n_chars``, if there, follows the new text."""
+    """``docs`` with every found span, and whole private keys, replaced by ``mask``; ``n_chars``, if there, follows the new text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     ledger = ledger or BlobLedger(spark, f"{scratch.root}/ledger")
@@ -173,7 +187,7 @@ def redact_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Seq
         ahead = F.col("text").substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
         covered = s["start"] < acc["at"]  # an overlap: the mask is there already
         out = F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], ahead, F.lit(mask)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at")).cast(kind)
+        return F.struct(out.alias("out"), F.greatest(acc["at"], key_end(F.col("text"), s)).alias("at")).cast(kind)
 
     rest = lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.char_length("text")))
     clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")).cast(kind), step, rest)

@@ -255,6 +255,13 @@ def test_redaction(docs, odd):
     assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_redaction_of_whole_private_keys(spark):
+    begin, end, body = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "\n".join(["Ab+/" * 16] * 3)
+    texts = [f"é {begin}\n{body}\n{end} after", f"{begin}\nDEK-Info: AES-128-CBC,0A\n\n{body}\n{end}\n{begin}\n{body}\n{end}", f"{begin}\n{body}\nthat was all", f"a {begin} line of prose"]
+    got = by_id(secrets.redact_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].text for i in range(4)] == ["é [secret] after", "[secret]\n[secret]", "[secret] was all", "a [secret] line of prose"]
+
+
 # -- 5, 8, 9 -----------------------------------------------------------------------------------------------------------
 
 
