@@ -161,6 +161,9 @@ class _Part:
         self.sizes = codes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         self.codes = codes.flatten().to_numpy(zero_copy_only=False)
         self.owner = np.repeat(np.arange(len(self.rep)), self.sizes)
+        distinct = np.unique((self.owner << 32) + (self.codes.astype(np.int64) + (1 << 31))) >> 32
+        #: Elements of each set that share their code with another of it.
+        self.collapsed = self.sizes - np.bincount(distinct, minlength=len(self.rep))
 
 
 def shared_counts(x: _Part, y: _Part) -> np.ndarray:
@@ -182,7 +185,7 @@ def shared_counts(x: _Part, y: _Part) -> np.ndarray:
 
 def compare_parts(x: _Part, y: _Part, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that reach the threshold, across components; two outside the largest one come up once."""
-    both = shared_counts(x, y)
+    both = shared_counts(x, y) + np.minimum(x.collapsed[:, None], y.collapsed[None, :])  # no less than the sets share
     reach = 100 * both >= percent * (x.sizes[:, None] + y.sizes[None, :] - both)
     reach &= x.component[:, None] != y.component[None, :]
     reach &= ~y.minor[None, :] | (x.rep[:, None] < y.rep[None, :])
@@ -274,8 +277,9 @@ class _Linker:
         The members of a group are packed into parts of bounded size, and the
         parts compared two by two: a row for two parts, and one for each link,
         are all that comes of a group, and no task holds more than two parts.
-        Elements are cut to 32 bits there, which can only add to what two sets
-        share; what passes is confirmed on the full sets.
+        Elements are cut to 32 bits there, and what that takes from a set is
+        added to what it shares, which is then never less than the truth; what
+        passes is confirmed on the full sets.
         """
         found = self.named("pivot", "rest")
         if found is None:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -470,6 +471,14 @@ def test_sketch_coordinates_agree_as_sets_do():
         assert abs((x[0] == x[1]).mean() - want) < 0.08
 
 
+def test_packed_parts_bound_what_sets_share():
+    """Equal sets pass, though two elements of each have one code."""
+    one = [{"rep": k, "component": k, "minor": True, "codes": [-3, 7, 7, 9]} for k in (1, 2)]
+    part = minhash._Part(pa.array(one, pa.struct([("rep", pa.int64()), ("component", pa.int64()), ("minor", pa.bool_()), ("codes", pa.list_(pa.int32()))])))
+    left, right = minhash.compare_parts(part, part, 100)
+    assert (left.tolist(), right.tolist()) == ([1], [2]) and part.collapsed.tolist() == [1, 1]
+
+
 def test_near_duplicates_of_odd_tables(odd):
     out = minhash.near_duplicates(odd)
     assert [(r.doc_id, r.kept) for r in out.orderBy("doc_id").collect()] == [(None, True), (5, True), (5, True), (6, True)]
