@@ -31,7 +31,6 @@ strings.  Other columns are ignored.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,13 +40,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .presplit import SPLIT, TextEncoder, check_tokenizer
+
 END = 1 << 60
-#: The published pre-splitting rule of byte-level BPE.
-SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words and arcs that a worker remembers at once.
-REMEMBERED_WORDS = 400_000
+#: Answers about arcs that a worker remembers at once.
 REMEMBERED_ARCS = 1_000_000
-LONGEST_REMEMBERED = 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -134,7 +131,7 @@ class Automaton:
 
 def compile_merges(tokenizer_json: str) -> Automaton:
     """The automaton of a byte-level BPE tokenizer file's contents."""
-    spec = json.loads(tokenizer_json)
+    spec = check_tokenizer(tokenizer_json)
     model, letters = spec["model"], byte_letters()
     vocab: dict[str, int] = model["vocab"]
     size = 1 + max([*vocab.values(), *(a["id"] for a in spec["added_tokens"])])
@@ -176,44 +173,40 @@ def compile_merges(tokenizer_json: str) -> Automaton:
     return a
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian 32-bit integers; forgets all when full."""
+class Codec:
+    """Encodes and decodes with one automaton; keep one a worker."""
 
     def __init__(self, automaton: Automaton):
         self.automaton, self.arcs = automaton, {}
+        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(automaton.added, key=len, reverse=True))) + ")") if automaton.added else None
+        self.find = regex.compile(SPLIT).findall
+        self.batches = TextEncoder(self.words, list(automaton.added), self.encode).batches
+        sizes = np.array(automaton.sizes, np.int64)
+        #: All labels' bytes, where each one's begin, and how many they are.
+        self.letters, self.sizes = np.frombuffer(b"".join(automaton.labels), np.uint8), sizes
+        self.begins = np.cumsum(sizes) - sizes
 
-    def __missing__(self, word: str) -> bytes:
+    def words(self, words: list[bytes]) -> list[list[int]]:
         if len(self.arcs) > REMEMBERED_ARCS:
             self.arcs.clear()
-        ids = np.array(self.automaton.word(word.encode(), self.arcs), "<i4").tobytes()
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class Codec:
-    """Encodes and decodes with one automaton; keep one a worker."""
+        word, arcs = self.automaton.word, self.arcs
+        return [word(w, arcs) for w in words]
 
-    def __init__(self, automaton: Automaton):
-        self.automaton = automaton
-        self.words = _Words(automaton)
-        self.find = regex.compile(SPLIT).findall
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(automaton.added, key=len, reverse=True))) + ")") if automaton.added else None
-        self.get = self.words.__getitem__
+    def encode(self, text: str) -> list[int]:
+        """The ids of one text."""
+        out: list[int] = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            out += [self.automaton.added[part]] if k % 2 else [i for ids in self.words([w.encode() for w in self.find(part)]) for i in ids]
+        return out
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if self.special is None or not any(s in text for s in self.automaton.added):
-            return b"".join(map(self.get, self.find(text)))
-        out = []
-        for k, part in enumerate(self.special.split(text)):
-            out.append(np.array([self.automaton.added[part]], "<i4").tobytes() if k % 2 else b"".join(map(self.get, self.find(part))))
-        return b"".join(out)
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids' labels, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.letters[np.repeat(self.begins[ids] - ends + sizes, sizes) + np.arange(ends[-1])] if len(ids) else self.letters[:0]
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.automaton.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return self.spell(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -234,27 +227,20 @@ def share(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast((path, compile_merges(f.read())))
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
-    for i in range(0, len(column), 64):
-        for t in column.slice(i, 64).to_pylist():
-            yield t or ""
-
-
 def encode_texts(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and, if asked for, ``decoded``: the text that the ids spell."""
     shared = share(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(shared)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                coded = [codec.encode(t) for t in _texts(b.column(1))]
-                ends = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
-                ids = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                columns, names = [b.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)], ["doc_id", "ids"]
+        for b in batches:
+            for row, chunk, ids, ends in codec.batches(b.column(1)):
+                columns, names = [b.column(0).slice(row, chunk.n), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))], ["doc_id", "ids"]
                 if decode:
-                    columns.append(pa.array([codec.decode(np.frombuffer(c, "<i4").tolist()) for c in coded], pa.string()))
+                    spelt = codec.spell(ids.astype(np.int64))
+                    places = np.concatenate(([0], np.cumsum(codec.sizes[ids])))[ends].astype(np.int32)
+                    texts = pa.Array.from_buffers(pa.binary(), chunk.n, [None, pa.py_buffer(places), pa.py_buffer(spelt.tobytes())])
+                    columns.append(pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -268,7 +254,8 @@ def encoded_lengths(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(shared)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(codec.encode(t)) // 4 for t in _texts(b.column(1))], pa.int64())], names=["doc_id", "n_tokens"])
+            for row, chunk, _, ends in codec.batches(b.column(1)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, chunk.n), pa.array(np.diff(ends), pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
 

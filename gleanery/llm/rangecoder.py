@@ -5,21 +5,29 @@ whole documents, with their ids' numbers, and the ids of all of them cut into
 blocks.  A block's coder starts from nothing, so blocks can be read on their
 own, and carries a CRC-32 of its ids.
 
-Within a block three orders of context predict the next id.  Order 2 (the last
-two ids) and order 1 (the last id) each remember the id that followed, and how
-often it did so in a row.  The coder then codes one action: order 2 was right,
-order 1 was right, or neither, with the id's magnitude, whose lower bits
-follow.  The action's distribution mixes three adaptive ones, chosen by the
-last action (order 0) and by what order 1 and order 2 have going for them; the
-weights of the mixture follow each one's recent success.  All arithmetic is in
-integers, so that every machine decodes alike.  A segment's blocks are coded
-in step, one vector lane each.
+A block begins with its alphabet, the distinct ids in it, as gaps in
+variable-length bytes.  Three orders then predict each next id.  Order 0 is
+an adaptive distribution over the alphabet, from how often each id came so
+far.  Order 1 predicts the id that followed the last id when that last came;
+order 2 does so for the last two.  The three are mixed: the ids that orders 2
+and 1 predict each get a weight of the whole, and order 0's distribution the
+rest.  The weights adapt too; they are how often each order was right while
+both were as sure of themselves as they are now (how often in a row each was
+right, and whether they agree).  Order 2's and 1's predictions change with
+every id; order 0's distribution and the weights are brought up to date at
+steps that grow by half, from the 16th id on.
+
+What the mixture gives an id drives a 64-bit range coder with carries, which
+gives out 32 bits at a time.  A segment's blocks are coded in step, one vector
+lane each.  All arithmetic is in integers or single IEEE operations, so that
+every machine decodes alike.
 
 Edge cases: null and empty texts have no ids but the appended one.  Rows that
-repeat an id are documents of their own, in the order of their texts.  Null ids
-come first, as they do in Spark's order.  Ids up to 2**32 - 1 are possible.
-An empty table gives files without segments.  A damaged block raises an error.
-Other columns are ignored.
+repeat an id are documents of their own, in the order of a hash of their
+texts, so that an id that a third of all rows share is spread over ranges.
+Null ids come first, as they do in Spark's order.  Ids up to 2**32 - 1 are
+possible.  An empty table gives files without segments.  A damaged block
+raises an error.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,253 +39,320 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import Scratch
-from .bpe_automaton import LONGEST_REMEMBERED, REMEMBERED_WORDS, SPLIT
+from .bpe_automaton import byte_letters
+from .presplit import TextEncoder, check_tokenizer
 
+#: The most ids in a block, and the largest that is allowed.
 BLOCK = 8192
+LARGEST_BLOCK = 1 << 14
 #: A segment is closed at so many ids; it is what a task holds at once.
 SEGMENT = 1 << 23
 
-WIDTH = 48
-_MASK = np.uint64((1 << WIDTH) - 1)
-_LEAST = np.uint64(1 << 28)
-_SETTLED = np.uint64(WIDTH - 16)
-_16 = np.uint64(16)
-_SLOTS1, _SLOTS2 = 1 << 10, 1 << 11
-_STEP, _LIMIT = 24, 4000
-#: By action: how many bits follow, and what is added to them. 0 and 1: an order was right; 2: an id below 16;
-#: then ids of 5 to 16 bits without their first bit; 15: 32 bits.
-_BITS = np.array([0, 0, 4, *range(4, 16), 16], np.uint64)
-_FROM = np.array([0, 0, 0, *(1 << b for b in range(4, 16)), 0], np.int64)
-
-
-class _Lanes:
-    """The models and coder states of a segment's blocks."""
-
-    def __init__(self, n: int):
-        self.n = n
-        lanes = np.arange(n)
-        self.base, self.at1, self.at2 = lanes * 48, lanes * _SLOTS1, lanes * _SLOTS2
-        self.counts = np.ones((n * 48, 16), np.int32)
-        self.totals = np.full(n * 48, 16, np.int32)
-        self.next1, self.next2 = np.zeros(n * _SLOTS1, np.int64), np.zeros(n * _SLOTS2, np.int64)
-        self.sure1, self.sure2 = np.zeros(n * _SLOTS1, np.int8), np.zeros(n * _SLOTS2, np.int8)
-        self.last, self.before, self.action = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 2)
-        self.score = np.full((3, n), 256, np.int32)
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, (1 << WIDTH) - 1, np.uint64)
-        self.lanes = lanes
-
-    def predict(self, a: int) -> None:
-        """For the first ``a`` lanes: the orders' ids, and the actions' mixed distribution."""
-        last, before = self.last[:a], self.before[:a]
-        self.i1 = self.at1[:a] + ((last * 40503 >> 4) & (_SLOTS1 - 1))
-        self.i2 = self.at2[:a] + (((last * 40503 + before * 60493) >> 5) & (_SLOTS2 - 1))
-        self.p1, self.p2 = self.next1[self.i1], self.next2[self.i2]
-        self.s1, self.s2 = self.sure1[self.i1], self.sure2[self.i2]
-        base = self.base[:a]
-        self.rows = np.stack([base + self.action[:a], base + 16 + self.s1, base + 32 + self.s2])
-        self.each = self.counts[self.rows]
-        weight = (self.score[:, :a] >> 4) + 1
-        mixed = self.each[0] * weight[0][:, None]
-        mixed += self.each[1] * weight[1][:, None]
-        mixed += self.each[2] * weight[2][:, None]
-        self.cum = np.cumsum(mixed, axis=1, dtype=np.int32)
-        self.mixed = mixed
-
-    def learn(self, a: int, action: np.ndarray, ids: np.ndarray) -> None:
-        own = self.each[:, self.lanes[:a], action]
-        score = self.score[:, :a]
-        totals = self.totals[self.rows]
-        score += (own * 1024 // totals - score) >> 4
-        self.counts[self.rows, action] = own + _STEP
-        totals += _STEP
-        full = totals > _LIMIT
-        if full.any():
-            rows = self.rows[full]
-            halved = np.maximum(self.counts[rows] >> 1, 1)
-            self.counts[rows] = halved
-            totals[full] = halved.sum(axis=1)
-        self.totals[self.rows] = totals
-        for table, sure, at, guess, s in ((self.next1, self.sure1, self.i1, self.p1, self.s1), (self.next2, self.sure2, self.i2, self.p2, self.s2)):
-            right = guess == ids
-            table[at] = np.where(s == 0, ids, guess)
-            sure[at] = np.where(right, np.minimum(s + 1, 15), np.where(s == 0, 1, s >> 1))
-        self.before[:a], self.last[:a], self.action[:a] = self.last[:a], ids, action
-
-    def narrow(self, a: int, start: np.ndarray, size: np.ndarray, unit: np.ndarray) -> None:
-        self.low[:a] += unit * start
-        self.range[:a] = unit * size
-
-    def settle(self, a: int) -> Iterator[np.ndarray]:
-        """Lanes whose leading 16 bits are certain, again and again; the caller takes those bits."""
-        low, rng = self.low[:a], self.range[:a]
-        idx = None
-        while True:
-            lo, ra = (low, rng) if idx is None else (low[idx], rng[idx])
-            certain = ((lo ^ (lo + ra)) >> _SETTLED) == 0
-            due = certain | (ra < _LEAST)
-            some = np.flatnonzero(due)
-            if not len(some):
-                return
-            idx, sure = (some, certain[some]) if idx is None else (idx[some], certain[some])
-            lo = low[idx]
-            # A narrow range across a boundary is cut at the boundary.
-            ra = np.where(sure, rng[idx], (np.uint64(0) - lo) & (_LEAST - np.uint64(1)))
-            yield idx
-            low[idx] = (lo << _16) & _MASK
-            rng[idx] = ra << _16
-
-
-def _lane_lengths(n: int, block: int) -> np.ndarray:
-    sizes = np.full(-(-n // block), block)
-    if n % block:
-        sizes[-1] = n % block
-    return sizes
+#: Bits of the weights' total, and the least bits of order 0's total.
+_WEIGHT_BITS = 12
+_LEAST_BITS = 12
+#: Places for order 2's predictions in a block.
+_PAIRS = 2048
+#: Counts that the weights start from: order 2 right, order 1 right, order 0.
+_PRIOR = (1, 1, 6)
+_FULL = np.uint64(0xFFFFFFFF)
+_32 = np.uint64(32)
+
+
+def _epochs(steps: int) -> Iterator[tuple[int, int]]:
+    """Spans of steps between which the distributions are brought up to date."""
+    a, b = 0, 16
+    while a < steps:
+        yield a, min(b, steps)
+        a, b = b, b + (b + 1) // 2
+
+
+def _shape(n: int, block: int) -> tuple[int, int]:
+    """Blocks of a segment, and ids in each (the last one may lack a few)."""
+    if not 0 < block <= LARGEST_BLOCK:
+        raise ValueError(f"a block holds 1 to {LARGEST_BLOCK} ids")
+    lanes = -(-n // block)
+    return lanes, -(-n // lanes)
+
+
+class _Mixture:
+    """The distributions of a segment's blocks; ``sizes`` are the alphabets'."""
+
+    def __init__(self, sizes: np.ndarray):
+        self.lanes, self.width = len(sizes), int(sizes.max())
+        self.bits = max(_LEAST_BITS, int(self.width - 1).bit_length() + 1)
+        self.shift = np.uint64(_WEIGHT_BITS + self.bits)
+        lane = np.arange(self.lanes)
+        self.sizes, self.row, self.own = sizes, lane * self.width, lane * 32
+        self.counts = np.zeros((self.lanes, self.width), np.int32)
+        self.events = np.tile(np.array(_PRIOR, np.int64), (self.lanes * 32, 1))
+        # Order 1 and 2: id << 2 | how sure (0: no prediction yet).
+        self.one, self.two = np.zeros(self.lanes * self.width, np.uint16), np.zeros(self.lanes * _PAIRS, np.uint16)
+        self.pairs = lane * _PAIRS
+        used = np.arange(1, self.width)[None, :] < sizes[:, None]
+        self.used = np.flatnonzero(np.concatenate([np.zeros((self.lanes, 1), bool), used], axis=1))
+        self.renew(False)
+
+    def renew(self, look_up: bool) -> None:
+        """Order 0's distribution and the weights, from the counts."""
+        slots = 1 << self.bits
+        before = np.cumsum(self.counts, axis=1, dtype=np.int64)
+        total = before[:, -1:].copy()
+        before -= self.counts
+        if not total.any():  # every id of the alphabet alike
+            before[:], total[:] = np.arange(self.width), self.sizes[:, None]
+        places = before * ((slots - self.sizes[:, None]) / total)
+        start = np.floor(places).astype(np.int32) + np.arange(self.width, dtype=np.int32)
+        end = np.append(start[:, 1:], np.full((self.lanes, 1), slots, np.int32), axis=1)
+        end[np.arange(self.lanes), self.sizes - 1] = slots
+        start, size = start.reshape(-1), (end - start).reshape(-1)
+        #: By lane and id: start << 16 | size.
+        self.spans = (start.astype(np.uint32) << np.uint32(16)) | size.astype(np.uint32)
+        seen = self.events.sum(axis=1)
+        scale = (1 << _WEIGHT_BITS) - 3
+        #: By lane and state: where order 2's weight ends, and where order 1's does.
+        self.end2 = 1 + self.events[:, 0] * scale // seen
+        self.end1 = self.end2 + 1 + self.events[:, 1] * scale // seen
+        if look_up:
+            marks = np.zeros(self.lanes * slots, np.uint16)
+            marks[(self.used // self.width) * slots + start[self.used]] = 1
+            #: By lane and place: the id.
+            self.at = np.cumsum(marks.reshape(self.lanes, slots), axis=1, dtype=np.uint16).reshape(-1)
+
+    def learn(self, symbols: np.ndarray, state: np.ndarray, event: np.ndarray) -> None:
+        """Counts a span of steps: (steps, lanes) of ids, weight states (with the lane's) and events."""
+        self.counts += np.bincount((self.row + symbols).reshape(-1), minlength=self.counts.size).reshape(self.counts.shape).astype(np.int32)
+        self.events += np.bincount((state * 3 + event).reshape(-1), minlength=self.events.size).reshape(self.events.shape)
+
+
+def _states(two: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Which weights hold: how sure both orders are, and whether they agree."""
+    return ((two & 3) << 3 | (one & 3) << 1 | ((two ^ one) < 4)) + own
+
+
+def _alphabets(ids: np.ndarray, lanes: int, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each block's distinct ids, ascending, and all ids as their numbers, a column a block."""
+    top = int(ids.max()) + 1
+    small = top <= 1 << 20
+    seen, rank = (np.zeros(top, bool), np.zeros(top, np.uint16)) if small else (None, None)
+    found, symbols = [], np.zeros((lanes, steps), np.uint16)
+    for k in range(lanes):
+        own = ids[k * steps : (k + 1) * steps]
+        if small:
+            seen[own] = True
+            each = np.flatnonzero(seen)
+            seen[each] = False
+            rank[each] = np.arange(len(each), dtype=np.uint16)
+            symbols[k, : len(own)] = rank[own]
+        else:
+            each, back = np.unique(own, return_inverse=True)
+            symbols[k, : len(own)] = back
+        found.append(each)
+    return found, np.ascontiguousarray(symbols.T)
+
+
+def _pack(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**35 in bytes of 7 bits, the lowest first, and how many bytes each takes."""
+    size = np.ones(len(numbers), np.int64)
+    for k in range(1, 5):
+        size += numbers >= 1 << 7 * k
+    first = np.cumsum(size) - size
+    nth = np.arange(int(size.sum())) - np.repeat(first, size)
+    part = np.repeat(numbers, size) >> 7 * nth & 127
+    return (part | np.where(nth + 1 < np.repeat(size, size), 128, 0)).astype(np.uint8), size
+
+
+def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where each one's bytes end."""
+    ends = np.flatnonzero(packed < 128) + 1
+    first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    nth = np.minimum(np.arange(ends[-1] if len(ends) else 0) - np.repeat(first, ends - first), 4)
+    parts = (packed[: len(nth)].astype(np.int64) & 127) << 7 * nth
+    return np.add.reduceat(parts, first) if len(ends) else ends, ends
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The coded blocks of ``ids``: each a CRC-32 of its ids, then its words."""
+    """The coded blocks of ``ids``: CRC-32 of its ids, alphabet's bytes and their number, and words."""
     n = len(ids)
     if not n:
         return []
-    sizes = _lane_lengths(n, block)
-    lanes = len(sizes)
-    grid = np.zeros(lanes * block, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    m = _Lanes(lanes)
-    out, used = np.zeros((lanes, block + 64), np.uint16), np.zeros(lanes, np.int64)
-
-    def drain(a: int) -> None:
-        nonlocal out
-        for idx in m.settle(a):
-            at = used[idx]
-            if at.max() + 8 >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-            out[idx, at] = m.low[idx] >> _SETTLED
-            used[idx] = at + 1
-
-    bits = np.frexp(np.arange(1 << 16))[1]
-    for t in range(sizes[0]):
-        a = lanes if t < sizes[-1] else lanes - 1
-        value = grid[t, :a]
-        m.predict(a)
-        large = value > 65535
-        magnitude = np.where(large, 15, np.maximum(bits[np.minimum(value, 65535)], 4) - 2)
-        action = np.where(m.p2 == value, 0, np.where(m.p1 == value, 1, magnitude))
-        lane = m.lanes[:a]
-        size = m.mixed[lane, action]
-        end = m.cum[lane, action]
-        m.narrow(a, (end - size).astype(np.uint64), size.astype(np.uint64), m.range[:a] // m.cum[:, -1].astype(np.uint64))
-        drain(a)
-        count = _BITS[action]
-        rest = np.where(count > 0, value - _FROM[action], 0)
-        wide = action == 15
-        if wide.any():
-            rest = np.where(wide, value >> 16, rest)
-        m.narrow(a, rest.astype(np.uint64), np.uint64(1), m.range[:a] >> count)
-        drain(a)
-        if wide.any():
-            count = np.where(wide, 16, 0).astype(np.uint64)
-            m.narrow(a, np.where(wide, value & 65535, 0).astype(np.uint64), np.uint64(1), m.range[:a] >> count)
-            drain(a)
-        m.learn(a, action, value)
-    tail = np.stack([(m.low >> np.uint64(s)) & np.uint64(65535) for s in (32, 16, 0)], axis=1).astype("<u2")
-    whole, words = np.asarray(ids).astype("<u4"), out.astype("<u2", copy=False)
-    return [zlib.crc32(whole[i * block : i * block + sizes[i]].tobytes()).to_bytes(4, "little") + words[i, : used[i]].tobytes() + tail[i].tobytes() for i in range(lanes)]
+    ids = np.asarray(ids).astype("<u4", copy=False)
+    lanes, steps = _shape(n, block)
+    alphabets, symbols = _alphabets(ids, lanes, steps)
+    m = _Mixture(np.array([len(a) for a in alphabets]))
+    words = np.zeros((lanes, (steps * (int(m.shift) + 1)) // 32 + 8), np.uint32)
+    used = np.zeros(lanes, np.int64)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    weight_total, slots = np.int64(1 << _WEIGHT_BITS), m.bits
+
+    def carry(lane: np.ndarray) -> None:
+        at = used[lane] - 1
+        while len(lane):
+            words[lane, at] += np.uint32(1)
+            over = words[lane, at] == 0
+            lane, at = lane[over], at[over] - 1
+
+    for a, b in _epochs(steps):
+        if a:
+            m.renew(False)
+        s = symbols[a:b].astype(np.int64)
+        previous = np.concatenate([last[None], s[:-1]])
+        older = np.concatenate([before[None], previous[:-1]])
+        at1, at2 = previous + m.row, _pair(previous, older) + m.pairs
+        one, two = np.empty(s.shape, np.uint16), np.empty(s.shape, np.uint16)
+        bare = symbols[a:b] << np.uint16(2)
+        for t in range(b - a):
+            for table, at, told in ((m.one, at1[t], one), (m.two, at2[t], two)):
+                now = told[t] = table.take(at)
+                table[at] = _next(now, bare[t])
+        last, before = s[-1], previous[-1]
+        state = _states(two, one, m.own)
+        event = np.where(_right(two, bare), 0, np.where(_right(one, bare), 1, 2))
+        end2, end1 = m.end2[state], m.end1[state]
+        span = m.spans[m.row + s].astype(np.int64)
+        rest = weight_total - end1
+        start = np.where(event == 0, 0, np.where(event == 1, end2 << slots, (end1 << slots) + rest * (span >> 16))).astype(np.uint64)
+        share = np.where(event == 0, end2 << slots, np.where(event == 1, (end1 - end2) << slots, rest * (span & 0xFFFF))).astype(np.uint64)
+        m.learn(s, state, event)
+        for t in range(b - a):
+            unit = size >> m.shift
+            moved = low + unit * start[t]
+            wrapped = moved < low
+            if wrapped.any():
+                carry(np.flatnonzero(wrapped))
+            low, size = moved, unit * share[t]
+            due = np.flatnonzero(size <= _FULL)
+            if len(due):
+                now = low[due]
+                words[due, used[due]] = now >> _32
+                used[due] += 1
+                low[due] = now << _32
+                size[due] <<= _32
+    words[np.arange(lanes), used] = low >> _32
+    words[np.arange(lanes), used + 1] = low & _FULL
+    gaps = np.concatenate([np.diff(a.astype(np.int64), prepend=0) for a in alphabets])
+    packed, sizes = _pack(gaps)
+    ends = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes, np.cumsum(m.sizes) - m.sizes))))
+    words = words.astype("<u4", copy=False)
+    out = []
+    for k in range(lanes):
+        crc = zlib.crc32(ids[k * steps : (k + 1) * steps].tobytes())
+        out.append(crc.to_bytes(4, "little") + int(ends[k + 1] - ends[k]).to_bytes(4, "little") + packed[ends[k] : ends[k + 1]].tobytes() + words[k, : used[k] + 2].tobytes())
+    return out
+
+
+def _pair(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return (last * 40503 + before * 60493 >> 5) & (_PAIRS - 1)
+
+
+def _right(told: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    """Whether the prediction is the id (given as id << 2)."""
+    return ((told ^ bare) < 4) & (told & 3 > 0)
+
+
+def _next(told: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    """The prediction after the id came: one surer if it was right, up to 3."""
+    return bare + np.minimum(told & 3, 2) * ((told ^ bare) < 4) + np.uint16(1)
 
 
 def decode_blocks(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
     """The ``n`` ids of coded blocks; an error if a checksum differs."""
     if not n:
         return np.zeros(0, np.uint32)
-    sizes = _lane_lengths(n, block)
-    lanes = len(sizes)
+    lanes, steps = _shape(n, block)
     if lanes != len(blocks):
         raise ValueError("the number of blocks does not fit the number of ids")
-    flat = np.frombuffer(b"".join(b[4:] for b in blocks) + bytes(16), "<u2").astype(np.uint64)
-    at = np.concatenate(([0], np.cumsum([(len(b) - 4) // 2 for b in blocks])))[:-1]
-    m = _Lanes(lanes)
-    code = (flat[at] << np.uint64(32)) | (flat[at + 1] << _16) | flat[at + 2]
-    at = at + 3
-
-    def drain(a: int) -> None:
-        for idx in m.settle(a):
-            code[idx] = ((code[idx] << _16) & _MASK) | flat[np.minimum(at[idx], len(flat) - 1)]
-            at[idx] += 1
-
-    grid = np.zeros((block, lanes), np.int64)
-    for t in range(sizes[0]):
-        a = lanes if t < sizes[-1] else lanes - 1
-        m.predict(a)
-        total = m.cum[:, -1].astype(np.uint64)
-        unit = m.range[:a] // total
-        target = np.minimum((code[:a] - m.low[:a]) // unit, total - np.uint64(1)).astype(np.int32)
-        action = np.minimum((m.cum <= target[:, None]).sum(axis=1), 15)
-        lane = m.lanes[:a]
-        size, end = m.mixed[lane, action], m.cum[lane, action]
-        m.narrow(a, (end - size).astype(np.uint64), size.astype(np.uint64), unit)
-        drain(a)
-
-        def bits(count: np.ndarray, a: int = a) -> np.ndarray:
-            unit = m.range[:a] >> count
-            rest = np.minimum((code[:a] - m.low[:a]) // unit, (np.uint64(1) << count) - np.uint64(1))
-            m.narrow(a, rest, np.uint64(1), unit)
-            drain(a)
-            return rest.astype(np.int64)
-
-        value = bits(_BITS[action]) + _FROM[action]
-        wide = action == 15
-        if wide.any():
-            value = np.where(wide, value << 16, value) + bits(np.where(wide, 16, 0).astype(np.uint64))
-        value = np.where(action == 0, m.p2, np.where(action == 1, m.p1, value))
-        grid[t, :a] = value
-        m.learn(a, action, value)
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
-    for i, b in enumerate(blocks):
-        if zlib.crc32(ids[i * block : i * block + sizes[i]].tobytes()) != int.from_bytes(b[:4], "little"):
-            raise ValueError(f"block {i} is damaged")
-    return ids
-
-
-class _LibraryWords(dict):
-    """Word -> its ids as little-endian 32-bit integers, by the tokenizers library; forgets all when full."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    alphabets, parts = [], []
+    for k, b in enumerate(blocks):
+        stop = 8 + int.from_bytes(b[4:8], "little")
+        gaps, _ = _unpack(np.frombuffer(b[8:stop], np.uint8))
+        if not 0 < len(gaps) <= steps or (len(b) - stop) % 4:
+            raise ValueError(f"block {k} is damaged")
+        alphabets.append(np.cumsum(gaps))
+        parts.append(b[stop:])
+    m = _Mixture(np.array([len(a) for a in alphabets]))
+    words = np.frombuffer(b"".join(parts) + bytes(8), "<u4").astype(np.uint64)
+    end = len(words) - 1
+    at = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))[:-1]
+    code = (words[at] << _32) | words[np.minimum(at + 1, end)]
+    at = at + 2
+    size = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    grid = np.zeros((steps, lanes), np.uint16)
+    top, weight_total, bits = np.int64((1 << int(m.shift)) - 1), np.int64(1 << _WEIGHT_BITS), m.bits
+    place = np.arange(lanes) << bits
+    for a, b in _epochs(steps):
+        m.renew(True)
+        state, event = np.empty((b - a, lanes), np.int64), np.empty((b - a, lanes), np.uint8)
+        for t in range(b - a):
+            at1, at2 = last + m.row, _pair(last, before) + m.pairs
+            one, two = m.one.take(at1), m.two.take(at2)
+            now = state[t] = _states(two, one, m.own)
+            end2, end1 = m.end2.take(now), m.end1.take(now)
+            unit = size >> m.shift
+            value = np.minimum((code // unit).view(np.int64), top)
+            weight = value >> bits
+            first, second = weight < end2, weight < end1
+            rest = weight_total - end1
+            s = m.at.take(np.maximum(value - (end1 << bits), 0) // rest + place)
+            s = np.where(second, np.where(first, two, one) >> 2, s)
+            span = m.spans.take(s + m.row).astype(np.int64)
+            from_, to = (end1 << bits) + rest * (span >> 16), rest * (span & 0xFFFF)
+            if second.any():
+                from_ = np.where(second, np.where(first, 0, end2 << bits), from_)
+                to = np.where(second, np.where(first, end2, end1 - end2) << bits, to)
+            code -= unit * from_.view(np.uint64)
+            size = unit * to.view(np.uint64)
+            due = np.flatnonzero(size <= _FULL)
+            if len(due):
+                where = at[due]
+                code[due] = (code[due] << _32) | words[np.minimum(where, end)]
+                size[due] <<= _32
+                at[due] = where + 1
+            bare = s << np.uint16(2)
+            m.one[at1], m.two[at2] = _next(one, bare), _next(two, bare)
+            event[t] = 2 - second - first
+            grid[a + t] = s
+            before, last = last, s.astype(np.int64)
+        m.learn(grid[a:b].astype(np.int64), state, event)
+    symbols = np.ascontiguousarray(grid.T)
+    ids = np.zeros(lanes * steps, "<u4")
+    for k, each in enumerate(alphabets):
+        own = ids[k * steps : (k + 1) * steps]
+        own[:] = each[np.minimum(symbols[k], len(each) - 1)]
+        if zlib.crc32(own[: n - k * steps].tobytes()) != int.from_bytes(blocks[k][:4], "little"):
+            raise ValueError(f"block {k} is damaged")
+    return ids[:n]
 
 
 class LibraryEncoder:
-    """The library's encoding of whole texts; words that come again are looked up."""
+    """The tokenizers library's encoding of whole texts; words that come again are looked up."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        check_tokenizer(spec)
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(SPLIT).findall
-        self.get = _LibraryWords(self.tokenizer).__getitem__
+        self.model, self.letters = self.tokenizer.model, {b: c for c, b in byte_letters().items()}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.batches = TextEncoder(self.words, added, self.whole).batches
 
-    def encode(self, text: str) -> bytes:
-        if any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.get, self.find(text)))
+    def words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of pre-split words, which are given to the library's model in its letters for bytes."""
+        tokenize, letters = self.model.tokenize, self.letters
+        return [[t.id for t in tokenize(w.decode("latin-1").translate(letters))] for w in words]
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -300,40 +375,60 @@ class CodeConfig:
 
 
 SEGMENTS = "shard int, segment int, doc_ids array<long>, lengths array<long>, blocks array<binary>"
+#: Bytes of stored input that make up a shard, about.
+SHARD_BYTES = 32 << 20
+
+
+def shards_for(docs: DataFrame) -> int:
+    """As many as the optimizer's estimate of the input's size asks for, and at least the session's shuffle partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), 1 << 20))
+
+
+def appended(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` of texts with ``end_id`` after each text's, and the texts' lengths."""
+    sizes = np.diff(ends)
+    out = np.full(len(ids) + len(sizes), end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out, sizes + 1
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, config: CodeConfig = CodeConfig()) -> None:
     """Encodes all texts and writes the files to ``path``, ascending by document id from shard to shard."""
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast((tokenizer, f.read()))  # as large as the vocabulary
-    end, block, limit = np.array([config.end_id], "<u4").tobytes(), config.block, config.segment
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Ranges are of ids alone: what is sampled for them goes to the driver.
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
+        spec = f.read()
+    check_tokenizer(spec)
+    shared = spark.sparkContext.broadcast((tokenizer, spec))  # as large as the vocabulary
+    end, block, limit = config.end_id, config.block, config.segment
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # What is sampled for the ranges, and goes to the driver, is ids and hashes alone.
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange(shards_for(docs), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, segment = _encoder(shared), TaskContext.get().partitionId(), 0
-        names: list[int | None] = []
-        parts: list[bytes] = []
+        names: list[pa.Array] = []
+        parts: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         held = 0
 
         def close() -> pa.RecordBatch:
-            lengths = [len(p) // 4 for p in parts]
-            blocks = encode_blocks(np.frombuffer(b"".join(parts), "<u4"), block)
-            row = [[shard], [segment], [list(names)], [lengths], [blocks]]
+            blocks = encode_blocks(np.concatenate(parts), block)
+            row = [[shard], [segment], [pa.concat_arrays(names).to_pylist()], [np.concatenate(lengths).tolist()], [blocks]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["shard", "segment", "doc_ids", "lengths", "blocks"])
 
         for b in batches:
-            for i in range(b.num_rows):
-                coded = encoder.encode(b.column(1)[i].as_py()) + end
-                names.append(b.column(0)[i].as_py())
+            for row, chunk, ids, ends in encoder.batches(b.column(1)):
+                coded, sizes = appended(ids, ends, end)
+                names.append(b.column(0).slice(row, chunk.n))
                 parts.append(coded)
-                held += len(coded) // 4
+                lengths.append(sizes)
+                held += len(coded)
                 if held >= limit:
                     yield close()
-                    names, parts, held, segment = [], [], 0, segment + 1
+                    names, parts, lengths, held, segment = [], [], [], 0, segment + 1
         if parts:
             yield close()
 

@@ -1,6 +1,7 @@
 """The language-model operators against brute force, exact round trips and held-out labels."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__ as e
-from gleanery.llm import cws, minhash, mixing, quality_llr, rangecoder, secrets, sharding, token_counts, toxicity_mil
+from gleanery.llm import cws, minhash, mixing, presplit, quality_llr, rangecoder, secrets, sharding, token_counts, toxicity_mil
 from gleanery.llm import queries as llm
 from gleanery.llm.bpe_automaton import Codec, compile_merges, encode_texts
 from gleanery.llm.bpe_automaton import digests as bpe_digests
@@ -280,14 +281,54 @@ def test_automaton_equals_the_library(library):
     letters = "etaoinshrdlu ETA  '\n\t.,;0123éß漢字 \x85"
     texts = [*TEXT.values(), *("".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)), "e" * 3001, " " * 999]
     for t, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        ids = np.frombuffer(codec.encode(t), "<i4").tolist()
-        assert ids == want.ids
-        assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+        assert codec.encode(t) == want.ids
+        assert codec.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
+    at = 0
+    for row, chunk, ids, ends in codec.batches(pa.array(texts)):
+        assert row == at
+        for k in range(chunk.n):
+            assert ids[ends[k] : ends[k + 1]].tolist() == codec.encode(texts[row + k])
+        at += chunk.n
+    assert at == len(texts)
 
 
-def test_automaton_of_few_merges_by_brute_force():
-    import json
+def test_words_are_split_by_the_rule():
+    """Against the pattern itself, on texts that mix every kind of edge."""
+    rng = random.Random(1)
+    parts = ["a", "b", "'", "s", "t", "r", "e", "v", "l", "m", "d", " ", "  ", "\n", "\t", "1", "2", "!", "é", "漢", "\xa0", "\x85", "'s", "'re", "'ll", "Ⅷ", "½", "\u2003", "😀", "A", "'S", "\x1c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(20_000)] + ["", "'", " '", "'s", " 's", "x's", "don't", "\n's", " "]
+    find = regex.compile(presplit.SPLIT).findall
+    for row, chunk in presplit.chunks(pa.array(texts)):
+        starts = presplit.word_starts(chunk)
+        words_of = np.split(starts, np.searchsorted(starts, chunk.offsets[1:-1]))
+        for k in range(chunk.n):
+            at = np.append(words_of[k], chunk.offsets[k + 1]).tolist()
+            assert [chunk.data[a:b].tobytes().decode() for a, b in zip(at, at[1:])] == find(texts[row + k])
+    assert all((presplit.classes()[ord(c)] == kind) == bool(regex.match(p, c)) for c in map(chr, rng.sample(range(0x110000), 5000)) if not 0xD800 <= ord(c) < 0xE000 for kind, p in ((presplit.LETTER, r"\p{L}"), (presplit.NUMBER, r"\p{N}"), (presplit.SPACE, r"\s")))
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(presplit, "REMEMBERED_WORDS", 50)
+    monkeypatch.setattr(presplit, "PLACES", 64)
+    calls = []
+    coder = presplit.WordEncoder(lambda ws: [calls.append(w) or list(w) for w in ws])
+    texts = [" ".join(f"w{(k * j) % 97}" for j in range(20)) + " " + "long" * 40 for k in range(60)]
+    for t in texts:
+        for _, chunk in presplit.chunks(pa.array([t, "", t])):
+            ids, ends = coder.chunk(chunk)
+            assert bytes(ids.astype(np.uint8)) == t.encode() * 2 and ends.tolist() == [0, len(t), len(t), 2 * len(t)]
+    assert coder.words < 200
+
+
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"normalizer": {"type": "NFC"}}, {"model": {"type": "WordPiece"}}])
+def test_other_tokenizers_are_refused(change):
+    with open(llm.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    with pytest.raises(ValueError):
+        presplit.check_tokenizer(json.dumps(spec | change))
+
 
+def test_automaton_of_few_merges_by_brute_force():
     rng = random.Random(5)
     for _ in range(15):
         vocab = {c: i for i, c in enumerate("abc")}
@@ -297,7 +338,7 @@ def test_automaton_of_few_merges_by_brute_force():
             if u + v not in vocab:
                 vocab[u + v] = len(vocab)
                 merges.append([u, v])
-        codec = Codec(compile_merges(json.dumps({"model": {"vocab": vocab, "merges": merges}, "added_tokens": []})))
+        codec = Codec(compile_merges(json.dumps({"pre_tokenizer": {"type": "ByteLevel"}, "model": {"vocab": vocab, "merges": merges}, "added_tokens": []})))
         for _ in range(80):
             t = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
             parts = list(t)
@@ -334,13 +375,14 @@ def test_token_counts_by_brute_force(spark, docs, library):
 
 def test_range_coder_round_trip():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 100, 256, 257, 3000):
+    for n in (0, 1, 2, 15, 16, 17, 100, 256, 257, 3000):
         for ids in (rng.integers(0, 50257, n), rng.integers(0, 2**32, n), np.zeros(n, int), rng.integers(0, 20, n), np.tile([5, 7, 70000], n)[:n]):
             blocks = rangecoder.encode_blocks(ids.astype(np.uint32), 256)
             assert (rangecoder.decode_blocks(blocks, n, 256) == ids).all()
     alike = np.tile(np.arange(40), 200).astype(np.uint32)
     blocks = rangecoder.encode_blocks(alike)
     assert sum(map(len, blocks)) < len(alike) / 4
+    assert sum(map(len, rangecoder.encode_blocks(rng.geometric(0.02, 30_000).astype(np.uint32)))) * 8 < 30_000 * 7.6  # entropy 7.1 bits
     one = rangecoder.encode_blocks(alike[:500], 250)
     assert (rangecoder.decode_blocks(one[1:], 250, 250) == alike[250:500]).all()
     with pytest.raises(ValueError):
@@ -490,7 +532,7 @@ def test_near_duplicates_of_odd_tables(odd):
 def test_pattern_is_the_published_one():
     import public_tokenizers
 
-    from gleanery.llm.bpe_automaton import SPLIT
+    from gleanery.llm.presplit import SPLIT
 
     assert regex.compile(SPLIT) == regex.compile(public_tokenizers.PATTERN)
 
