@@ -26,16 +26,17 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset, as
-    in tests, a folder of this machine takes its place.
+    Only in local mode, where one machine runs everything, may it be unset; a
+    folder of that machine then takes its place.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/gleanery-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/gleanery-checkpoints"
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -59,7 +59,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())])
+SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())])
 LEDGER = T.StructType([T.StructField("blob", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(SPAN))])
 
 
@@ -67,27 +67,53 @@ def _none() -> Column:
     return F.array().cast(T.ArrayType(SPAN))
 
 
-def match_spans(text: Column, rule: Rule, rank: int) -> Column:
-    """All leftmost non-overlapping matches of a rule, as an array of spans."""
-    pattern = F.lit(rule.pattern)
-    between, whole = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    parts = F.arrays_zip(between.alias("gap"), whole.alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"))
-    kind = T.StructType([T.StructField("at", T.LongType()), T.StructField("found", T.ArrayType(SPAN))])
+#: Code points of a text that are cut out together.
+BLOCK = 1024
+#: Elements of an array that are folded together before the parts' results are.
+STRIDE = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once, however often lambdas inside read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, start: Column, op) -> Column:
+    """``op`` of ``start`` and an array's elements so far, for each element.
+
+    Growing an array in a fold copies it every time.  So the array is cut into
+    strides, a fold over these tells where each one starts, and an element's
+    result takes in what precedes it in its own stride.
+    """
+    fold = lambda xs, at: F.aggregate(xs, at, op)
+    strides = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / STRIDE) - 1, F.lit(0)).cast("int")), lambda k: F.slice(v, k * STRIDE + 1, STRIDE))
+    kind = "struct<at:bigint,starts:array<bigint>>"
+    begin = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("starts")).cast(kind)
+    starts = lambda cut: F.aggregate(cut, begin, lambda acc, xs: F.struct(fold(xs, acc["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")).cast(kind), lambda acc: acc["starts"])
+    each = lambda xs, at: F.transform(xs, lambda _, i: fold(F.slice(xs, 1, i + 1), at))
+    return let(values, lambda v: let(strides(v), lambda cut: F.flatten(F.zip_with(cut, starts(cut), each))))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["0"])
-        end = start + F.coalesce(F.char_length(x["1"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")).cast(SPAN)
-        counts = F.coalesce(F.char_length(x["2"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(counts, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found")).cast(kind)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), _none().alias("found")).cast(kind)
-    named = F.transform(parts, lambda p: F.struct(*[p[n].alias(str(i)) for i, n in enumerate(("gap", "hit", "part"))]))
-    return F.when(text.rlike(rule.pattern), F.aggregate(named, start, step, lambda acc: acc["found"])).otherwise(_none())
+def match_spans(text: Column, rule: Rule) -> Column:
+    """All leftmost non-overlapping matches of a rule, as an array of spans; running sums over the lengths of gaps and matches place them."""
+    pattern = F.lit(rule.pattern)
+    lengths = lambda xs: F.transform(xs, lambda x: F.char_length(x).cast("long"))
+    sizes = lambda hits: F.zip_with(F.slice(lengths(F.split(text, rule.pattern, -1)), 1, F.size(hits)), hits, lambda g, h: g + h)
+    ends = lambda hits: running(sizes(hits), F.lit(0).cast("long"), lambda a, x: a + x)
+    spans = lambda hits: F.zip_with(hits, ends(hits), lambda h, end: F.struct((end - h).alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end")).cast(SPAN))
+    found = let(lengths(F.regexp_extract_all(text, pattern, F.lit(0))), spans)
+    if rule.least:
+        parts = lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group)))
+        found = F.transform(F.filter(F.zip_with(found, parts, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda x: F.coalesce(x["n"] >= rule.least, F.lit(False))), lambda x: x["s"])
+    return F.when(text.rlike(rule.pattern), found).otherwise(_none())
 
 
-def _rank(rule: Rule, rules: Sequence[Rule]) -> int:
-    return [r.kind for r in rules].index(rule.kind)
+def in_order(spans: Column) -> Column:
+    """Spans, each once, by start, then kind: the base kinds as listed, this engine's others, then any by name."""
+    rank = lambda kind: F.coalesce(*[F.when(kind == r.kind, F.lit(k)) for k, r in enumerate(RULES)], F.lit(len(RULES)))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    once = let(F.array_sort(keyed), lambda all_: F.filter(all_, lambda s, i: (i == 0) | (s != F.get(all_, i - 1))))
+    return F.transform(once, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")).cast(SPAN))
 
 
 class BlobLedger:
@@ -112,10 +138,10 @@ class BlobLedger:
             seen = self.read().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
             blobs = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
             blobs = blobs.where(F.size("rules") > 0)
-            found = [F.when(F.array_contains("rules", r.key), match_spans(F.col("text"), r, _rank(r, rules))).otherwise(_none()) for r in rules]
+            found = [F.when(F.array_contains("rules", r.key), match_spans(F.col("text"), r)).otherwise(_none()) for r in rules]
         else:
             blobs = blobs.withColumn("rules", keys)
-            found = [match_spans(F.col("text"), r, _rank(r, rules)) for r in rules]
+            found = [match_spans(F.col("text"), r) for r in rules]
         blobs.select("blob", "rules", F.concat(*found).alias("spans")).write.mode("append").parquet(self.path)
 
     def findings(self, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -125,7 +151,7 @@ class BlobLedger:
         current = F.filter("rules", lambda r: F.array_contains(versions, r))
         kept = F.filter("spans", lambda s: F.exists(current, lambda r: F.substring_index(r, "@", 1) == s["kind"]) & F.array_contains(kinds, s["kind"]))
         own = self.read().select("blob", kept.alias("spans")).where(F.size("spans") > 0)
-        return own.groupBy("blob").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        return own.groupBy("blob").agg(in_order(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def address(docs: DataFrame) -> DataFrame:
@@ -152,7 +178,7 @@ def listed(spans: Column) -> Column:
 
 def digests(found: DataFrame) -> DataFrame:
     """The contract's columns."""
-    base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE_RULES]))
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
     counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
@@ -172,6 +198,25 @@ def key_end(text: Column, span: Column) -> Column:
     return F.when(span["kind"] == "pem", span["end"] + more).otherwise(span["end"])
 
 
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` to ``end`` of a text cut into blocks of :data:`BLOCK`."""
+    block = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+    a, b = (start % BLOCK).cast("int"), (end % BLOCK).cast("int")
+    several = F.concat(block(first).substr(a + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), block(last).substr(F.lit(1), b))
+    return F.when(end <= start, F.lit("")).when(first == last, block(first).substr(a + 1, b - a)).otherwise(several)
+
+
+def masked(text: Column, starts: Column, ends: Column, mask: str) -> Column:
+    """``text`` with a mask in place of each span, or run of overlapping ones; time follows the text's length."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    reach = running(ends, F.lit(0).cast("long"), lambda a, x: F.greatest(a, x))
+    part = lambda cut: lambda s, at: F.when(s < at, F.lit("")).otherwise(F.concat(between(cut, at, s), F.lit(mask)))
+    before = lambda far: F.concat(F.array(F.lit(0).cast("long")), F.slice(far, 1, F.size(far) - 1))
+    put = lambda cut, far: F.concat(F.array_join(F.zip_with(starts, before(far), part(cut)), ""), between(cut, F.element_at(far, -1), F.char_length(text).cast("long")))
+    return let(blocks, lambda cut: let(reach, lambda far: put(cut, far)))
+
+
 def redact_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule] = RULES, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span, and whole private keys, replaced by ``mask``; ``n_chars``, if there, follows the new text."""
     spark = docs.sparkSession
@@ -181,16 +226,8 @@ def redact_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Seq
     blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
     findings = scratch.put(ledger.findings(rules), "findings").toDF(blob, spans)
     joined = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(findings, blob, "left")
-    kind = T.StructType([T.StructField("out", T.StringType()), T.StructField("at", T.LongType())])
-
-    def step(acc: Column, s: Column) -> Column:
-        ahead = F.col("text").substr((acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        covered = s["start"] < acc["at"]  # an overlap: the mask is there already
-        out = F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], ahead, F.lit(mask)))
-        return F.struct(out.alias("out"), F.greatest(acc["at"], key_end(F.col("text"), s)).alias("at")).cast(kind)
-
-    rest = lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.char_length("text")))
-    clean = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")).cast(kind), step, rest)
+    starts = F.transform(spans, lambda s: s["start"])
+    clean = masked(F.col("text"), starts, F.transform(spans, lambda s: key_end(F.col("text"), s)), mask)
     out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))

@@ -13,8 +13,9 @@ Only the table itself, which no data enters, is filled on the driver.
 
 Edge cases: a null key hashes as the empty string.  Equal keys go to one
 shard.  With no shards there is nowhere to place and an error is raised.  An
-empty table gives no rows.  Other columns are passed through; the new columns
-replace any of the same name.
+empty table gives no rows.  Other columns, of any name, are passed through; the
+new columns replace any of the same name but the key, beside which they are
+called ``slot_`` or ``shard_``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import fresh
+
 
 def _is_prime(n: int) -> bool:
     return n > 1 and all(n % d for d in range(2, int(n**0.5) + 1))
@@ -86,12 +89,17 @@ def slot_of(key: Column, slots: int) -> Column:
 
 def place(rows: DataFrame, key: str, config: ShardConfig = ShardConfig()) -> DataFrame:
     """``rows`` with ``slot`` and ``shard``; no shuffle, the table is broadcast."""
-    table = lookup_table(rows.sparkSession, config)
-    own = [c for c in rows.columns if c not in ("slot", "shard") or c == key]
-    slotted = rows.select(*own).withColumn("_slot_", slot_of(F.col(key), config.slots))
-    joined = slotted.join(F.broadcast(table.select(F.col("slot").alias("_at_"), F.col("shard").alias("_to_"))), F.col("_slot_") == F.col("_at_"), "left")
-    keep = [c for c in own if c not in ("slot", "shard")]
-    return joined.select(*keep, F.col("_slot_").alias("slot"), F.col("_to_").alias("shard"))
+    at, to, own = fresh(rows, "_at"), fresh(rows, "_to"), fresh(rows, "_slot")
+    table = lookup_table(rows.sparkSession, config).toDF(at, to)  # a row a slot
+    placed = rows.withColumn(own, slot_of(F.col(key), config.slots)).join(F.broadcast(table), F.col(own) == F.col(at), "left")
+    keep = [F.col(c) for c in rows.columns if c.lower() not in ("slot", "shard") or c == key]
+    named = {own: "slot", to: "shard"}
+    return placed.select(*keep, *[F.col(c).alias(fresh_for(key, n)) for c, n in named.items()])
+
+
+def fresh_for(key: str, name: str) -> str:
+    """``name``, or with an underscore where the key column has that name."""
+    return name + "_" if key.lower() == name else name
 
 
 def shard_sizes(placed: DataFrame, size: Column) -> DataFrame:

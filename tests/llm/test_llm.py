@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -246,6 +247,48 @@ def test_the_ledger_scans_only_what_is_new(spark, docs, tmp_path):
     assert all(len(base_spans(t)) == got[i].n_assign + got[i].n_access + got[i].n_hex for i, t in TEXT.items())
 
 
+def test_digests_do_not_depend_on_what_was_scanned_before(spark, docs, tmp_path):
+    """A span's place in the order follows from its kind, not from the list of rules of the scan that found it."""
+    ledger = secrets.BlobLedger(spark, f"file://{tmp_path}/ledger")
+    some = docs.where("doc_id >= 50")
+    secrets.find_secrets(some, ledger, secrets.MORE_RULES).count()
+    got = by_id(secrets.digests(secrets.find_secrets(some, ledger, secrets.RULES[::-1])))
+    assert got == by_id(secrets.digests(secrets.find_secrets(some)))
+
+
+def test_many_hits_in_one_text(spark):
+    """Time follows the number of hits: 50,000 of them, placed and masked."""
+    n = 50_000
+    text = " é".join(f"{k:024x}" for k in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (found,) = secrets.find_secrets(docs).collect()
+    assert [(s.start, s.end) for s in found.spans] == [(26 * k, 26 * k + 24) for k in range(n)]
+    (clean,) = secrets.redact_secrets(docs).collect()
+    assert clean.text == " é".join(["[secret]"] * n)
+    assert time.perf_counter() - began < 120
+
+
+def test_overlapping_spans_are_masked_once(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 4)
+    monkeypatch.setattr(secrets, "STRIDE", 2)
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):
+        text = "".join(rng.choice("abcé\n漢😀") for _ in range(rng.randrange(1, 40)))
+        spans = sorted(sorted(rng.sample(range(len(text) + 1), 2)) for _ in range(rng.randrange(1, 8)))
+        rows.append((k, text, [a for a, _ in spans], [b for _, b in spans]))
+    df = spark.createDataFrame(rows, "k int, text string, starts array<long>, ends array<long>")
+    got = {r.k: r.out for r in df.select("k", secrets.masked(F.col("text"), F.col("starts"), F.col("ends"), "#").alias("out")).collect()}
+    for k, text, starts, ends in rows:
+        out, at = "", 0
+        for a, b in zip(starts, ends, strict=True):
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[k] == out + text[at:]
+
+
 def test_redaction(docs, odd):
     got = by_id(secrets.redact_secrets(docs))
     for i, t in TEXT.items():
@@ -450,6 +493,13 @@ def test_shards_share_evenly_and_move_little(spark, odd):
         slot = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % config.slots
         assert (r.slot, r.shard) == (slot, names[table[slot]])
     assert set(sharding.place(odd, "doc_id").columns) == {*odd.columns, "shard"}
+    clash = odd.select("doc_id", "slot", F.lit(1).alias("_at"), F.lit(2).alias("_TO"), F.lit(3).alias("_slot"), F.lit(4).alias("Shard"))
+    out = sharding.place(clash, "doc_id")
+    assert out.columns == ["doc_id", "_at", "_TO", "_slot", "slot", "shard"]
+    empty = int(hashlib.md5(b"").hexdigest()[:15], 16) % config.slots
+    assert [(r._at, r._TO, r._slot) for r in out.collect()] == [(1, 2, 3)] * 4 and [r.slot for r in out.where("doc_id is null").collect()] == [empty]
+    by_slot = sharding.place(odd, "slot")
+    assert by_slot.select("slot").distinct().collect()[0][0] == 4 and {"slot", "slot_", "shard"} <= set(by_slot.columns)
     with pytest.raises(ValueError):
         sharding.fill(sharding.ShardConfig(shards=()))
 
