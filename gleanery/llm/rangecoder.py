@@ -48,7 +48,7 @@ from .bpe_automaton import byte_letters
 from .presplit import TextEncoder, check_tokenizer
 
 #: The most ids in a block, and the largest that is allowed.
-BLOCK = 8192
+BLOCK = 4096
 LARGEST_BLOCK = 1 << 14
 #: A segment is closed at so many ids; it is what a task holds at once.
 SEGMENT = 1 << 23
@@ -57,7 +57,7 @@ SEGMENT = 1 << 23
 _WEIGHT_BITS = 12
 _LEAST_BITS = 12
 #: Places for order 2's predictions in a block.
-_PAIRS = 2048
+_PAIRS = 1024
 #: Counts that the weights start from: order 2 right, order 1 right, order 0.
 _PRIOR = (1, 1, 6)
 _FULL = np.uint64(0xFFFFFFFF)
@@ -91,9 +91,9 @@ class _Mixture:
         self.sizes, self.row, self.own = sizes, lane * self.width, lane * 32
         self.counts = np.zeros((self.lanes, self.width), np.int32)
         self.events = np.tile(np.array(_PRIOR, np.int64), (self.lanes * 32, 1))
-        # Order 1 and 2: id << 2 | how sure (0: no prediction yet).
-        self.one, self.two = np.zeros(self.lanes * self.width, np.uint16), np.zeros(self.lanes * _PAIRS, np.uint16)
-        self.pairs = lane * _PAIRS
+        # What orders 1 and 2 predict, one after the other: id << 2 | how sure (0: no prediction yet).
+        self.told = np.zeros(self.lanes * (self.width + _PAIRS), np.uint16)
+        self.pairs = lane * _PAIRS + self.lanes * self.width
         used = np.arange(1, self.width)[None, :] < sizes[:, None]
         self.used = np.flatnonzero(np.concatenate([np.zeros((self.lanes, 1), bool), used], axis=1))
         self.renew(False)
@@ -115,9 +115,9 @@ class _Mixture:
         self.spans = (start.astype(np.uint32) << np.uint32(16)) | size.astype(np.uint32)
         seen = self.events.sum(axis=1)
         scale = (1 << _WEIGHT_BITS) - 3
-        #: By lane and state: where order 2's weight ends, and where order 1's does.
-        self.end2 = 1 + self.events[:, 0] * scale // seen
-        self.end1 = self.end2 + 1 + self.events[:, 1] * scale // seen
+        end2 = 1 + self.events[:, 0] * scale // seen
+        #: By lane and state: where order 2's weight ends << 16 | where order 1's does; order 0 has the rest.
+        self.ends = (end2 << 16 | end2 + 1 + self.events[:, 1] * scale // seen).astype(np.uint32)
         if look_up:
             marks = np.zeros(self.lanes * slots, np.uint16)
             marks[(self.used // self.width) * slots + start[self.used]] = 1
@@ -130,8 +130,9 @@ class _Mixture:
         self.events += np.bincount((state * 3 + event).reshape(-1), minlength=self.events.size).reshape(self.events.shape)
 
 
-def _states(two: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Which weights hold: how sure both orders are, and whether they agree."""
+def _states(told: tuple[np.ndarray, np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Which weights hold, from what orders 1 and 2 predict: how sure both are, and whether they agree."""
+    one, two = told
     return ((two & 3) << 3 | (one & 3) << 1 | ((two ^ one) < 4)) + own
 
 
@@ -185,18 +186,17 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     lanes, steps = _shape(n, block)
     alphabets, symbols = _alphabets(ids, lanes, steps)
     m = _Mixture(np.array([len(a) for a in alphabets]))
-    words = np.zeros((lanes, (steps * (int(m.shift) + 1)) // 32 + 8), np.uint32)
-    used = np.zeros(lanes, np.int64)
+    room = (steps * (int(m.shift) + 1)) // 32 + 8
+    words = np.zeros(lanes * room, np.uint32)
+    put = np.arange(lanes) * room
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    weight_total, slots = np.int64(1 << _WEIGHT_BITS), m.bits
+    weight_total, bits = np.int64(1 << _WEIGHT_BITS), m.bits
 
-    def carry(lane: np.ndarray) -> None:
-        at = used[lane] - 1
-        while len(lane):
-            words[lane, at] += np.uint32(1)
-            over = words[lane, at] == 0
-            lane, at = lane[over], at[over] - 1
+    def carry(at: np.ndarray) -> None:
+        while len(at):
+            words[at] += np.uint32(1)
+            at = at[words[at] == 0] - 1
 
     for a, b in _epochs(steps):
         if a:
@@ -204,42 +204,44 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
         s = symbols[a:b].astype(np.int64)
         previous = np.concatenate([last[None], s[:-1]])
         older = np.concatenate([before[None], previous[:-1]])
-        at1, at2 = previous + m.row, _pair(previous, older) + m.pairs
-        one, two = np.empty(s.shape, np.uint16), np.empty(s.shape, np.uint16)
+        at = np.concatenate([previous + m.row, _pair(previous, older) + m.pairs], axis=1)
+        told = np.empty(at.shape, np.uint16)
         bare = symbols[a:b] << np.uint16(2)
+        twice = np.concatenate([bare, bare], axis=1)
         for t in range(b - a):
-            for table, at, told in ((m.one, at1[t], one), (m.two, at2[t], two)):
-                now = told[t] = table.take(at)
-                table[at] = _next(now, bare[t])
+            where = at[t]
+            told[t] = now = m.told.take(where)
+            m.told[where] = _next(now, twice[t])
         last, before = s[-1], previous[-1]
-        state = _states(two, one, m.own)
-        event = np.where(_right(two, bare), 0, np.where(_right(one, bare), 1, 2))
-        end2, end1 = m.end2[state], m.end1[state]
-        span = m.spans[m.row + s].astype(np.int64)
+        told = told[:, :lanes], told[:, lanes:]
+        state = _states(told, m.own)
+        right = [((x ^ bare) < 4) & (x & 3 > 0) for x in told]
+        event = np.where(right[1], 0, np.where(right[0], 1, 2))
+        ends, span = m.ends[state].astype(np.int64), m.spans[m.row + s].astype(np.int64)
+        end2, end1 = ends >> 16, ends & 0xFFFF
         rest = weight_total - end1
-        start = np.where(event == 0, 0, np.where(event == 1, end2 << slots, (end1 << slots) + rest * (span >> 16))).astype(np.uint64)
-        share = np.where(event == 0, end2 << slots, np.where(event == 1, (end1 - end2) << slots, rest * (span & 0xFFFF))).astype(np.uint64)
+        start = np.where(event == 0, 0, np.where(event == 1, end2 << bits, (end1 << bits) + rest * (span >> 16))).astype(np.uint64)
+        share = np.where(event == 0, end2 << bits, np.where(event == 1, (end1 - end2) << bits, rest * (span & 0xFFFF))).astype(np.uint64)
         m.learn(s, state, event)
         for t in range(b - a):
             unit = size >> m.shift
             moved = low + unit * start[t]
             wrapped = moved < low
             if wrapped.any():
-                carry(np.flatnonzero(wrapped))
-            low, size = moved, unit * share[t]
-            due = np.flatnonzero(size <= _FULL)
-            if len(due):
-                now = low[due]
-                words[due, used[due]] = now >> _32
-                used[due] += 1
-                low[due] = now << _32
-                size[due] <<= _32
-    words[np.arange(lanes), used] = low >> _32
-    words[np.arange(lanes), used + 1] = low & _FULL
+                carry(put[wrapped] - 1)
+            size = unit * share[t]
+            words[put] = moved >> _32  # written over unless it is due
+            due = size <= _FULL
+            put += due
+            due = due * _32
+            low = moved << due
+            size <<= due
+    words[put] = low >> _32
+    words[put + 1] = low & _FULL
+    words, used = words.astype("<u4", copy=False).reshape(lanes, room), put - np.arange(lanes) * room
     gaps = np.concatenate([np.diff(a.astype(np.int64), prepend=0) for a in alphabets])
     packed, sizes = _pack(gaps)
     ends = np.concatenate(([0], np.cumsum(np.add.reduceat(sizes, np.cumsum(m.sizes) - m.sizes))))
-    words = words.astype("<u4", copy=False)
     out = []
     for k in range(lanes):
         crc = zlib.crc32(ids[k * steps : (k + 1) * steps].tobytes())
@@ -251,11 +253,6 @@ def _pair(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     return (last * 40503 + before * 60493 >> 5) & (_PAIRS - 1)
 
 
-def _right(told: np.ndarray, bare: np.ndarray) -> np.ndarray:
-    """Whether the prediction is the id (given as id << 2)."""
-    return ((told ^ bare) < 4) & (told & 3 > 0)
-
-
 def _next(told: np.ndarray, bare: np.ndarray) -> np.ndarray:
     """The prediction after the id came: one surer if it was right, up to 3."""
     return bare + np.minimum(told & 3, 2) * ((told ^ bare) < 4) + np.uint16(1)
@@ -278,49 +275,58 @@ def decode_blocks(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray
         parts.append(b[stop:])
     m = _Mixture(np.array([len(a) for a in alphabets]))
     words = np.frombuffer(b"".join(parts) + bytes(8), "<u4").astype(np.uint64)
-    end = len(words) - 1
     at = np.concatenate(([0], np.cumsum([len(p) // 4 for p in parts])))[:-1]
-    code = (words[at] << _32) | words[np.minimum(at + 1, end)]
+    code = words[at] << _32 | words.take(at + 1, mode="clip")
     at = at + 2
     size = np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     grid = np.zeros((steps, lanes), np.uint16)
     top, weight_total, bits = np.int64((1 << int(m.shift)) - 1), np.int64(1 << _WEIGHT_BITS), m.bits
-    place = np.arange(lanes) << bits
+    place, where = np.arange(lanes) << bits, np.empty(2 * lanes, np.int64)
+    to1, to2, twice = where[:lanes], where[lanes:], np.empty(2 * lanes, np.uint16)
     for a, b in _epochs(steps):
         m.renew(True)
-        state, event = np.empty((b - a, lanes), np.int64), np.empty((b - a, lanes), np.uint8)
+        state, right = np.empty((b - a, lanes), np.int64), np.empty((b - a, lanes), np.uint8)
         for t in range(b - a):
-            at1, at2 = last + m.row, _pair(last, before) + m.pairs
-            one, two = m.one.take(at1), m.two.take(at2)
-            now = state[t] = _states(two, one, m.own)
-            end2, end1 = m.end2.take(now), m.end1.take(now)
+            np.add(last, m.row, out=to1)
+            np.add(_pair(last, before), m.pairs, out=to2)
+            told = m.told.take(where)
+            one, two = told[:lanes], told[lanes:]
+            now = state[t] = _states((one, two), m.own)
             unit = size >> m.shift
             value = np.minimum((code // unit).view(np.int64), top)
-            weight = value >> bits
-            first, second = weight < end2, weight < end1
-            rest = weight_total - end1
-            s = m.at.take(np.maximum(value - (end1 << bits), 0) // rest + place)
-            s = np.where(second, np.where(first, two, one) >> 2, s)
-            span = m.spans.take(s + m.row).astype(np.int64)
-            from_, to = (end1 << bits) + rest * (span >> 16), rest * (span & 0xFFFF)
-            if second.any():
-                from_ = np.where(second, np.where(first, 0, end2 << bits), from_)
-                to = np.where(second, np.where(first, end2, end1 - end2) << bits, to)
-            code -= unit * from_.view(np.uint64)
-            size = unit * to.view(np.uint64)
-            due = np.flatnonzero(size <= _FULL)
-            if len(due):
-                where = at[due]
-                code[due] = (code[due] << _32) | words[np.minimum(where, end)]
-                size[due] <<= _32
-                at[due] = where + 1
-            bare = s << np.uint16(2)
-            m.one[at1], m.two[at2] = _next(one, bare), _next(two, bare)
-            event[t] = 2 - second - first
+            ends = m.ends.take(now).astype(np.int64)
+            end1 = ends & 0xFFFF
+            begin, rest = end1 << bits, weight_total - end1
+            # Exact: both are far below 2**53, and a quotient's distance from the next integer is above its rounding.
+            slot = (np.maximum(value - begin, 0) / rest).astype(np.int64)
+            s = m.at.take(slot + place)
+            span = m.spans.take(m.row + s).astype(np.int64)
+            start, share = begin + rest * (span >> 16), rest * (span & 0xFFFF)
+            guessed = value < begin
+            few = np.flatnonzero(guessed)  # where order 2 or 1 was right
+            if len(few):
+                mine, end2 = begin[few], (ends[few] >> 16) << bits
+                first = value[few] < end2
+                s[few] = np.where(first, two[few], one[few]) >> 2
+                start[few] = np.where(first, 0, end2)
+                share[few] = np.where(first, end2, mine - end2)
+                guessed.view(np.uint8)[few] += first
+            right[t] = guessed.view(np.uint8)
+            code -= unit * start.view(np.uint64)
+            size = unit * share.view(np.uint64)
+            due = size <= _FULL
+            coming = words.take(at, mode="clip")
+            at += due
+            coming *= due
+            due = due * _32
+            code = code << due | coming
+            size <<= due
+            twice[:lanes] = twice[lanes:] = s << np.uint16(2)
+            m.told[where] = _next(told, twice)
             grid[a + t] = s
             before, last = last, s.astype(np.int64)
-        m.learn(grid[a:b].astype(np.int64), state, event)
+        m.learn(grid[a:b].astype(np.int64), state, 2 - right.astype(np.int64))
     symbols = np.ascontiguousarray(grid.T)
     ids = np.zeros(lanes * steps, "<u4")
     for k, each in enumerate(alphabets):
