@@ -117,6 +117,38 @@ def confirm_hash_pairs(pairs: DataFrame, similarity: DataFrame, points: DataFram
     return both.where(alike | F.coalesce(F.col("points") >= least_points, F.lit(False))).select(*pairs.columns)
 
 
+def _packed(df: DataFrame, n: int) -> DataFrame:
+    """``(k, all)``: the rows ``(id, v)`` dealt to ``n`` blocks."""
+    one = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("k"), F.struct(F.col("id"), F.col("v").cast("array<double>").alias("v")).alias("one"))
+    return one.groupBy("k").agg(F.collect_list("one").alias("all"))
+
+
+def _meetings(queries: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    """``(x, y)``: every block of queries with every block of items."""
+    nx, ny = (max(1, -(-df.count() // block)) for df in (queries, items))
+    x = _packed(queries, nx).select(F.col("k").alias("i"), F.col("all").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("j"))
+    y = _packed(items, ny).select(F.col("k").alias("j"), F.col("all").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("i"))
+    return x.join(y, ["i", "j"]).select("x", "y")
+
+
+def _block(cell: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+    ids, vectors = cell.values.field("id"), cell.values.field("v")
+    return ids, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+
+def most_similar(queries: DataFrame, items: DataFrame, block: int = 512) -> DataFrame:
+    """``(id, closest)``: each query's greatest dot product with an item; blocks of both meet, and a row a query comes of each meeting."""
+    kind = queries.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (q, u), (_, v) = _block(b.column(0)[r]), _block(b.column(1)[r])
+                yield pa.RecordBatch.from_arrays([q, pa.array((u @ v.T).max(axis=1))], names=["id", "closest"])
+
+    return _meetings(queries, items, block).mapInArrow(run, f"id {kind}, closest double").groupBy("id").agg(F.max("closest").alias("closest"))
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 512) -> DataFrame:
     """``(q, id, distance, rank)``: each query's ``k`` nearest items of ``(id, v)``, by blocks; ties by id.
 
@@ -125,21 +157,26 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = 512) -> D
     """
     from pyspark.sql.window import Window
 
-    nx, ny = max(1, -(-queries.count() // block)), max(1, -(-items.count() // block))
-    pack = lambda df, n: df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("k"), F.struct(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).alias("one")).groupBy("k").agg(F.collect_list("one").alias("all"))
-    x = pack(queries, nx).select(F.col("k").alias("i"), F.col("all").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(ny - 1))).alias("j"))
-    y = pack(items, ny).select(F.col("k").alias("j"), F.col("all").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("i"))
+    long = lambda df: df.select(F.col("id").cast("long").alias("id"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                (q, u), (c, v) = ((cell.values.field("id").to_numpy(zero_copy_only=False), np.stack(cell.values.field("v").to_numpy(zero_copy_only=False))) for cell in (b.column(0)[r], b.column(1)[r]))
+                (q, u), (c, v) = ((ids.to_numpy(zero_copy_only=False), m) for ids, m in (_block(b.column(0)[r]), _block(b.column(1)[r])))
                 order = np.argsort(c, kind="stable")
                 c, v = c[order], v[order]
-                d = ((u[:, None, :] - v[None, :, :]) ** 2).sum(-1) if u.shape[0] * v.shape[0] * u.shape[1] <= 1 << 22 else (u**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * u @ v.T
+                d = np.stack([((x - v) ** 2).sum(axis=1) for x in u])
                 top = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, top.shape[1])), pa.array(c[top].reshape(-1)), pa.array(np.take_along_axis(d, top, 1).reshape(-1))], names=["q", "id", "distance"])
 
-    found = x.join(y, ["i", "j"]).select("x", "y").mapInArrow(run, "q long, id long, distance double")
+    found = _meetings(long(queries), long(items), block).mapInArrow(run, "q long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("distance", 9), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def other_nearest(vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
+    """``(q, id, distance, rank)``: each row's ``k`` nearest other rows."""
+    from pyspark.sql.window import Window
+
+    others = nearest(vectors, vectors, k + 1, block).where("q <> id")
+    return others.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("rank"))).where(F.col("rank") <= k)

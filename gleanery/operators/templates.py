@@ -9,20 +9,33 @@ from pyspark.sql.window import Window
 from ..config import DEFAULT, AuditConfig
 
 
+def ranked_by_hash(photos: DataFrame) -> DataFrame:
+    """``(ref, place, total)``: ``photos(id)`` numbered from 0 by ``md5(id)``, in two levels, so that no task sorts all of them."""
+    h = F.md5(F.col("id").cast("string"))
+    rows = photos.select(F.col("id").alias("ref"), h.alias("h"), F.substring(h, 1, 3).alias("part"))
+    counts = rows.groupBy("part").agg(F.count("*").alias("c"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # of 4096 parts
+    ahead = counts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"), F.sum("c").over(Window.partitionBy()).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("h", "ref")) - 1
+    return rows.withColumn("inside", inside).join(F.broadcast(ahead), "part").select("ref", (F.col("ahead") + F.col("inside")).alias("place"), "total")
+
+
 def reference_sample(pairs: DataFrame, photos: DataFrame, n: int) -> DataFrame:
-    """``(a, b, ref)``: for each pair, ``n`` other photos, the first by ``md5(a | b | ref)``.
+    """``(a, b, ref)``: for each pair, ``n`` other photos (all of them, if there are fewer).
 
-    ``photos(id)`` is the pool; every pair draws from all of it, so the pool is
-    dealt to the pairs by a constant number of parts, each giving its own first
-    ``n``, before the pair's first ``n`` are taken.
+    ``photos(id)`` is the pool, laid out in a circle by hash.  A pair takes the
+    photos in a row that begins at a hash of the pair, itself left out: an
+    equi-join on places, whose rows are as many as are drawn.
     """
-    key = F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string"), F.col("ref").cast("string")))
-    parts = 16
-    left = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    right = photos.select(F.col("id").alias("ref")).withColumn("part", F.pmod(F.xxhash64("ref"), F.lit(parts)).cast("int"))
-    pool = left.join(right, "part").where("ref <> a and ref <> b").withColumn("k", key)
-    few = pool.withColumn("r", F.row_number().over(Window.partitionBy("a", "b", "part").orderBy("k"))).where(F.col("r") <= n)
-    return few.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("k"))).where(F.col("r") <= n).select("a", "b", "ref")
+    placed = ranked_by_hash(photos)
+    total = F.broadcast(placed.select("total").limit(1))  # one row
+    key = F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")))
+    start = F.conv(F.substring(key, 1, 12), 16, 10).cast("long")
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(n + 2).cast("long"), F.col("total")) - 1)).alias("k")
+    drawn = pairs.select("a", "b").distinct().join(total).select("a", "b", "total", start.alias("start"), steps)
+    drawn = drawn.select("a", "b", "k", F.pmod(F.col("start") + F.col("k"), F.col("total")).alias("place"))
+    found = drawn.join(placed.select("ref", "place"), "place").where("ref <> a and ref <> b")
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("k"))).where(F.col("r") <= n).select("a", "b", "ref")
 
 
 def ratio_matches(neighbours: DataFrame, ratio: float) -> DataFrame:

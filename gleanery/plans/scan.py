@@ -18,7 +18,8 @@ from ..sources import exif, images
 class Audit:
     """``scan`` returns a dict of DataFrames (``shift`` is a dict); keys follow what was given.
 
-    The per-image measures are computed once and kept (``work`` names a shared
+    A photo is named by its split and file name (``train/a.png``), so that folders
+    may share names.  The per-image measures and keypoints are computed once and kept (``work`` names a shared
     folder; without one they are persisted).  Checks that only report are run
     inside a guard, so that one that fails leaves its fallback and the rest stands.
     """
@@ -47,33 +48,33 @@ class Audit:
             return fallback
 
     def _load(self, folder: str, split: str) -> tuple[DataFrame, DataFrame]:
-        raw = self._keep(pixels.measured(images.pixels(self.spark, folder), self.config, self.embed), f"measures-{split}")
-        files = images.list_images(self.spark, folder, self.config)
+        raw = self._keep(pixels.measured(images.pixels(self.spark, folder, split), self.config, self.embed), f"measures-{split}")
+        files = images.list_images(self.spark, folder, self.config, split)
         text = bytes_as_text(F.col("content"), self.config.max_read_bytes)
         facts = exif.with_exif(files).select("name", "orientation", "camera", "taken_us", ai_marker(text).alias("ai"), stock_marker(text).alias("stock"))
         return raw, self._keep(facts, f"facts-{split}")
 
-    def _similar(self, left: DataFrame, right: DataFrame | None, known: DataFrame, pixels_of: DataFrame, name: str) -> DataFrame:
+    def _similar(self, left: DataFrame, right: DataFrame | None, known: DataFrame, features: DataFrame, name: str) -> DataFrame:
         near = pairs.cosine_join(left.select(F.col("name").alias("id"), "v"), None if right is None else right.select(F.col("name").alias("id"), "v"), self.config.candidate_similarity)
         candidates = pairs.minus_pairs(near, known).withColumn("similarity", F.round("similarity", 3))
-        return self._keep(verify.verified(candidates, pixels_of, self.config).where(F.col("inliers") >= self.config.least_inliers), name)
+        return self._keep(verify.verified(candidates, features, self.config).where(F.col("inliers") >= self.config.least_inliers), name)
 
-    def _hashed(self, left: DataFrame, right: DataFrame | None, pixels_of: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
+    def _hashed(self, left: DataFrame, right: DataFrame | None, features: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
         c = self.config
         cut = lambda df: df.select(F.col("name").alias("id"), "hash")
         found = pairs.hamming_join(cut(left), None if right is None else cut(right), c.hash_distance, bits=256)
-        told = verify.verified(found, pixels_of, c).select("a", "b", "distance", F.col("inliers").alias("points"), "fixed_camera")
+        told = verify.verified(found, features, c).select("a", "b", "distance", F.col("inliers").alias("points"), "fixed_camera")
         va, vb = vectors.toDF("a", "va"), vectors.toDF("b", "vb")
         sims = found.join(va, "a").join(vb, "b").select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("similarity"))
         return self._keep(pairs.confirm_hash_pairs(found, sims, told.drop("distance"), c.confirm_similarity, c.confirm_points), name)
 
-    def _split_templates(self, found: DataFrame, photos: DataFrame, pixels_of: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    def _split_templates(self, found: DataFrame, photos: DataFrame, features: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         n = photos.count()
         told = found.select("a", "b", "similarity", "inliers", "box_a", "box_b")
         if n < self.config.least_photos_for_templates:
             return told, told.withColumn("distinct", F.lit(0).cast("long")).where(F.lit(False))
         refs = templates.reference_sample(found, photos, self.config.template_references)
-        seen = verify.seen_in_references(found, refs, pixels_of, self.config)
+        seen = verify.seen_in_references(found, refs, features, self.config)
         distinct = self._keep(templates.distinct_inliers(seen, self.config), f"distinct-{name}")
         return templates.set_aside(told, distinct, n, self.config)
 
@@ -81,29 +82,31 @@ class Audit:
         c = self.config
         measures, facts = self._load(train, "train")
         good = measures.where("ok")
-        pixels_of = images.pixels(self.spark, train).where("height > 0")
+        pixels_of = images.pixels(self.spark, train, "train").where("height > 0")
         vectors = good.select("name", "v")
         result: dict = {}
         test_good = test_facts = None
         if test:
             test_measures, test_facts = self._load(test, "test")
             test_good = test_measures.where("ok")
-            pixels_of = pixels_of.union(images.pixels(self.spark, test).where("height > 0"))
+            pixels_of = pixels_of.union(images.pixels(self.spark, test, "test").where("height > 0"))
             vectors = vectors.union(test_good.select("name", "v"))
+        # Two detections a photo, whatever the number of pairs it is in.
+        features = self._keep(verify.feature_table(pixels_of), "features")
         readable = facts.join(good.select("name"), "name", "left_semi")
-        result["duplicate_pairs"] = self._hashed(good, None, pixels_of, vectors, "duplicate_pairs")
+        result["duplicate_pairs"] = self._hashed(good, None, features, vectors, "duplicate_pairs")
         result["blurry_images"] = good.where(F.col("sharpness") <= c.blur_limit).select("name", "sharpness")
         result["risky_orientation_images"] = readable.where(risky_orientation(F.col("orientation"))).select("name", "orientation", swaps_dimensions(F.col("orientation")).alias("swaps_dimensions"))
         result["unreadable_images"] = measures.where("not ok").select("name")
         photos = vectors.select(F.col("name").alias("id"))
         aside = []
-        found = self._similar(good, None, result["duplicate_pairs"], pixels_of, "similar_pairs")
-        result["similar_pairs"], look = self._advisory("templates", lambda: self._split_templates(found, photos, pixels_of, "pairs"), (found.drop("descriptors", "fixed_camera"), None))
+        found = self._similar(good, None, result["duplicate_pairs"], features, "similar_pairs")
+        result["similar_pairs"], look = self._advisory("templates", lambda: self._split_templates(found, photos, features, "pairs"), (found.drop("keypoints", "fixed_camera"), None))
         aside.append((look, "duplicate"))
         if test:
-            result["leaked_pairs"] = self._hashed(good, test_good, pixels_of, vectors, "leaked_pairs")
-            leaks = self._similar(good, test_good, result["leaked_pairs"], pixels_of, "similar_leaks")
-            result["similar_leaks"], look = self._advisory("leak templates", lambda: self._split_templates(leaks, photos, pixels_of, "leaks"), (leaks.drop("descriptors", "fixed_camera"), None))
+            result["leaked_pairs"] = self._hashed(good, test_good, features, vectors, "leaked_pairs")
+            leaks = self._similar(good, test_good, result["leaked_pairs"], features, "similar_leaks")
+            result["similar_leaks"], look = self._advisory("leak templates", lambda: self._split_templates(leaks, photos, features, "leaks"), (leaks.drop("keypoints", "fixed_camera"), None))
             aside.append((look, "leak"))
             ids = lambda df: df.select(F.col("name").alias("id"), "v")
             result["shift"] = self._advisory("shift", lambda: shift.check_shift(ids(good), ids(test_good), c), None)

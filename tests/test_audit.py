@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleanery.config import AuditConfig
 from gleanery.functions import boxes as bx
 from gleanery.functions import names as nm
-from gleanery.operators import bursts, findings, labels, overlay, pairs, pixels, shift, verify
+from gleanery.operators import bursts, findings, labels, overlay, pairs, pixels, shift, templates, verify
 from gleanery.plans.scan import Audit, check_labels
 from gleanery.sources.exif import read_exif
 
@@ -131,16 +131,18 @@ def test_a_verdict_disputes_but_never_clears(spark):
     assert got == {"x": ("quarantine", "different", True), "y": ("keep", "different", False), "z": ("keep", "unsure", False)}
 
 
-def test_seven_of_eight_photos_carry_an_overlay():
+def test_seven_of_eight_photos_carry_an_overlay(spark):
     rng = np.random.default_rng(0)
     mark = np.zeros((60, 80))
     mark[10:20, 10:30] = 40
-    for stamped, there in ((7, True), (6, False)):
-        gx, gy = rng.normal(0, 3, (8, 60, 80)), rng.normal(0, 3, (8, 60, 80))
+    for photos, stamped, there in ((8, 7, True), (8, 6, False), (7, 7, False)):
+        gx, gy = rng.normal(0, 3, (photos, 60, 80)), rng.normal(0, 3, (photos, 60, 80))
         gx[:stamped] += mark
-        found = overlay.shape_pattern(gx, gy)
-        assert (found is not None) == there
-    assert overlay.shape_pattern(gx[:7], gy[:7]) is None
+        rows = [(0, f"p{k}", 60, 80, gx[k].ravel().tolist(), gy[k].ravel().tolist()) for k in range(photos)]
+        found = overlay.find_overlays(spark.createDataFrame(rows, "shape int, id string, height int, width int, gx array<double>, gy array<double>")).collect()
+        assert len(found) == there
+        if there:
+            assert (found[0].files, found[0].box) == ([f"p{k}" for k in range(7)], [0.125, 0.167, 0.375, 0.333])
 
 
 def test_five_photos_are_enough_for_shift(spark):
@@ -151,10 +153,39 @@ def test_five_photos_are_enough_for_shift(spark):
     assert shift.check_shift(make(15, 0, 0), make(5, 1, 100), config)["flagged"]
 
 
-def test_keypoints_find_a_mirrored_copy_and_no_other():
+def photos_of(spark, rasters):
+    rows = [(n, *v.shape, 1, np.clip(v, 0, 255).astype(np.uint8).tobytes()) for n, v in rasters.items()]
+    return spark.createDataFrame(rows, "name string, height int, width int, channels int, data binary")
+
+
+def test_keypoints_find_a_mirrored_copy_and_no_other(spark, monkeypatch):
     a = scene(1)
-    assert verify.content_match(a, a[:, ::-1].copy(), 0.75)["inliers"] >= 25
-    assert verify.content_match(a, scene(2), 0.75)["inliers"] < 25
+    moved = a.copy()
+    moved[40:90, 60:130] = scene(5)[40:90, 60:130]
+    rasters = {"a": a, "mirror": a[:, ::-1], "other": scene(2), "same": a, "moved": moved, "crop": a[20:160, 30:220], "flat": np.zeros((9, 9))}
+    features = verify.feature_table(photos_of(spark, rasters)).cache()
+    assert features.count() == 2 * len(rasters)
+    pairs_ = spark.createDataFrame([("a", k) for k in rasters if k != "a"], "a string, b string")
+    got = {r.b: r for r in verify.verified(pairs_, features).collect()}
+    assert got["mirror"].inliers >= 25 and got["same"].inliers >= 25 and got["crop"].inliers >= 25 and got["other"].inliers < 25
+    assert got["flat"].inliers == 0 and got["flat"].box_a is None
+    assert got["moved"].fixed_camera and got["moved"].inliers < 25 and not got["same"].fixed_camera
+    assert all(0 <= x <= 1 for x in got["mirror"].box_a + got["crop"].box_b) and len(got["mirror"].keypoints) == got["mirror"].inliers
+    # Once there is a table, nothing is detected again.
+    monkeypatch.setattr(verify, "detect", None)
+    refs = spark.createDataFrame([("a", "mirror", "same"), ("a", "mirror", "other")], "a string, b string, ref string")
+    seen = verify.seen_in_references(verify.verified(pairs_.where("b = 'mirror'"), features), refs, features)
+    share = {r.ref: r.s for r in seen.groupBy("ref").agg(F.avg(F.col("matched").cast("double")).alias("s")).collect()}
+    assert share["same"] > 0.9 > 0.5 > share["other"]
+
+
+def test_reference_samples(spark):
+    photos = spark.createDataFrame([(k,) for k in range(300)], "id long")
+    some = spark.createDataFrame([(1, 2), (3, 4), (5, 5)], "a long, b long")
+    got = [tuple(r) for r in templates.reference_sample(some, photos, 40).collect()]
+    assert len(got) == len(set(got)) == 120 and all(r not in (a, b) for a, b, r in got)
+    few = templates.reference_sample(some, photos.where("id < 10"), 40).groupBy("a").count().collect()
+    assert {r.a: r["count"] for r in few} == {1: 8, 3: 8, 5: 9}
 
 
 def test_sharp_and_blurred():
@@ -192,16 +223,31 @@ def test_scan(spark, folders, tmp_path):
     found = audit.scan(train, test, lab)
     assert audit.failures == {}
     of = lambda key, *c: sorted(tuple(r[x] for x in c) for r in found[key].collect())
-    assert of("duplicate_pairs", "a", "b") == [("copy.png", "t2.PNG")]
-    assert ("t3.PNG", "leak.png") in of("leaked_pairs", "a", "b")
-    assert ("flat.png",) in of("blurry_images", "name")
-    assert of("unreadable_images", "name") == [("junk.png",)]
-    assert of("risky_orientation_images", "name", "swaps_dimensions") == [("t0.PNG", True)]
-    assert [set(r.files) for r in found["bursts"].collect()] == [{"t0.PNG", "t1.PNG"}]
-    assert of("ai_generated_images", "name", "ai") == [("flat.png", "Midjourney")]
+    assert of("duplicate_pairs", "a", "b") == [("train/copy.png", "train/t2.PNG")]
+    assert ("train/t3.PNG", "test/leak.png") in of("leaked_pairs", "a", "b")
+    assert ("train/flat.png",) in of("blurry_images", "name")
+    assert of("unreadable_images", "name") == [("train/junk.png",)]
+    assert of("risky_orientation_images", "name", "swaps_dimensions") == [("train/t0.PNG", True)]
+    assert [set(r.files) for r in found["bursts"].collect()] == [{"train/t0.PNG", "train/t1.PNG"}]
+    assert of("ai_generated_images", "name", "ai") == [("train/flat.png", "Midjourney")]
     assert found["shift"]["checked"] and found["label_problems"].where("kind = 'missing'").count() == 10
 
 
+def test_equal_names_in_both_folders(spark, tmp_path):
+    """Photos are named by split and file, so one true leak is one pair in all tables."""
+    for split, seeds in (("train", (1, 2, 3)), ("test", (7, 2, 8))):
+        (tmp_path / split).mkdir()
+        for name, seed in zip("abc", seeds, strict=True):
+            png(tmp_path / split / f"{name}.png", scene(seed))
+    png(tmp_path / "test" / "d.png", scene(3)[:, ::-1])
+    audit = Audit(spark, AuditConfig(shift_permutations=20))
+    found = audit.scan(str(tmp_path / "train"), str(tmp_path / "test"))
+    assert audit.failures == {}
+    of = lambda key: sorted((r.a, r.b) for r in found[key].collect())
+    assert of("leaked_pairs") == [("train/b.png", "test/b.png")] and of("duplicate_pairs") == []
+    assert of("similar_leaks") == [("train/c.png", "test/d.png")] and of("similar_pairs") == []
+
+
 def test_no_leak_keys_without_a_test_folder(spark, folders):
     found = Audit(spark).scan(str(folders[2]))
     assert not {"leaked_pairs", "similar_leaks", "shift", "label_problems"} & set(found)
