@@ -23,8 +23,9 @@ every whole text.
 
 Edge cases: a null or empty text has no sentence and scores the noisy-or of
 none, 0.  Rows that repeat score alike, and a null id is never held out and
-never trained on.  If the labels hold one class only, or none, every score is
-0 for lack of evidence.  An id with differing labels counts as toxic.  Other
+never trained on.  If the labels outside the held-out fold hold one class only,
+nothing tells texts apart, and every score is the smoothed share of toxic ones,
+``toxic / (labels + 1)``: 0 without labels or toxic ones.  An id with differing labels counts as toxic.  Other
 columns are ignored.
 """
 
@@ -190,9 +191,8 @@ def within_words(docs: DataFrame, sample: DataFrame, config: ToxicityConfig) ->
     return docs.sparkSession.createDataFrame(taken, sample.schema)
 
 
-def gather(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> Bags | None:
+def gather(docs: DataFrame, sample: DataFrame, totals: dict[bool, int], config: ToxicityConfig) -> Bags | None:
     """The training sample's features, on the driver; none if a class is missing."""
-    sample, totals = training_sample(labels, config)
     if len(totals) < 2:
         return None
     cells = config.cells
@@ -242,8 +242,8 @@ def noisy_or(z: np.ndarray, bias: float, text: np.ndarray, n: int, weak: float)
     return -np.expm1(-(np.bincount(text[strong], excess[strong], minlength=n) + most))
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray | None, config: ToxicityConfig) -> DataFrame:
-    """``doc_id, score, offending``: the latter as (start, end, score) of sentences, in code points."""
+def score_texts(docs: DataFrame, weights: np.ndarray | None, config: ToxicityConfig, prior: float = 0.0) -> DataFrame:
+    """``doc_id, score, offending``: the latter as (start, end, score) of sentences, in code points; ``prior`` is the score without weights."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))  # one float a cell
     cells, locate, weak = config.cells, config.locate, config.weak
@@ -254,7 +254,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray | None, config: ToxicityCon
         for b in batches:
             for row, chunk in chunks(b.column(1), lower=True):
                 n = chunk.n
-                score, found = np.zeros(n), np.zeros(n, np.int64)
+                score, found = np.full(n, 0.0 if w is not None else prior), np.zeros(n, np.int64)
                 starts = ends = np.zeros(0, np.int64)
                 scores = np.zeros(0)
                 if w is not None and len(chunk.spans[0]):
@@ -276,6 +276,8 @@ def score_texts(docs: DataFrame, weights: np.ndarray | None, config: ToxicityCon
 
 def toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """``doc_id, held_out, score, predicted, offending``, one row for each row of ``docs``."""
-    bags = gather(docs, labels, config)
-    scored = score_texts(docs, None if bags is None else train(bags, config), config)
+    sample, totals = training_sample(labels, config)
+    bags = gather(docs, sample, totals, config)
+    prior = totals.get(True, 0) / (sum(totals.values()) + 1)
+    scored = score_texts(docs, None if bags is None else train(bags, config), config, prior if len(totals) < 2 else 0.0)
     return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
