@@ -8,13 +8,13 @@ b + 1)``; the sample is the pair (term, t) of the least rank.  Two texts agree
 in a sample with a probability of their generalised Jaccard similarity, the
 sum of the lesser weights over the sum of the greater.
 
-Terms are hashed into ``buckets`` cells, and the similarity is that of the
-merged cells: texts with thousands of distinct words look more alike than they
-are (the README has figures).  The draws of all cells form a table
-of fixed size that is broadcast, so that no logarithm is taken per word and
-sample.  A rank is a function of (term, t) with a continuous distribution, so
-the least rank itself stands for the pair, and a document's fingerprint is the
-column-wise minimum over its terms.
+A term is its 64-bit hash.  Draws come from two tables of fixed size that are
+broadcast, so that no logarithm is taken per word and sample: one part of the
+hash picks the row of the ``r``, another that of the ``b`` and ``c``.  Two terms
+share all their draws only if both parts are equal, one pair in ``buckets ** 2``
+(2**28); then they count as one term.  A rank is a function of (term, t) with a
+continuous distribution, so the least rank itself stands for the pair, and a
+document's fingerprint is the column-wise minimum over its terms.
 
 The table's one large shuffle brings neighbours in id order together: ids are
 cut into ranges of about equal numbers, each range holds its documents and the
@@ -42,7 +42,7 @@ from ._shared import Scratch
 @dataclass(frozen=True)
 class SamplingConfig:
     samples: int = 64
-    #: Cells of hashed terms: the broadcast table has as many rows, of 3 floats a sample.
+    #: Rows of each of the broadcast tables, of 1 and 2 floats a sample; a power of two.
     buckets: int = 1 << 14
     #: Documents in a range of neighbours, about.
     range_rows: int = 2000
@@ -56,15 +56,16 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double") + 0.5) / float(1 << 52)
 
 
-def draws(spark: SparkSession, config: SamplingConfig) -> DataFrame:
-    """``(cell, d)``: for each sample, in turn, ``r``, ``b`` and ``ln c - r (1 - b)``, the rank at ``t = 0``."""
-    one = spark.range(config.buckets * config.samples).select(F.floor(F.col("id") / config.samples).cast("int").alias("cell"), (F.col("id") % config.samples).cast("int").alias("i"))
-    draw = lambda which: uniform(F.lit(config.seed), F.col("cell"), F.col("i"), F.lit(which))
+def draws(spark: SparkSession, config: SamplingConfig) -> tuple[DataFrame, DataFrame]:
+    """``(row1, r)`` and ``(row2, bc)``: for each sample, in turn, ``r``, and ``b`` and ``ln c``."""
+    one = spark.range(config.buckets * config.samples).select(F.floor(F.col("id") / config.samples).cast("int").alias("row"), (F.col("id") % config.samples).cast("int").alias("i"))
+    draw = lambda which: uniform(F.lit(config.seed), F.col("row"), F.col("i"), F.lit(which))
     gamma2 = lambda which: -F.ln(draw(which) * draw(which + 1))  # noqa: E731  the sum of two exponential draws
-    drawn = one.select("cell", "i", gamma2(0).alias("r"), draw(2).alias("b"), F.ln(gamma2(3)).alias("c"))
-    each = drawn.select("cell", F.struct("i", F.col("r").cast("float").alias("r"), F.col("b").cast("float").alias("b"), (F.col("c") - F.col("r") * (1 - F.col("b"))).cast("float").alias("c")).alias("v"))
-    rows = each.groupBy("cell").agg(F.array_sort(F.collect_list("v")).alias("v"))
-    return rows.select("cell", F.flatten(F.transform("v", lambda v: F.array(v["r"], v["b"], v["c"]))).alias("d"))
+    listed = lambda *v: F.array_sort(F.collect_list(F.struct("i", F.array(*[x.cast("float") for x in v]).alias("v"))))
+    flat = lambda column: F.flatten(F.transform(column, lambda x: x["v"]))
+    first = one.groupBy(F.col("row").alias("row1")).agg(listed(gamma2(0)).alias("v")).select("row1", flat("v").alias("r"))
+    second = one.groupBy(F.col("row").alias("row2")).agg(listed(draw(2), F.ln(gamma2(3))).alias("v")).select("row2", flat("v").alias("bc"))
+    return first, second
 
 
 def words(text: Column) -> Column:
@@ -74,15 +75,18 @@ def words(text: Column) -> Column:
 
 
 def fingerprints(terms: DataFrame, keys: list[str], config: SamplingConfig) -> DataFrame:
-    """From ``(keys..., cell, w)``, with a null cell for texts as such, to ``(keys..., s)``: an array of samples.
+    """From ``(keys..., term, w)``, with a null term for texts as such, to ``(keys..., s)``: an array of samples.
 
     ``s`` holds, per sample, the least rank, and nulls for the empty set.
     """
-    joined = terms.select(*keys, "cell", F.ln(F.col("w").cast("double")).alias("log")).join(F.broadcast(draws(terms.sparkSession, config)), "cell", "left")
+    first, second = draws(terms.sparkSession, config)
+    mask, bits = F.lit(config.buckets - 1).cast("long"), config.buckets.bit_length() - 1
+    row1, row2 = F.col("term").bitwiseAND(mask).cast("int").alias("row1"), F.shiftrightunsigned("term", bits).bitwiseAND(mask).cast("int").alias("row2")
+    joined = terms.select(*keys, row1, row2, F.ln(F.col("w").cast("double")).alias("log")).join(F.broadcast(first), "row1", "left").join(F.broadcast(second), "row2", "left")
     columns = []
     for i in range(config.samples):
-        r, b, c = (F.get("d", F.lit(3 * i + k)) for k in range(3))
-        columns.append(F.min(c - r * F.floor(F.col("log") / r + b)).alias(f"s{i}"))
+        r, b, c = F.get("r", F.lit(i)), F.get("bc", F.lit(2 * i)), F.get("bc", F.lit(2 * i + 1))
+        columns.append(F.min(c - r * (F.floor(F.col("log") / r + b) - b + 1)).alias(f"s{i}"))
     mins = joined.groupBy(*keys).agg(*columns)
     return mins.select(*keys, F.array(*[F.col(f"s{i}") for i in range(config.samples)]).alias("s"))
 
@@ -99,10 +103,10 @@ def as_text(s: str) -> Column:
 
 
 def weighted_terms(texts: DataFrame, keys: list[str], text: str, config: SamplingConfig) -> DataFrame:
-    """``(keys..., cell, w)`` of every text, and a row with a null cell."""
+    """``(keys..., term, w)`` of every text, and a row with a null term."""
     each = texts.select(*keys, F.explode(F.concat(words(F.col(text)), F.array(F.lit("")))).alias("word"))
-    cell = F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(config.buckets)).cast("int"))
-    return each.select(*keys, cell.alias("cell")).groupBy(*keys, "cell").agg(F.count("*").alias("w"))
+    term = F.when(F.col("word") != "", F.xxhash64("word"))
+    return each.select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("w"))
 
 
 def fingerprint_texts(docs: DataFrame, config: SamplingConfig = SamplingConfig()) -> DataFrame:
@@ -118,7 +122,7 @@ def _cuts_from(value: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     step = max(1, round(len(cuts) ** 0.5))
     reaches = lambda c: c >= value
-    array = lambda xs: F.array(*[F.lit(c) for c in xs])
+    array = lambda xs: F.lit(list(xs)).cast("array<long>")
     coarse = F.size(F.filter(array(cuts[::step]), reaches))
     fine = F.size(F.filter(F.slice(array(cuts), (coarse - 1) * step + 1, step), reaches))
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + fine)
@@ -141,13 +145,15 @@ def neighbours(docs: DataFrame, config: SamplingConfig, scratch: Scratch) -> Dat
     # The first document of each range, by id alone unless ids repeat.
     heads = scratch.put(ids.select("doc_id", place.alias("g")).groupBy("g").agg(F.max("doc_id").alias("head"), F.count("*").alias("c")), "heads")
     present = sorted((r.g, r.head) for r in heads.collect())  # at most most_ranges rows
-    before = {g: present[k - 1][0] for k, (g, _) in enumerate(present)}  # the first range follows the last
-    to = F.create_map(*[F.lit(x) for pair in (before or {-1: -1}).items() for x in pair])
-    head = F.create_map(*[F.lit(x) for pair in present if pair[1] is not None for x in pair]) if any(h is not None for _, h in present) else None
+    # By range: the one before it (the first one follows the last), and its first id.
+    before, first = [0] * (len(cuts) + 1), [None] * (len(cuts) + 1)
+    for k, (g, head) in enumerate(present):
+        before[g], first[g] = present[k - 1][0], head
+    to = F.get(F.lit(before), F.col("g"))
     placed = rows.withColumn("g", place)
-    is_head = placed.doc_id.isNull() if head is None else F.col("doc_id").eqNullSafe(head[F.col("g")])
+    is_head = F.col("doc_id").eqNullSafe(F.get(F.array(*[F.lit(h).cast("long") for h in first]), F.col("g")))
     both = placed.select(
-        "doc_id", "text", F.explode(F.when(is_head, F.array(F.struct("g", F.lit(False).alias("ghost")), F.struct(to[F.col("g")].alias("g"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct("g", F.lit(False).alias("ghost"))))).alias("at")
+        "doc_id", "text", F.explode(F.when(is_head, F.array(F.struct("g", F.lit(False).alias("ghost")), F.struct(to.alias("g"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct("g", F.lit(False).alias("ghost"))))).alias("at")
     ).select("at.g", "at.ghost", "doc_id", "text")
     w = Window.partitionBy("g").orderBy("ghost", *order)
     return both.select("g", "ghost", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next_text"))
