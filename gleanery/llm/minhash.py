@@ -28,6 +28,7 @@ columns are ignored by :func:`near_duplicates` and passed through by
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,8 @@ from .textkernel import Chunk, chunks, mix64
 
 #: Largest probability that a pair at the threshold shares no band.
 MISS = 1e-6
+#: Bands that are enough where a threshold leaves a choice; low thresholds take more.
+BANDS = 36
 #: Rounds with other pivots before members are compared one by one.
 PIVOT_ROUNDS = 2
 #: Texts and elements in one part of a large group.
@@ -57,11 +60,12 @@ class NearConfig:
 
     @property
     def shape(self) -> tuple[int, int]:
-        """Bands and rows: the most rows that need no more than 36 bands."""
-        s = self.percent / 100
-        fits = [(b, r) for r in range(1, 13) for b in range(1, 37) if (1 - s**r) ** b <= MISS]
-        rows = max((r for _, r in fits), default=1)
-        return min((b for b, r in fits if r == rows), default=36), rows
+        """Bands and rows: the most rows that need no more than :data:`BANDS`, or one row and the bands it takes."""
+        if not 0 < self.percent <= 100:
+            raise ValueError("a link's least similarity must be above 0 and at most 100 per cent")
+        need = lambda r: 1 if self.percent == 100 else math.ceil(math.log(MISS) / math.log1p(-((self.percent / 100) ** r)))
+        rows = max((r for r in range(1, 13) if need(r) <= BANDS), default=1)
+        return need(rows), rows
 
 
 def element_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +81,7 @@ def element_sets(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fast_similarity_sketch(elements: np.ndarray, owner: np.ndarray, n: int, t: int) -> np.ndarray:
     """``n`` rows of ``t`` coordinates; rows without elements hold the largest value."""
     if t > 500:
-        raise ValueError("a coordinate holds the number of its round in ten bits")
+        raise ValueError("a coordinate holds the number of its round in ten bits: thresholds below 3 per cent need more")
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     values = np.full(n * t, top, np.uint64)
     fraction = np.uint64((1 << 54) - 1)
