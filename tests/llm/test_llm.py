@@ -96,7 +96,9 @@ def test_quality_base_rules_by_brute_force(docs, labels):
         want = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), dup, len(inside))
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
-        assert r.kept == (not r.base_failed and r.llr >= -0.1)
+        assert r.kept <= (not r.base_failed)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    assert all(got[i].kept for i in good if i is not None and not got[i].base_failed)  # below the threshold without their own counts only
 
 
 def test_quality_scores_follow_the_ratio(spark, labels):
@@ -105,11 +107,45 @@ def test_quality_scores_follow_the_ratio(spark, labels):
     rows = [(k, ("good words here again " if k % 4 else "| $$$ || &&& ") * 20) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     told = spark.createDataFrame([(k, int(k % 4 != 0)) for k in range(20)], "doc_id long, quality int")
-    counts = {r.cell: (r.raw, r.target) for r in quality_llr.ngram_counts(docs, told, config).collect()}
+    counts = {r.cell: (r.raw, r.target) for r in quality_llr.ngram_counts(quality_llr.marked(docs, told, quality_llr.Scratch(spark)), config).collect()}
     assert sum(r for r, _ in counts.values()) == sum(2 * len(words(t)) - 1 for _, t in rows)
     assert sum(t for _, t in counts.values()) == sum(2 * len(words(t)) - 1 for k, t in rows if k < 20 and k % 4)
     got = by_id(quality_llr.quality_rules(docs, told, config))
     assert all((got[k].llr > 0) == bool(k % 4) for k, _ in rows)
+    assert all(got[k].kept == (not got[k].base_failed and bool(k % 4)) for k, _ in rows)
+
+
+def test_quality_scores_and_threshold_by_brute_force(spark):
+    """The ratio n-gram by n-gram, and a threshold from trusted texts that are left out of the target one by one."""
+    rng = random.Random(6)
+    config = quality_llr.QualityConfig(buckets=128, prior=2.0, refused=0.1)
+    pools = ["Alpha beta gamma delta éps".split(), "zu ze zi zo za".split()]
+    rows = [(k, " ".join(rng.choice(pools[k % 3 == 0]) if rng.random() < 0.9 else f"x{rng.randrange(99)}" for _ in range(rng.randrange(40, 120)))) for k in range(60)]
+    told = [(k, int(k % 3 != 0)) for k in range(0, 60, 2)]
+    docs, labels = spark.createDataFrame(rows + [(None, "zu ze"), (99, None), (98, "")], "doc_id long, text string").repartition(4), spark.createDataFrame(told + [(None, 1), (2, 1)], "doc_id long, quality int")
+    texts = [t for _, t in rows] + ["zu ze", "", ""]
+
+    def grams(text):
+        (chunk,) = [c for _, c in presplit.chunks(pa.array([text]), lower=True)] or [None]
+        return Counter(quality_llr._cells(chunk, 128)[0].tolist())
+
+    each = [grams(t) for t in texts]
+    raw, good = sum(each, Counter()), {k for k, q in told if q}
+    target = sum((each[k] for k in good), Counter())
+    p_raw = {c: (raw[c] + 1) / (raw.total() + 128) for c in range(128)}
+
+    def score(g, own):
+        total = target.total() - own.total() + 256
+        return sum(n * (math.log((target[c] - own[c] + 256 * p_raw[c]) / total) - math.log(p_raw[c])) for c, n in g.items()) / max(1, g.total())
+
+    got = {r.doc_id: r for r in quality_llr.quality_rules(docs, labels, config).collect()}
+    assert all(math.isclose(got[k].llr, score(each[k], Counter()), abs_tol=1e-9) for k in range(60))
+    left_out = sorted(math.floor(score(each[k], each[k]) * 1000) for k in good if not got[k].base_failed)
+    threshold = left_out[int(0.1 * len(left_out))] / 1000
+    assert math.isclose(quality_llr.fit(docs, labels, config).threshold, threshold, abs_tol=1e-3)
+    assert all(r.kept == (not r.base_failed and r.llr >= threshold) for r in got.values() if abs(r.llr - threshold) > 2e-3)
+    some = quality_llr.marked(docs, labels, quality_llr.Scratch(spark))
+    assert some.where("trusted").count() == len(good) and some.count() == 63
 
 
 def test_keep_good_keeps_columns(odd, labels, spark):
@@ -173,6 +209,40 @@ def test_toxicity_bounds_total_words(spark):
 def test_toxicity_without_labels(docs, labels):
     got = toxicity_mil.toxicity(docs, labels.limit(0).select("doc_id", "toxic"))
     assert got.count() == len(ROWS) and got.agg(F.max("score")).first()[0] == 0
+    one = labels.sparkSession.createDataFrame([(k, 1) for k in range(10)], "doc_id long, toxic int")
+    n = sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(10))
+    assert {(r.score, r.predicted) for r in toxicity_mil.toxicity(docs, one).collect()} == {(n / (n + 1), 1)}
+
+
+def test_toxicity_of_odd_tables(odd):
+    """Repeated rows, null ids and clashing columns; an empty table."""
+    labels = odd.sparkSession.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    got = toxicity_mil.toxicity(odd, labels).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == [None, 5, 5, 6] and got[1] == got[2] and got[3].score == 0
+    assert toxicity_mil.toxicity(odd.limit(0), labels).count() == 0
+
+
+def test_noisy_or_and_its_gradient_on_tiny_bags():
+    """The document's likelihood by hand, and a first step of training against differences of it."""
+    z, text = np.array([-1.0, 0.5, -7.0, -3.0]), np.array([0, 0, 1, 1])
+    s, floor = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(4.0))
+    want = [1 - (1 - s[0]) / (1 - floor) * (1 - s[1]) / (1 - floor), 1 - (1 - s[3]) / (1 - floor)]
+    assert np.allclose(toxicity_mil.noisy_or(z, -4.0, text, 2, 0.05), want)
+    cells = np.array([[0, 1, 2], [3, 4, 5], [0, 1, 6], [3, 4, 5], [7, 8, 9], [7, 8, 9]])
+    bags = toxicity_mil.Bags(cells, np.arange(6), np.array([0, 0, 1, 1, 2, 3]), np.array([True, True, False, False]), np.ones(4))
+    config = toxicity_mil.ToxicityConfig(cells=16, least_texts=1, steps=400, cost=0.01)
+
+    def loss(w):
+        zs = w[cells].sum(axis=1) + w[-1]
+        none = np.array([np.prod([1 / (1 + np.exp(zs[k])) for k in np.flatnonzero(bags.text == d)]) for d in range(4)])
+        return -np.mean(np.where(bags.toxic, np.log(1 - none), np.log(none))) + 0.01 * 0.25 * np.abs(w[:-1]).sum()
+
+    w = toxicity_mil.train(bags, config)
+    # Nothing nearby is better: the trained weights are at a least loss.
+    rng = np.random.default_rng(0)
+    assert loss(w) < loss(np.append(np.zeros(16), config.bias))
+    assert all(loss(w + d) > loss(w) - 0.01 for d in rng.normal(0, 0.3, (200, 17)))
+    assert w[0] > 0 and w[7] <= 0
 
 
 # -- 3 -----------------------------------------------------------------------------------------------------------------
@@ -470,6 +540,14 @@ def test_weighted_fingerprints(docs):
     assert all(whole[i].fingerprint == got[i].fingerprint for i in TEXT)
 
 
+def test_long_texts_of_other_words_are_unlike(spark):
+    """Texts of 20,000 distinct words each that share none, and ones that share half of them."""
+    texts = [" ".join(f"a{k}" for k in range(20_000)), " ".join(f"b{k}" for k in range(20_000)), " ".join(f"a{k}" for k in range(10_000, 30_000))]
+    got = {r.doc_id: r.s for r in cws.fingerprint_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), cws.SamplingConfig(samples=256)).collect()}
+    alike = lambda a, b: np.mean([x == y for x, y in zip(got[a], got[b], strict=True)])
+    assert alike(0, 1) == 0 and alike(1, 2) == 0 and abs(alike(0, 2) - 1 / 3) < 0.1
+
+
 def test_weighted_fingerprints_of_odd_tables(odd, spark):
     assert cws.fingerprint_edits(odd).count() == 4
     assert cws.fingerprint_edits(odd.limit(0)).count() == 0
@@ -486,6 +564,20 @@ def test_shards_share_evenly_and_move_little(spark, odd):
     names, left = sorted(config.shards), sorted(config.shards[:-1])
     moved = sum(names[a] != left[b] for a, b in zip(table, fewer, strict=True) if names[a] != config.shards[-1])
     assert moved < 0.05 * len(table)
+    # By hand, for seven slots: each shard in turn takes the first free slot of its own order.
+    small = sharding.ShardConfig(shards=("x", "y", "z"), slots=7)
+    left, want = set(range(7)), {}
+    orders = {}
+    for n in "xyz":
+        at, skip = (int(hashlib.md5(f"{n}#{w}".encode()).hexdigest()[:15], 16) for w in ("offset", "skip"))
+        orders[n] = [(at + k * (skip % 6 + 1)) % 7 for k in range(7)]
+    while left:
+        for k, n in enumerate("xyz"):
+            if left:
+                slot = next(x for x in orders[n] if x in left)
+                left.remove(slot)
+                want[slot] = k
+    assert sharding.fill(small) == [want[k] for k in range(7)]
     heavy = Counter(sharding.fill(sharding.ShardConfig(shards=("a", "b"), slots=101, weights={"a": 3})))
     assert 2.5 < heavy[0] / heavy[1] < 3.5
     placed = sharding.place(spark.range(2000).withColumnRenamed("id", "doc_id"), "doc_id", config)
@@ -571,6 +663,19 @@ def test_packed_parts_bound_what_sets_share():
     assert (left.tolist(), right.tolist()) == ([1], [2]) and part.collapsed.tolist() == [1, 1]
 
 
+def test_a_low_threshold_by_brute_force(spark):
+    """Bands follow from the threshold: at 20 per cent as many as it takes."""
+    rng = random.Random(11)
+    texts = {i: " ".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 14))) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    config = minhash.NearConfig(1, 20)
+    bands, rows = config.shape
+    assert (1 - 0.2**rows) ** bands <= minhash.MISS and bands * rows <= 500
+    assert {i: r.component_id for i, r in by_id(minhash.near_duplicates(docs, config)).items()} == components(texts, 1, 20)[0]
+    with pytest.raises(ValueError):
+        minhash.NearConfig(3, 0).shape
+
+
 def test_near_duplicates_of_odd_tables(odd):
     out = minhash.near_duplicates(odd)
     assert [(r.doc_id, r.kept) for r in out.orderBy("doc_id").collect()] == [(None, True), (5, True), (5, True), (6, True)]
