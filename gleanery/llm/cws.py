@@ -74,21 +74,26 @@ def words(text: Column) -> Column:
     return F.split(lowered, r"[ \t-\r]+", -1)
 
 
+#: Numbers that a text's rows can carry along.
+NOTES = 6
+
+
 def fingerprints(terms: DataFrame, keys: list[str], config: SamplingConfig) -> DataFrame:
-    """From ``(keys..., term, w)``, with a null term for texts as such, to ``(keys..., s)``: an array of samples.
+    """From the rows of :func:`weighted_terms` to ``(keys..., s, note1, ...)``.
 
     ``s`` holds, per sample, the least rank, and nulls for the empty set.
     """
     first, second = draws(terms.sparkSession, config)
     mask, bits = F.lit(config.buckets - 1).cast("long"), config.buckets.bit_length() - 1
-    row1, row2 = F.col("term").bitwiseAND(mask).cast("int").alias("row1"), F.shiftrightunsigned("term", bits).bitwiseAND(mask).cast("int").alias("row2")
-    joined = terms.select(*keys, row1, row2, F.ln(F.col("w").cast("double")).alias("log")).join(F.broadcast(first), "row1", "left").join(F.broadcast(second), "row2", "left")
-    columns = []
+    term = F.when(F.col("note") == 0, F.col("term"))
+    row1, row2 = term.bitwiseAND(mask).cast("int").alias("row1"), F.shiftrightunsigned(term, bits).bitwiseAND(mask).cast("int").alias("row2")
+    joined = terms.select(*keys, "note", "term", row1, row2, F.ln(F.col("w").cast("double")).alias("log")).join(F.broadcast(first), "row1", "left").join(F.broadcast(second), "row2", "left")
+    columns = [F.max(F.when(F.col("note") == k, F.col("term"))).alias(f"note{k}") for k in range(1, NOTES + 1)]
     for i in range(config.samples):
         r, b, c = F.get("r", F.lit(i)), F.get("bc", F.lit(2 * i)), F.get("bc", F.lit(2 * i + 1))
         columns.append(F.min(c - r * (F.floor(F.col("log") / r + b) - b + 1)).alias(f"s{i}"))
     mins = joined.groupBy(*keys).agg(*columns)
-    return mins.select(*keys, F.array(*[F.col(f"s{i}") for i in range(config.samples)]).alias("s"))
+    return mins.select(*keys, F.array(*[F.col(f"s{i}") for i in range(config.samples)]).alias("s"), *[f"note{k}" for k in range(1, NOTES + 1)])
 
 
 def likeness(x: str, y: str, samples: int) -> Column:
@@ -102,18 +107,29 @@ def as_text(s: str) -> Column:
     return F.array_join(F.transform(s, lambda v: F.coalesce(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(v), F.lit(65536)))), 4, "0"), F.lit("----"))), "")
 
 
-def weighted_terms(texts: DataFrame, keys: list[str], text: str, config: SamplingConfig) -> DataFrame:
-    """``(keys..., term, w)`` of every text, and a row with a null term."""
-    each = texts.select(*keys, F.explode(F.concat(words(F.col(text)), F.array(F.lit("")))).alias("word"))
-    term = F.when(F.col("word") != "", F.xxhash64("word"))
-    return each.select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("w"))
+def noted(*numbers: Column) -> Column:
+    """Numbers as strings that no word can be, since they begin with a space; nulls are left out."""
+    return F.array_compact(F.array(F.lit(" 0 0"), *[F.concat(F.lit(f" {k} "), n.cast("string")) for k, n in enumerate(numbers, 1)]))
+
+
+def weighted_terms(texts: DataFrame, keys: list[str], text: str, notes: Column) -> DataFrame:
+    """``(keys..., note, term, w)``: each text's terms by hash with their numbers, as note 0, and what :func:`noted` it carries, as terms of other notes.
+
+    What is carried rides along as rows of its own, a few a text, so that the
+    rows of its words stay narrow while they are counted.
+    """
+    each = texts.select(*keys, F.explode(F.concat(words(F.col(text)), notes)).alias("word")).where("word <> ''")
+    carried = F.startswith("word", F.lit(" "))
+    note = F.when(carried, F.when(F.substring("word", 2, 1) == "0", -1).otherwise(F.substring("word", 2, 1).cast("int"))).otherwise(0)
+    term = F.when(carried, F.substring("word", 4, 20).cast("long")).otherwise(F.xxhash64("word"))
+    return each.select(*keys, note.alias("note"), term.alias("term")).groupBy(*keys, "note", "term").agg(F.count("*").alias("w"))
 
 
 def fingerprint_texts(docs: DataFrame, config: SamplingConfig = SamplingConfig()) -> DataFrame:
     """``(doc_id, s, fingerprint)``, for texts on their own; rows that repeat an id must not occur."""
     split = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    terms = weighted_terms(split.repartition("doc_id"), ["doc_id"], "text", config)
-    return fingerprints(terms, ["doc_id"], config).withColumn("fingerprint", as_text("s"))
+    terms = weighted_terms(split.repartition("doc_id"), ["doc_id"], "text", noted())
+    return fingerprints(terms, ["doc_id"], config).select("doc_id", "s", as_text("s").alias("fingerprint"))
 
 
 def _cuts_from(value: Column, cuts: list[int]) -> Column:
@@ -171,17 +187,19 @@ def fingerprint_edits(docs: DataFrame, config: SamplingConfig = SamplingConfig()
     near = neighbours(docs, config, scratch)
     own, change = F.col("text"), F.coalesce(edited(F.col("text"), F.col("next_text")), F.col("text"))
     digest = F.sha2(change, 256)
-    quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"h{k}") for k in range(4)]
-    one = near.select("g", "rn", "ghost", "doc_id", F.char_length("text").cast("long").alias("n_chars"), *quarters, own.alias("text"), change.alias("changed"))
-    two = one.select("g", "rn", "ghost", "doc_id", "n_chars", "h0", "h1", "h2", "h3", F.explode(F.array(F.struct(F.lit(0).alias("role"), "text"), F.struct(F.lit(1).alias("role"), F.col("changed").alias("text")))).alias("v"))
-    two = two.where("not ghost or v.role = 0").select("*", "v.role", "v.text").drop("v")
-    keys = ["g", "rn", "role", "ghost", "doc_id", "n_chars", "h0", "h1", "h2", "h3"]
-    prints = fingerprints(weighted_terms(two, keys, "text", config), keys, config)
-    by_place = Window.partitionBy("g").orderBy("rn", "role")
+    quarters = [F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long") for k in range(4)]
+    # A place in the range: its row number, whether the text is the edited one, and whether the row is a ghost.
+    at = lambda role: (F.col("rn").cast("long") * 4 + 2 * role + F.col("ghost").cast("int")).alias("at")
+    role = lambda k, text, notes: F.struct(at(k), text.alias("text"), notes.alias("notes"))
+    carried = F.when(F.col("ghost"), noted()).otherwise(noted(F.col("doc_id"), F.char_length(own).cast("long"), *quarters))
+    both = near.select("g", "ghost", F.explode(F.array(role(0, own, carried), role(1, change, noted()))).alias("v"))
+    two = both.where("not ghost or v.at % 4 < 2").select("g", "v.at", "v.text", "v.notes")
+    prints = fingerprints(weighted_terms(two, ["g", "at"], "text", F.col("notes")), ["g", "at"], config)
+    by_place = Window.partitionBy("g").orderBy("at")
     # Rows come as (own, edited) pairs by place: the next row is the edited text's, the one after it the next document's.
-    all3 = prints.select(*keys, "s", F.lead("s", 1).over(by_place).alias("e"), F.lead("s", 2).over(by_place).alias("x")).where("role = 0 and not ghost")
-    sha = F.concat(*[F.lpad(F.lower(F.hex(f"h{k}")), 16, "0") for k in range(4)])
-    return all3.select(
-        "doc_id", "n_chars", sha.alias("edited_sha256"), as_text("s").alias("fingerprint"), as_text("e").alias("edited_fingerprint"),
+    kept = prints.select("at", "s", *[f"note{k}" for k in range(1, NOTES + 1)], F.lead("s", 1).over(by_place).alias("e"), F.lead("s", 2).over(by_place).alias("x")).where("at % 4 = 0")
+    sha = F.concat(*[F.lpad(F.lower(F.hex(f"note{k}")), 16, "0") for k in range(3, 7)])
+    return kept.select(
+        F.col("note1").alias("doc_id"), F.col("note2").alias("n_chars"), sha.alias("edited_sha256"), as_text("s").alias("fingerprint"), as_text("e").alias("edited_fingerprint"),
         likeness("s", "e", config.samples).alias("near_edited"), likeness("s", "x", config.samples).alias("near_next"),
     )
