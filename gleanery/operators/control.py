@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.names import PHOTO_TYPES, owner_of, valid_session
+from ..functions.names import PHOTO_TYPES, local_name, owner_of, valid_session
 
 MAX_PHOTOS, MAX_LABELS, MAX_KEPT = 20, 20, 20
 LABEL_TYPES = ("text/plain", "text/xml", "application/json")
@@ -52,6 +53,26 @@ def library(objects: DataFrame, previews: int = 3) -> DataFrame:
     return rows.groupBy("owner", "session").agg(F.count("*").alias("photos"), F.max("modified").alias("saved"), shown.alias("previews"))
 
 
+def newest_first(scans: DataFrame) -> DataFrame:
+    """Kept scans with their ``place`` in the order in which their owner sees them."""
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("saved"), "session")) - 1
+    return scans.withColumn("place", place.cast("long")).orderBy("owner", "place")
+
+
+def photo_keys(objects: DataFrame, owner: str, session: str) -> DataFrame:
+    """``(photo, key)`` of a kept scan's photos, ``<folder>/<number>``; a link to each is made outside."""
+    prefix = f"saved/{owner}/{session}/"
+    parts = F.split(F.col("key").substr(F.lit(len(prefix) + 1), F.char_length("key")), "/")
+    rows = objects.where(F.startswith("key", F.lit(prefix))).select("key", parts.alias("p")).where((F.size("p") == 3) & F.col("p")[0].isin("images", "test"))
+    return rows.groupBy(F.concat_ws("/", F.col("p")[0], F.col("p")[1]).alias("photo")).agg(F.max("key").alias("key"))
+
+
+def scan_manifest(objects: DataFrame, prefix: str, alias: str | None = None) -> DataFrame:
+    """``(key, local)`` of the objects below a prefix that a scan reads, folders' own keys left out, and their flat local names."""
+    mine = objects.where(F.startswith("key", F.lit(prefix)) & ~F.endswith("key", F.lit("/")))
+    return mine.select("key", local_name(F.col("key"), F.lit(prefix), F.lit(alias).cast("string")).alias("local"))
+
+
 def quota(log: DataFrame, daily: int) -> DataFrame:
     """``(day, started, full)``: scans a day from ``(day, session)``, one a session and day."""
     return log.distinct().groupBy("day").agg(F.count("*").alias("started")).withColumn("full", F.col("started") >= daily)

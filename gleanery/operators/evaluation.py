@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import base_name
 from ..functions.vectors import mirrored
 from .pairs import nearest
 
@@ -59,25 +60,105 @@ def gate_grid(scored: DataFrame, inliers: Sequence[int], coverages: Sequence[flo
     return rows.groupBy(F.col("g.i").alias("max_inliers"), F.col("g.c").alias("max_coverage")).agg(F.count("*").alias("reviewed"), F.count_if(~F.col("truth")).alias("false_reviewed"))
 
 
-def index_quartiles(values: DataFrame, column: str) -> DataFrame:
-    """One row: the values at a quarter, a half and three quarters of the sorted order, not interpolated.
+def _upto(values: DataFrame, column: str) -> DataFrame:
+    """``(x, n, upto)``: each value, how many there are in all, and how many up to it.
 
     Ranks come from a histogram's running sums, in two levels, so no task sorts all rows.
     """
-    c = values.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c")).where("x is not null")
+    c = values.groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("c")).where("x is not null")
     part = c.withColumn("p", F.floor(F.col("x") * 16))
     sums = part.groupBy("p").agg(F.sum("c").alias("s"))
     ahead = sums.select("p", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("s").over(Window.partitionBy()).alias("n"))
     upto = F.col("ahead") + F.sum("c").over(Window.partitionBy("p").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = part.join(ahead, "p").select("x", "n", upto.alias("upto"))
+    return part.join(ahead, "p").select("x", "n", upto.alias("upto"))
+
+
+def index_quartiles(values: DataFrame, column: str) -> DataFrame:
+    """One row: the values at a quarter, a half and three quarters of the sorted order, not interpolated."""
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q / 4), F.col("x")))
-    return run.agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    return _upto(values, column).agg(at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
 
 
 def spread(values: DataFrame, column: str) -> DataFrame:
-    """One row: least, median, 99th percentile and greatest."""
-    x = F.col(column)
-    return values.agg(F.min(x).alias("least"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.99).alias("p99"), F.max(x).alias("greatest"))
+    """One row: least, median, 99th percentile (between neighbours in proportion) and greatest."""
+    place = lambda q: (F.col("n") - 1) * q
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    both = {q: (at(F.floor(place(q))), at(F.ceil(place(q))), F.max(place(q) - F.floor(place(q)))) for q in (0.5, 0.99)}
+    between = {q: lo + (hi - lo) * share for q, (lo, hi, share) in both.items()}
+    return _upto(values, column).agg(F.min("x").alias("least"), between[0.5].alias("median"), between[0.99].alias("p99"), F.max("x").alias("greatest"))
+
+
+def greatest(values: DataFrame, column: str, n: int) -> DataFrame:
+    """One row: the ``n`` greatest values, descending."""
+    top = values.select(F.col(column).alias("x")).where("x is not null").orderBy(F.desc("x")).limit(n)
+    return top.agg(F.sort_array(F.collect_list("x"), asc=False).alias("greatest"))
+
+
+def cap_share(counts: DataFrame, cap: int) -> DataFrame:
+    """One row: how many photos of ``(photo, n)`` have more keypoints than a cap lets through, and what share of all they are."""
+    over = F.count_if(F.col("n") > cap)
+    return counts.agg(F.count("*").alias("photos"), over.alias("over"), F.round(over / F.count("*"), 4).alias("share"))
+
+
+def scaled_bar(bar: int, capped: DataFrame, uncapped: DataFrame) -> DataFrame:
+    """One row, ``(ratio, bar)``: a bar set for capped keypoints ``(photo, n)``, scaled by how many more there are uncapped (half to even)."""
+    means = capped.agg(F.avg("n").alias("c")).join(uncapped.agg(F.avg("n").alias("u")))  # one row each
+    return means.select(F.round(F.col("u") / F.col("c"), 4).alias("ratio"), F.bround(bar * F.col("u") / F.col("c"), 0).cast("long").alias("bar"))
+
+
+def cross_split(found: DataFrame, prefix: str = "train__") -> DataFrame:
+    """Pairs ``(a, b, ...)`` of which just one file's name begins as the training split's do."""
+    own = lambda c: F.startswith(base_name(F.col(c)), F.lit(prefix))
+    return found.where(own("a") != own("b"))
+
+
+def sharing_names(found: DataFrame, cards: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of a training and a test page that show a card of one name, from ``cards(split, page, name)``."""
+    named = cards.select("split", "page", F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
+    x, y = (named.where(F.col("split") == s).select(F.col("page").alias(c), "name") for s, c in (("train", "a"), ("val", "b")))
+    return found.join(x, "a").join(y, ["b", "name"]).select("a", "b").distinct()
+
+
+def audit_summary(flagged: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row of ``flagged(a, b, method, same_class)`` and ``tests(id)``: pairs by method, test photos with a match and their share, pairs across classes."""
+    told = flagged.agg(F.count("*").alias("pairs"), F.count_if(F.col("method") == "hash").alias("by_hash"), F.count_if(F.col("method") == "keypoints").alias("by_keypoints"), F.countDistinct("b").alias("matched"), F.count_if(~F.col("same_class")).alias("across"))
+    return told.join(tests.agg(F.countDistinct("id").alias("tests"))).withColumn("share", F.round(F.col("matched") / F.col("tests"), 4))  # one row each
+
+
+def drawn_pairs(left: DataFrame, right: DataFrame, taken: DataFrame, n: int, draws: int, salt: str) -> DataFrame:
+    """``(grp, a, b)``: at most ``n`` pairs of ``(id, grp)`` rows of one group that are not among ``taken(a, b)``.
+
+    Both sides' members are numbered within their group by hash.  A draw picks
+    a group, and a number on each side, by hashes of its own number: equi-joins
+    of as many rows as there are draws.  Pairs drawn twice count once.
+    """
+
+    def numbered(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        w = Window.partitionBy("grp").orderBy(F.md5(F.col("id").cast("string")), "id")
+        rows = df.select("grp", F.col("id").alias(name), (F.row_number().over(w) - 1).alias(f"n{name}"))
+        return rows, rows.groupBy("grp").agg(F.count("*").alias(f"c{name}"))
+
+    (a, ca), (b, cb) = numbered(left, "a"), numbered(right, "b")
+    groups = ca.join(cb, "grp").withColumn("g", F.row_number().over(Window.orderBy("grp")) - 1)  # a row a group
+    total = groups.agg(F.count("*").alias("groups"))
+    h = lambda what: F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(salt), F.lit(what), F.col("k").cast("string"))), 1, 12), 16, 10).cast("long")
+    spark = left.sparkSession
+    picked = spark.range(draws).withColumnRenamed("id", "k").join(F.broadcast(total)).select("k", (h("g") % F.col("groups")).alias("g"), h("a").alias("ha"), h("b").alias("hb"))
+    placed = picked.join(groups, "g").select("k", "grp", (F.col("ha") % F.col("ca")).alias("na"), (F.col("hb") % F.col("cb")).alias("nb"))
+    found = placed.join(a, ["grp", "na"]).join(b, ["grp", "nb"]).groupBy("grp", "a", "b").agg(F.min("k").alias("k"))
+    return found.join(taken.select("a", "b"), ["a", "b"], "left_anti").orderBy("k").limit(n).select("grp", "a", "b")
+
+
+def inlier_table(train: DataFrame, test: DataFrame, features: DataFrame, block: int = 256) -> DataFrame:
+    """``(a, b, inliers, fixed_camera)`` of every training photo with every test photo ``(name)``, block by block: the exhaustive table that bars are calibrated on."""
+    from .verify import verified
+
+    sides = [df.select(F.col("name").alias(c), F.pmod(F.xxhash64("name"), F.lit(max(1, -(-df.count() // block)))).cast("int").alias(f"k{c}")) for df, c in ((train, "a"), (test, "b"))]
+    packs = [df.groupBy(f"k{c}").agg(F.collect_list(c).alias(f"all{c}")) for df, c in zip(sides, "ab", strict=True)]
+    blocks = [int(df.agg(F.max(f"k{c}")).first()[0] or 0) for df, c in zip(sides, "ab", strict=True)]
+    x = packs[0].select("ka", "alla", F.explode(F.sequence(F.lit(0), F.lit(blocks[1]))).alias("kb"))
+    meet = x.join(packs[1], "kb").select(F.explode("alla").alias("a"), "allb").select("a", F.explode("allb").alias("b"))
+    return verified(meet, features).select("a", "b", "inliers", "fixed_camera")
 
 
 def one_nn_accuracy(train: DataFrame, test: DataFrame) -> DataFrame:

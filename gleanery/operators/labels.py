@@ -16,7 +16,7 @@ def parse_yolo(files: DataFrame) -> DataFrame:
 
     A line of 4 or 5 values behind its class is a centre box, an even number of
     6 or more a polygon, whose extent counts; the rest is malformed, as are
-    classes that are no number or negative.
+    classes that are no number or, cut to a whole one, negative.
     """
     lines = files.select("file", F.posexplode(F.split("text", r"\r\n|\n|\r", -1)).alias("at", "line_text"))
     parts = F.filter(F.split(F.btrim("line_text", F.lit(" \t\f\v")), r"\s+", -1), lambda s: s != "")
@@ -27,13 +27,13 @@ def parse_yolo(files: DataFrame) -> DataFrame:
     numbers = ~F.exists("v", lambda x: x.isNull() | F.isnan(x))
     cls = F.element_at("v", 1)
     box, polygon = F.col("n").isin(5, 6), (F.col("n") >= 7) & (F.col("n") % 2 == 1)
-    good = numbers & (cls >= 0) & (box | polygon)
+    good = numbers & (cls > -1) & (box | polygon)
     x, y, w, h = (F.get("v", F.lit(k)) for k in range(1, 5))
     even = F.filter(rest, lambda _, i: i % 2 == 0)
     odd = F.filter(rest, lambda _, i: i % 2 == 1)
     pick = lambda a, b: F.when(~good, F.lit(None)).when(box, a).otherwise(b)
     out = v.select(
-        "file", "line", F.when(good, F.floor(cls)).cast("long").alias("cls"),
+        "file", "line", F.when(good, cls).cast("long").alias("cls"),
         pick(x - w / 2, F.array_min(even)).alias("x1"), pick(y - h / 2, F.array_min(odd)).alias("y1"),
         pick(x + w / 2, F.array_max(even)).alias("x2"), pick(y + h / 2, F.array_max(odd)).alias("y2"),
         (~good).alias("malformed"),

@@ -37,18 +37,19 @@ def hamming_join(left: DataFrame, right: DataFrame | None, radius: int, bits: in
     """``(a, b, distance)`` of all pairs of ``(id, hash)`` rows within ``radius`` bits; exact.
 
     With ``radius + 1`` bands, two hashes that differ in ``radius`` bits at most
-    are equal in a band.  A pair comes up in the first band that it shares only,
-    so no distinct is needed after the join.
+    are equal in a band.  Bands join distinct hashes only, each pair of them in
+    the first band that it shares, so that a hash which many photos have meets
+    its band once; its photos come in by an equi-join on the hash at the end.
     """
-    bands = radius + 1
-    cut = lambda df, n: df.select(F.col("id").alias(n), F.col("hash").alias(f"h{n}"), _bands("hash", bits, bands).alias(f"all{n}")).select(n, f"h{n}", f"all{n}", F.explode(f"all{n}").alias("band"))
-    x, y = cut(left, "a"), cut(left if right is None else right, "b")
-    joined = x.join(y, "band")
-    if right is None:
-        joined = joined.where("a < b")
+    kinds = [df.groupBy("hash").agg(F.count("*").alias("copies")).drop("copies") for df in ([left] if right is None else [left, right])]
+    cut = lambda df, n: df.select(F.col("hash").alias(f"h{n}"), _bands("hash", bits, radius + 1).alias(f"all{n}")).select(f"h{n}", f"all{n}", F.explode(f"all{n}").alias("band"))
+    joined = cut(kinds[0], "a").join(cut(kinds[-1], "b"), "band")
     earlier = F.exists(F.arrays_zip("alla", "allb"), lambda z: (z["alla"] == z["allb"]) & (z["alla"]["band"] < F.col("band.band")))
     distance = hash_distance(F.col("ha"), F.col("hb"))
-    return joined.where((distance <= radius) & ~earlier).select("a", "b", distance.alias("distance"))
+    near = joined.where((distance <= radius) & ~earlier).select("ha", "hb", distance.alias("distance"))
+    x, y = left.select(F.col("hash").alias("ha"), F.col("id").alias("a")), (left if right is None else right).select(F.col("hash").alias("hb"), F.col("id").alias("b"))
+    found = near.join(x, "ha").join(y, "hb").select("a", "b", "distance")
+    return found.where("a < b") if right is None else found
 
 
 def cosine_join(left: DataFrame, right: DataFrame | None, threshold: float, block: int = 512) -> DataFrame:

@@ -19,7 +19,8 @@ from .functions import markers as mk
 from .functions import names as nm
 from .functions import rasters as rs
 from .functions import vectors as vec
-from .operators import bursts, control, evaluation, findings, labels, overlay, pairs, shift, templates
+from .operators import bursts, control, edits, evaluation, findings, labels, overlay, pairs, review, shift, templates
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,7 +197,10 @@ def blurry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = rasters(spark, sf_dir)
+    return edges_of(rasters(spark, sf_dir))
+
+
+def edges_of(r: DataFrame) -> DataFrame:
     quarter = lambda taps: [(dy, dx, w / 4) for dy, dx, w in taps]
     both = r.select("id", (F.col("label") % 2).alias("shape"), rs.stencil(F.col("g"), 8, 8, quarter(rs.SOBEL_X)).alias("gx"), rs.stencil(F.col("g"), 8, 8, quarter(rs.SOBEL_Y)).alias("gy"))
     return both.select("id", "shape", F.posexplode(F.arrays_zip("gx", "gy")).alias("place", "e")).select("id", "shape", "place", "e.gx", "e.gy")
@@ -258,17 +262,18 @@ def shift_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.round(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))), 6).alias("distance"))
 
 
-@register(f"""WITH {_V} s AS ((SELECT id, v, 0 AS t FROM v WHERE label < 7 ORDER BY md5('train#' || id), id LIMIT 60) UNION ALL (SELECT id, v, 1 AS t FROM v WHERE label >= 7 ORDER BY md5('test#' || id), id LIMIT 40)),
+@register(f"""WITH {_V} s AS ((SELECT id, v, 0 AS t FROM v WHERE label < 7 ORDER BY md5('train#' || id), id LIMIT 200) UNION ALL (SELECT id, v, 1 AS t FROM v WHERE label >= 7 ORDER BY md5('test#' || id), id LIMIT 200)),
 cn AS (SELECT count(*) AS n, sum(t) AS m FROM s), d AS (SELECT unnest(range(1, 65)) AS d), tot AS (SELECT d, sum(v[d]) AS total FROM s, d GROUP BY d),
-k AS (SELECT p, id, v, row_number() OVER (PARTITION BY p ORDER BY md5(p || '#' || id), id) AS k FROM s, (SELECT unnest(range(1, 201)) AS p)),
+k AS (SELECT p, id, v, row_number() OVER (PARTITION BY p ORDER BY md5(p || '#' || id), id) AS k FROM s, (SELECT unnest(range(1, 2001)) AS p)),
 ch AS (SELECT p, v FROM k, cn WHERE k <= m UNION ALL SELECT 0 AS p, v FROM s WHERE t = 1),
 g AS (SELECT p, round(sum(pow(x / m - (total - x) / (n - m), 2)), 6) AS gap FROM (SELECT p, d, sum(v[d]) AS x FROM ch, d GROUP BY p, d) JOIN tot USING (d), cn GROUP BY p),
 o AS (SELECT gap AS distance FROM g WHERE p = 0)
-SELECT round(max(distance), 4) AS distance, round((1 + count(*) FILTER (gap >= distance)) / 201.0, 4) AS p_value FROM g, o WHERE p > 0""")
+SELECT round(max(distance), 4) AS distance, round((1 + count(*) FILTER (gap >= distance)) / 2001.0, 4) AS p_value FROM g, o WHERE p > 0""")
 def shift_pvalue_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    train, test = shift.sampled(v.where("label < 7"), 60, "train#"), shift.sampled(v.where("label >= 7"), 40, "test#")
-    return shift.permutation_test(train, test, 200)
+    n = DEFAULT.shift_sample
+    train, test = shift.sampled(v.where("label < 7"), n, "train#"), shift.sampled(v.where("label >= 7"), n, "test#")
+    return shift.permutation_test(train, test, DEFAULT.shift_permutations)
 
 
 @register(f"WITH {_V} m AS (SELECT y.id, max({_COS}) AS closest FROM v x JOIN v y ON x.label < 7 AND y.label >= 7 GROUP BY y.id) SELECT id, round(closest, 3) AS closest FROM m ORDER BY round(closest, 3), id LIMIT 3")
@@ -280,7 +285,7 @@ def shift_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- labels -----------------------------------------------------------------------------------------------------------
 
 _LINE = """CASE WHEN l_linenumber = 7 THEN 'x ' || CAST(l_orderkey % 10 AS VARCHAR) WHEN l_linenumber = 6 THEN CAST(l_partkey % 3 AS VARCHAR) || ' 0.1 0.1 0.4 0.1 0.4 0.5'
-WHEN l_linenumber = 5 THEN '-1 0.5 0.5 0.2 0.2' ELSE CAST(l_partkey % 3 AS VARCHAR) || ' ' || CAST(l_suppkey % 10 / 10 AS VARCHAR) || ' 0.5 ' || CAST(l_partkey % 5 / 10 AS VARCHAR) || ' 0.25' END"""
+WHEN l_linenumber = 5 THEN CASE WHEN l_orderkey % 2 = 0 THEN '-1' ELSE '-0.5' END || ' 0.5 0.5 0.2 0.2' ELSE CAST(l_partkey % 3 AS VARCHAR) || ' ' || CAST(l_suppkey % 10 / 10 AS VARCHAR) || ' 0.5 ' || CAST(l_partkey % 5 / 10 AS VARCHAR) || ' 0.25' END"""
 
 
 def yolo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +298,8 @@ def yolo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _YOLO = f"""ln AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line, {_LINE} AS t FROM lineitem),
 ps AS (SELECT file, line, string_split(t, ' ') AS s FROM ln), vs AS (SELECT file, line, [TRY_CAST(x AS DOUBLE) for x in s] AS v, len(s) AS n FROM ps),
-gd AS (SELECT *, list_count(v) = n AND v[1] >= 0 AND (n IN (5, 6) OR (n >= 7 AND n % 2 = 1)) AS good FROM vs),
-yo AS (SELECT file, line, CASE WHEN good THEN CAST(floor(v[1]) AS BIGINT) END AS cls,
+gd AS (SELECT *, list_count(v) = n AND v[1] > -1 AND (n IN (5, 6) OR (n >= 7 AND n % 2 = 1)) AS good FROM vs),
+yo AS (SELECT file, line, CASE WHEN good THEN CAST(trunc(v[1]) AS BIGINT) END AS cls,
  CASE WHEN good THEN CASE WHEN n <= 6 THEN v[2] - v[4] / 2 ELSE least(v[2], v[4], v[6]) END END AS x1, CASE WHEN good THEN CASE WHEN n <= 6 THEN v[3] - v[5] / 2 ELSE least(v[3], v[5], v[7]) END END AS y1,
  CASE WHEN good THEN CASE WHEN n <= 6 THEN v[2] + v[4] / 2 ELSE greatest(v[2], v[4], v[6]) END END AS x2, CASE WHEN good THEN CASE WHEN n <= 6 THEN v[3] + v[5] / 2 ELSE greatest(v[3], v[5], v[7]) END END AS y2,
  NOT good AS malformed FROM gd),
@@ -432,12 +437,14 @@ def provenance_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- templates --------------------------------------------------------------------------------------------------------
 
-_PAIRS = "pr AS (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings WHERE vec_id % 25 = 0)"
-_REFS = "rf AS (SELECT a, b, e.vec_id AS ref, row_number() OVER (PARTITION BY a, b ORDER BY md5(a || '|' || b || '|' || e.vec_id)) AS r FROM pr JOIN embeddings e ON e.vec_id <> a AND e.vec_id <> b QUALIFY r <= 40)"
+_PAIRS = "pr AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1)"
+_REFS = """pl AS (SELECT vec_id AS ref, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings),
+dr AS (SELECT a, b, k, (CAST('0x' || substr(md5(a || '|' || b), 1, 12) AS BIGINT) + k) % (SELECT max(n) FROM pl) AS place FROM pr, (SELECT unnest(range(42)) AS k)),
+rf AS (SELECT a, b, ref, row_number() OVER (PARTITION BY a, b ORDER BY k) AS r FROM dr JOIN pl USING (place) WHERE ref <> a AND ref <> b QUALIFY r <= 40)"""
 
 
 def _template_pairs(v: DataFrame) -> DataFrame:
-    return v.where("id % 25 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return v.select((F.col("id") - 1).alias("a"), F.col("id").alias("b")).join(v.select(F.col("id").alias("a")), "a", "left_semi")
 
 
 @register(f"WITH {_PAIRS}, {_REFS} SELECT a, b, ref FROM rf")
@@ -456,10 +463,9 @@ def knn_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.ratio_matches(pairs.nearest(v.where("id % 5 = 0"), v.where("id % 5 <> 0"), 2), DEFAULT.ratio)
 
 
-@register(f"WITH {_V} n AS (SELECT x.id AS q, y.id, {_COS} AS s FROM v x JOIN v y ON x.id <> y.id AND x.id % 20 = 0 AND y.id % 20 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(2 - 2 * s, 9), id) AS r FROM n) SELECT q, id, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 3")
+@register(f"WITH {_V} n AS (SELECT x.id AS q, y.id, {_NEAR} AS d FROM v x JOIN v y ON x.id <> y.id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS r FROM n) SELECT q, id, CAST(r AS INTEGER) AS rank FROM r WHERE r <= 3")
 def top3_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = vectors(spark, sf_dir).select("id", "v")
-    return pairs.nearest(v.where("id % 20 = 0"), v.where("id % 20 <> 0"), 3).select("q", "id", "rank")
+    return pairs.other_nearest(vectors(spark, sf_dir).select("id", "v"), 3).select("q", "id", "rank")
 
 
 @register(f"""WITH {_PAIRS}, {_REFS}, m AS (SELECT a, b, k, ref, (a + b + k * 7 + ref * 3) % 11 = 0 AS matched FROM rf, (SELECT unnest(range(30)) AS k)),
@@ -502,11 +508,44 @@ def findings_union_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.capped(_findings(spark, sf_dir)).select("type", "seq", F.array_join("files", ",").alias("files"), "finding", "truncated")
 
 
-@register(f"""WITH {_FINDINGS}, t AS (SELECT * FROM f WHERE type_rank >= 1 ORDER BY type_rank, seq LIMIT 8) SELECT type, seq, matching_keypoints FROM t
-WHERE type IN ('train_test_leak_edited_copy', 'edited_copy') AND (matching_keypoints < 35 OR coverage < 0.25) ORDER BY type <> 'train_test_leak_edited_copy', matching_keypoints, type_rank, seq LIMIT 2""")
+_GATE = """SELECT type, seq, matching_keypoints FROM f WHERE type IN ('train_test_leak_edited_copy', 'edited_copy') AND (matching_keypoints < 35 OR coverage < 0.25) {} ORDER BY type <> 'train_test_leak_edited_copy', matching_keypoints, type_rank, seq LIMIT 2"""
+
+
+@register(f"WITH {_FINDINGS} {_GATE.format('')}")
 def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = _findings(spark, sf_dir).where("type_rank >= 1").orderBy("type_rank", "seq").limit(8)
-    return findings.for_review(shown).select("type", "seq", "matching_keypoints")
+    config = AuditConfig(review_if_at_most=1_000_000_000)
+    return findings.for_review(_findings(spark, sf_dir), config).select("type", "seq", "matching_keypoints")
+
+
+@register(f"WITH {_FINDINGS} {_GATE.format('AND (SELECT count(*) FROM f) <= 8')}")
+def review_gate_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.for_review(_findings(spark, sf_dir)).select("type", "seq", "matching_keypoints")
+
+
+# A rule's reviewer and what it decides, on the capped findings: pairs of one removal target each, but for those under review.
+_SHOWN = f"""WITH {_FINDINGS}, s AS (SELECT * FROM f ORDER BY type_rank, seq LIMIT 30),
+rp AS (SELECT * FROM s WHERE type IN ('train_test_leak_edited_copy', 'edited_copy') AND (matching_keypoints < 35 OR coverage < 0.25) ORDER BY type <> 'train_test_leak_edited_copy', matching_keypoints, type_rank, seq LIMIT 2),
+rv AS (SELECT file, file IN (SELECT CASE WHEN type_rank <= 1 THEN files[1] ELSE files[2] END FROM rp) AS gone FROM (SELECT DISTINCT unnest(files) AS file FROM rp)),
+tg AS (SELECT CASE WHEN type_rank <= 1 THEN files[1] ELSE files[2] END AS file, min(type) AS type FROM s WHERE len(files) = 2 GROUP BY 1)"""
+
+
+@register(f"""{_SHOWN} SELECT file, CASE WHEN gone THEN 'quarantine' ELSE 'keep' END AS action FROM rv UNION ALL SELECT file, 'quarantine' FROM tg WHERE file NOT IN (SELECT file FROM rv)""")
+def rule_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    config = AuditConfig(review_if_at_most=30)
+    return review.decide(_findings(spark, sf_dir), review.RuleReviewer(config), config).select("file", "action")
+
+
+@register("""WITH r AS (SELECT o_orderkey AS seq, 'pair' || (o_custkey % 900) AS pair, CASE o_orderkey % 5 WHEN 0 THEN 'c' WHEN 1 THEN 'b' ELSE 'a' END AS image, o_orderkey % 7 <> 0 AS boxed FROM orders),
+k AS (SELECT *, CAST(substr(pair, 5) AS BIGINT) < 600 AS known FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY pair, known ORDER BY seq) AS nth FROM k)
+SELECT seq, pair, CASE WHEN NOT known THEN 'unknown pair' WHEN nth > 2 THEN 'no zooms left' WHEN image = 'c' OR NOT boxed THEN 'invalid request' END AS error, CASE WHEN known AND nth <= 2 AND image <> 'c' AND boxed THEN 0.3 END AS x2 FROM n""")
+def zoom_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    box = F.when(key % 7 != 0, F.struct(F.lit(0.3).alias("x1"), F.lit(0.9).alias("y1"), F.lit(-2.0).alias("x2"), F.lit(0.1).alias("y2")))
+    image = F.when(key % 5 == 0, "c").when(key % 5 == 1, "b").otherwise("a")
+    asked = o.select(key.alias("seq"), F.concat(F.lit("pair"), (F.col("o_custkey") % 900).cast("string")).alias("pair"), image.alias("image"), box.alias("box"))
+    known = spark.range(600).select(F.concat(F.lit("pair"), F.col("id").cast("string")).alias("pair"))
+    return review.granted_zooms(asked, known).select("seq", "pair", "error", F.round("region.x2", 6).alias("x2"))
 
 
 @register(f"WITH {_FINDINGS} SELECT type, seq, CASE WHEN type_rank <= 1 THEN files[1] ELSE files[2] END AS target FROM f WHERE type_rank < 4")
@@ -739,3 +778,205 @@ SELECT p_partkey, tag <> 1 AS risky, tag IN (5, 6, 7, 8) AS swaps FROM k""")
 def orientation_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = 1 + F.col("p_size") % 8
     return read(spark, sf_dir, "part").select("p_partkey", bx.risky_orientation(tag).alias("risky"), bx.swaps_dimensions(tag).alias("swaps"))
+
+
+# -- edits, perturbations, marks --------------------------------------------------------------------------------------
+
+_CROP = "[v[(1 + (i // 8) * 6 // 8) * 8 + 1 + (i % 8) * 6 // 8 + 1] for i in range(64)]"
+_FLIP = "[{0}[(i // 8) * 8 + (7 - i % 8) + 1] for i in range(64)]"
+_GAIN = "[greatest(least(x * 1.15, 0.4), -0.4) for x in {0}]"
+_JPEG = "[floor((v[(i // 16) * 16 + (i % 8 // 2) * 2 + 1] + v[(i // 16) * 16 + (i % 8 // 2) * 2 + 2] + v[(i // 16) * 16 + (i % 8 // 2) * 2 + 9] + v[(i // 16) * 16 + (i % 8 // 2) * 2 + 10]) / 4 / 0.02 + 0.5) * 0.02 for i in range(64)]"
+_EDITED = f"""k AS (SELECT id, CAST(floor(id / 5) AS BIGINT) % 6 AS k, v, {_CROP} AS w FROM v WHERE id % 5 = 0), w AS (SELECT id, k, v, w, {_FLIP.format('w')} AS u FROM k),
+e AS (SELECT id + 1000000 AS id, id AS origin, ['exact', 'recompressed', 'cropped', 'mirror', 'recoloured', 'composed'][k + 1] AS kind,
+ CASE k WHEN 1 THEN {_JPEG} WHEN 2 THEN w WHEN 3 THEN {_FLIP.format('v')} WHEN 4 THEN {_GAIN.format('v')} WHEN 5 THEN {_GAIN.format('u')} ELSE v END AS v FROM w)"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.plant_rasters(vectors(spark, sf_dir).select("id", "v"), 5, OFFSET, 8, 8, 0.4, 0.02)
+
+
+@register(f"WITH {_V} {_EDITED} SELECT id, origin, kind, round(list_sum([x * i for x, i in v]), 6) AS digest FROM (SELECT id, origin, kind, list_zip(v, range(64)) AS v FROM e)".replace("[x * i for x, i in v]", "[z[1] * z[2] for z in v]"))
+def edited_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.aggregate(F.transform("v", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return _planted(spark, sf_dir).select("id", "origin", "kind", F.round(digest, 6).alias("digest"))
+
+
+@register(f"""WITH {_V} {_EDITED}, f AS (SELECT x.id AS a, y.id AS b FROM v x JOIN e y ON list_cosine_similarity(x.v, y.v) >= 0.8)
+SELECT kind, count(*) AS planted, count(f.a) AS found, round(count(f.a) / count(*), 4) AS recall FROM e LEFT JOIN f ON f.a = origin AND f.b = id GROUP BY kind""")
+def recall_by_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = lambda df: df.select("id", vec.normalized(F.col("v")).alias("v"))
+    planted = _planted(spark, sf_dir)
+    found = pairs.cosine_join(unit(vectors(spark, sf_dir)), unit(planted), DEFAULT.candidate_similarity)
+    return evaluation.recall_by_kind(planted, found)
+
+
+_BYTE = "v2 AS (SELECT id, label, [127.5 + x * 300 for x in v] AS g FROM v)"
+
+
+def byte_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as rasters of about 0..255."""
+    return vectors(spark, sf_dir).select("id", "label", F.transform("v", lambda x: 127.5 + x * 300).alias("g"))
+
+
+@register(f"""WITH {_V} {_BYTE}, p AS (SELECT id, 'darker' AS kind, [pow(greatest(x, 0) / 255, 2.5) * 255 for x in g] AS g FROM v2 UNION ALL SELECT id, 'flat', [127.5 + (x - 127.5) / 2 for x in g] FROM v2 UNION ALL SELECT id, 'coarse', [floor(x / 32 + 0.5) * 32 for x in g] FROM v2)
+SELECT kind, id, round(list_avg(g), 5) AS mean, round(list_var_pop(g), 3) AS spread FROM p""")
+def perturbed_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = byte_rasters(spark, sf_dir)
+    out = None
+    for kind in ("darker", "flat", "coarse"):
+        g = F.transform("g", lambda x: F.greatest(x, F.lit(0.0))) if kind == "darker" else F.col("g")
+        one = r.select(F.lit(kind).alias("kind"), "id", edits.perturbed(g, kind, 8, 8).alias("g"))
+        out = one if out is None else out.union(one)
+    return out.select("kind", "id", F.round(vec.mean(F.col("g")), 5).alias("mean"), F.round(rs.variance(F.col("g")), 3).alias("spread"))
+
+
+@register(f"""WITH {_V} {_PX.replace("v[i + 1] * 1000 AS g", "v[i + 1] * 300 + 127.5 AS g")}, b AS (SELECT id, p, (a[u*8+l+1] + a[u*8+x+1] + a[u*8+r+1] + a[y*8+l+1] + g + a[y*8+r+1] + a[d*8+l+1] + a[d*8+x+1] + a[d*8+r+1]) / 9 AS m FROM rf)
+SELECT id, round(avg(m), 5) AS mean, round(var_pop(m), 3) AS spread FROM b GROUP BY id""")
+def blurred_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = byte_rasters(spark, sf_dir).select("id", edits.perturbed(F.col("g"), "blurred", 8, 8).alias("g"))
+    return r.select("id", F.round(vec.mean(F.col("g")), 5).alias("mean"), F.round(rs.variance(F.col("g")), 3).alias("spread"))
+
+
+# Rasters under a corner mark, but for each fifth one; shapes are even and odd labels.
+_MARKED = _PX.replace("v[i + 1] * 1000 AS g FROM (SELECT id, v, unnest(range(64)) AS i FROM v)", "CASE WHEN id % 5 <> 0 AND i // 8 >= 6 AND i % 8 >= 3 THEN (v[i + 1] * 1000) * 0.2 + 1000 * 0.8 ELSE v[i + 1] * 1000 END AS g FROM (SELECT id, v, unnest(range(64)) AS i FROM sv)")
+_SAMPLE = """sn AS (SELECT id, v, label % 2 AS shape, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY label % 2) AS n FROM v WINDOW w AS (PARTITION BY label % 2 ORDER BY id)),
+sv AS (SELECT DISTINCT id, v, label FROM (SELECT sn.id, sn.v, sn.shape AS label, n, r FROM sn) LEFT JOIN (SELECT unnest(range(200)) AS k) ON n > 200 AND floor(k * (n - 1) / 199) = r WHERE n <= 200 OR k IS NOT NULL)"""
+
+
+@register(f"""WITH RECURSIVE {_V} {_SAMPLE}, {_MARKED}, {_VOTES.replace('JOIN v USING (id)', 'JOIN sv USING (id)')},
+cn AS (SELECT label AS shape, count(*) AS n FROM sv GROUP BY 1), st AS (SELECT vo.* FROM vo JOIN cn USING (shape) WHERE n >= 8 AND agree >= greatest(7, ceil(0.7 * n)) / n - 1e-9),
+pt AS (SELECT shape, place AS root, place FROM st UNION SELECT pt.shape, pt.root, st.place FROM pt JOIN st ON pt.shape = st.shape AND abs(pt.place % 8 - st.place % 8) <= 5 AND abs(pt.place // 8 - st.place // 8) <= 5),
+rt AS (SELECT shape, place, min(root) AS root FROM pt GROUP BY 1, 2), sz AS (SELECT shape, root, count(*) AS c FROM rt GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY shape ORDER BY count(*) DESC, root) = 1),
+pn AS (SELECT st.* FROM st JOIN rt USING (shape, place) JOIN sz USING (shape, root)),
+me AS (SELECT s.shape, s.id, avg(CASE WHEN (CASE WHEN use_x THEN gx ELSE gy END) * sign >= 30 THEN 1.0 ELSE 0.0 END) AS share FROM sh s JOIN pn ON s.shape = pn.shape AND s.p = pn.place GROUP BY 1, 2),
+fi AS (SELECT shape, string_agg(CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS files, count(*) AS c FROM me WHERE share >= 0.7 GROUP BY 1 HAVING count(*) >= 7)
+SELECT files, round(min(place % 8) / 8, 3) AS x1, round(min(place // 8) / 8, 3) AS y1, round((max(place % 8) + 1) / 8, 3) AS x2, round((max(place // 8) + 1) / 8, 3) AS y2, round(avg(agree), 2) AS strength FROM fi JOIN pn USING (shape) GROUP BY shape, files""")
+def overlays_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rasters(spark, sf_dir)
+    marked = r.withColumn("g", F.when(F.col("id") % 5 != 0, edits.stamped(F.col("g"), 8, 8, False, 0.8, 1000.0)).otherwise(F.col("g")))
+    quarter = lambda taps: [(dy, dx, w / 4) for dy, dx, w in taps]
+    flat = marked.select((F.col("label") % 2).alias("shape"), "id", F.lit(8).alias("height"), F.lit(8).alias("width"), rs.stencil(F.col("g"), 8, 8, quarter(rs.SOBEL_X)).alias("gx"), rs.stencil(F.col("g"), 8, 8, quarter(rs.SOBEL_Y)).alias("gy"))
+    found = overlay.find_overlays(flat, AuditConfig(overlay_edge=60.0))
+    return found.select(F.array_join("files", ",").alias("files"), *[F.col("box")[k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], "strength")
+
+
+# -- scoring tables ---------------------------------------------------------------------------------------------------
+
+_FLAGGED = """fl AS (SELECT 'train/' || CASE WHEN o_custkey % 4 = 0 THEN 'n' || (o_custkey % 7) ELSE 'c1' END || '/' || o_orderkey || '.jpg' AS a, 'val/' || CASE WHEN o_custkey % 3 = 0 THEN 'n' || (o_custkey % 7) ELSE 'c1' END || '/' || (o_custkey % 500) || '.jpg' AS b,
+ CASE WHEN o_orderkey % 3 = 0 THEN 'hash' ELSE 'keypoints' END AS method, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 6 ELSE 25 + o_custkey % 90 END AS score FROM orders)"""
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    folder = lambda n: F.when(cust % n == 0, F.concat(F.lit("n"), (cust % 7).cast("string"))).otherwise("c1")
+    rows = o.select(F.concat_ws("/", F.lit("train"), folder(4), F.concat(key.cast("string"), F.lit(".jpg"))).alias("a"), F.concat_ws("/", F.lit("val"), folder(3), F.concat((cust % 500).cast("string"), F.lit(".jpg"))).alias("b"), (key % 3 == 0).alias("h"), cust)
+    return tables.ranked(rows.where("h").select("a", "b", (cust % 6).alias("distance")), rows.where("not h").select("a", "b", (25 + cust % 90).alias("score")))
+
+
+_SAME = "split_part(a, '/', 2) = split_part(b, '/', 2)"
+
+
+@register(f"WITH {_FLAGGED} SELECT CAST(row_number() OVER (ORDER BY method <> 'hash', CASE WHEN method = 'hash' THEN score ELSE -score END, a, b) - 1 AS INTEGER) AS id, a, b, method, score, {_SAME} AS same_class FROM fl")
+def flagged_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged(spark, sf_dir)
+
+
+@register(f"""WITH {_FLAGGED} SELECT count(*) AS pairs, count(*) FILTER (method = 'hash') AS by_hash, count(*) FILTER (method = 'keypoints') AS by_keypoints, count(DISTINCT b) AS matched, count(*) FILTER (NOT {_SAME}) AS across,
+ (SELECT count(DISTINCT c_custkey) FROM customer) AS tests, round(count(DISTINCT b) / (SELECT count(DISTINCT c_custkey) FROM customer), 4) AS share FROM fl""")
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.audit_summary(_flagged(spark, sf_dir), read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
+@register("""WITH c AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'train' ELSE 'val' END AS split, p_partkey % 200 AS page, lower(trim(' ' || p_name || ' ')) AS name FROM part), p AS (SELECT DISTINCT o_orderkey % 200 AS a, o_custkey % 200 AS b FROM orders)
+SELECT a, b FROM p WHERE EXISTS (SELECT 1 FROM c x JOIN c y ON x.name = y.name AND x.split = 'train' AND y.split = 'val' WHERE x.page = p.a AND y.page = p.b AND x.name <> '')""")
+def pages_sharing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("p_partkey") % 2 == 0, "train").otherwise("val")
+    cards = read(spark, sf_dir, "part").select(side.alias("split"), (F.col("p_partkey") % 200).alias("page"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"))
+    found = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 200).alias("a"), (F.col("o_custkey") % 200).alias("b")).distinct()
+    return evaluation.sharing_names(found, cards)
+
+
+@register("""WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'x/train__' ELSE 'x/val__' END || o_orderkey AS a, CASE WHEN o_custkey % 2 = 0 THEN 'train__' ELSE 'train__/val__' END || o_custkey AS b FROM orders)
+SELECT a, b FROM p WHERE starts_with(split_part(a, '/', -1), 'train__') <> starts_with(split_part(b, '/', -1), 'train__')""")
+def cross_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    a = F.concat(F.when(key % 3 == 0, "x/train__").otherwise("x/val__"), key.cast("string"))
+    b = F.concat(F.when(cust % 2 == 0, "train__").otherwise("train__/val__"), cust.cast("string"))
+    return evaluation.cross_split(o.select(a.alias("a"), b.alias("b")))
+
+
+_DRAW = "CAST('0x' || substr(md5('{0}#{1}#' || k), 1, 12) AS BIGINT)"
+
+
+def _drawn_sql(left: str, right: str, taken: str, n: int, draws: int, salt: str) -> str:
+    number = "row_number() OVER (PARTITION BY grp ORDER BY md5(CAST(id AS VARCHAR)), id) - 1 AS n, count(*) OVER (PARTITION BY grp) AS c"
+    h = [_DRAW.format(salt, what) for what in ("g", "a", "b")]
+    return f"""l AS (SELECT grp, id, {number} FROM ({left})), r AS (SELECT grp, id, {number} FROM ({right})),
+g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS g, ca, cb FROM (SELECT DISTINCT grp, c AS ca FROM l) JOIN (SELECT DISTINCT grp, c AS cb FROM r) USING (grp)),
+k AS (SELECT k, {h[0]} % (SELECT count(*) FROM g) AS g, {h[1]} AS ha, {h[2]} AS hb FROM (SELECT unnest(range({draws})) AS k)),
+d AS (SELECT g.grp, l.id AS a, r.id AS b, min(k) AS k FROM k JOIN g USING (g) JOIN l ON l.grp = g.grp AND l.n = ha % ca JOIN r ON r.grp = g.grp AND r.n = hb % cb GROUP BY 1, 2, 3)
+SELECT grp, a, b FROM d WHERE NOT EXISTS (SELECT 1 FROM ({taken}) t WHERE t.a = d.a AND t.b = d.b) ORDER BY k LIMIT {n}"""
+
+
+@register("WITH " + _drawn_sql("SELECT label AS grp, vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0", "SELECT label AS grp, vec_id AS id FROM embeddings WHERE vec_id % 3 = 0", "SELECT vec_id AS a, vec_id + 2 AS b FROM embeddings", 300, 2000, "class"))
+def same_class_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", F.col("label").alias("grp"))
+    return evaluation.drawn_pairs(v.where("id % 3 <> 0"), v.where("id % 3 = 0"), v.select(F.col("id").alias("a"), (F.col("id") + 2).alias("b")), 300, 2000, "class")
+
+
+@register("WITH " + _drawn_sql("SELECT 0 AS grp, vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0", "SELECT 0 AS grp, vec_id AS id FROM embeddings WHERE vec_id % 3 = 0", "SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings UNION ALL SELECT vec_id, vec_id + 2 FROM embeddings", 500, 3000, "any"))
+def unrelated_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", F.lit(0).alias("grp"))
+    key, flags = (v.select(F.col("id").alias("a"), (F.col("id") + n).alias("b")) for n in (1, 2))
+    return evaluation.drawn_pairs(v.where("id % 3 <> 0"), v.where("id % 3 = 0"), key.union(flags), 500, 3000, "any")
+
+
+@register("SELECT count(*) AS photos, count(*) FILTER (p_retailprice > 1000) AS over, round(count(*) FILTER (p_retailprice > 1000) / count(*), 4) AS share FROM part")
+def cap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.cap_share(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("photo"), F.col("p_retailprice").alias("n")), 1000)
+
+
+@register("SELECT round(avg(p_retailprice) / avg(least(p_retailprice, 1000)), 4) AS ratio, CAST(round_even(20 * avg(p_retailprice) / avg(least(p_retailprice, 1000)), 0) AS BIGINT) AS bar FROM part")
+def scaled_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_retailprice").alias("n"))
+    return evaluation.scaled_bar(DEFAULT.least_distinct, p.select(F.least("n", F.lit(1000)).alias("n")), p)
+
+
+@register("SELECT array_to_string(list_reverse_sort(list(x)), ',') AS greatest FROM (SELECT CAST(o_custkey * 3 + o_orderkey % 5 AS BIGINT) AS x FROM orders ORDER BY x DESC LIMIT 5)")
+def greatest_five(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select((F.col("o_custkey") * 3 + F.col("o_orderkey") % 5).cast("long").alias("x"))
+    return evaluation.greatest(o, "x", 5).select(F.array_join(F.transform("greatest", lambda x: x.cast("string")), ",").alias("greatest"))
+
+
+@register(f"""WITH {_V} t AS (SELECT p AS trial, id, v, CASE WHEN r <= 12 THEN 0 ELSE 1 END AS t FROM (SELECT p, id, v, row_number() OVER (PARTITION BY p ORDER BY md5(p || '@' || id), id) AS r FROM v, (SELECT unnest(range(20)) AS p)) WHERE r <= 20),
+z AS (SELECT trial, p, id, v, row_number() OVER (PARTITION BY trial, p ORDER BY md5(p || '#' || id), id) AS k FROM t, (SELECT unnest(range(1, 101)) AS p)),
+ch AS (SELECT trial, p, v FROM z WHERE k <= 8 UNION ALL SELECT trial, 0 AS p, v FROM t WHERE t = 1), dd AS (SELECT unnest(range(1, 65)) AS d), tot AS (SELECT trial, d, sum(v[d]) AS total FROM t, dd GROUP BY 1, 2),
+g AS (SELECT trial, p, round(sum(pow(x / 8 - (total - x) / 12, 2)), 6) AS gap FROM (SELECT trial, p, d, sum(v[d]) AS x FROM ch, dd GROUP BY 1, 2, 3) JOIN tot USING (trial, d) GROUP BY 1, 2),
+pv AS (SELECT g.trial, round((1 + count(*) FILTER (g.gap >= o.gap)) / 101.0, 4) AS p_value FROM g JOIN g o ON g.trial = o.trial AND o.p = 0 AND g.p > 0 GROUP BY 1)
+SELECT count(*) AS trials, count(*) FILTER (p_value <= 0.05) AS flagged, round(count(*) FILTER (p_value <= 0.05) / count(*), 4) AS rate FROM pv""")
+def false_alarm_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    v = vectors(spark, sf_dir).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("trial"))
+    order = Window.partitionBy("trial").orderBy(F.md5(F.concat(F.col("trial").cast("string"), F.lit("@"), F.col("id").cast("string"))), "id")
+    drawn = v.withColumn("r", F.row_number().over(order)).where("r <= 20")
+    return shift.alarm_rates(drawn.select("trial", "id", (F.col("r") > 12).cast("int").alias("t"), "v"), 100, DEFAULT.shift_alpha)
+
+
+@register(f"""WITH {_OBJECTS}, p AS (SELECT key, string_split(substr(key, length('saved/o1/s1/') + 1), '/') AS s FROM ob WHERE starts_with(key, 'saved/o1/s1/')) SELECT s[1] || '/' || s[2] AS photo, max(key) AS key FROM p WHERE len(s) = 3 AND s[1] IN ('images', 'test') GROUP BY 1""")
+def photo_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.photo_keys(_objects(spark, sf_dir), "o1", "s1")
+
+
+@register(f"""WITH {_OBJECTS}, a AS (SELECT CASE WHEN length(key) % 7 = 0 THEN key || '/' ELSE key END AS key FROM ob) SELECT key, replace('uploads/s/' || substr(key, length('saved/o2/') + 1), '/', '__') AS local FROM a WHERE starts_with(key, 'saved/o2/') AND NOT ends_with(key, '/')""")
+def scan_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.when(F.char_length("key") % 7 == 0, F.concat("key", F.lit("/"))).otherwise(F.col("key")).alias("key")
+    return control.scan_manifest(_objects(spark, sf_dir).select(key), "saved/o2/", "uploads/s/")
+
+
+@register(f"""WITH {_OBJECTS}, p AS (SELECT key, modified, string_split(key, '/') AS s FROM ob WHERE starts_with(key, 'saved/o3/')), f AS (SELECT s[3] AS session, max(modified) AS saved FROM p WHERE len(s) = 6 AND s[4] IN ('images', 'test') GROUP BY 1)
+SELECT session, CAST(row_number() OVER (ORDER BY saved DESC, session) - 1 AS BIGINT) AS place FROM f""")
+def library_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.newest_first(control.library(_objects(spark, sf_dir))).where("owner = 'o3'").select("session", "place")
