@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,27 +55,40 @@ class Audit:
         facts = exif.with_exif(files).select("name", "orientation", "camera", "taken_us", ai_marker(text).alias("ai"), stock_marker(text).alias("stock"))
         return raw, self._keep(facts, f"facts-{split}")
 
-    def _similar(self, left: DataFrame, right: DataFrame | None, known: DataFrame, features: DataFrame, name: str) -> DataFrame:
-        near = pairs.cosine_join(left.select(F.col("name").alias("id"), "v"), None if right is None else right.select(F.col("name").alias("id"), "v"), self.config.candidate_similarity)
+    def _near(self, left: DataFrame, right: DataFrame | None, name: str) -> DataFrame:
+        """Pairs whose embeddings are alike enough to look at."""
+        ids = lambda df: None if df is None else df.select(F.col("name").alias("id"), "v")
+        return self._keep(pairs.cosine_join(ids(left), ids(right), self.config.candidate_similarity), f"near-{name}")
+
+    def _hashes(self, left: DataFrame, right: DataFrame | None, name: str) -> DataFrame:
+        """Pairs whose hashes are close."""
+        cut = lambda df: None if df is None else df.select(F.col("name").alias("id"), "hash")
+        return self._keep(pairs.hamming_join(cut(left), cut(right), self.config.hash_distance, bits=256), f"hashes-{name}")
+
+    def _features(self, pixels_of: DataFrame, names: DataFrame, name: str) -> DataFrame:
+        """The features of the photos in ``names(name)``: two detections each, whatever the number of pairs they are in."""
+        return self._keep(verify.feature_table(pixels_of.join(names.distinct(), "name", "left_semi")), name)
+
+    def _similar(self, near: DataFrame, known: DataFrame, features: DataFrame, name: str) -> DataFrame:
         candidates = pairs.minus_pairs(near, known).withColumn("similarity", F.round("similarity", 3))
         return self._keep(verify.verified(candidates, features, self.config).where(F.col("inliers") >= self.config.least_inliers), name)
 
-    def _hashed(self, left: DataFrame, right: DataFrame | None, features: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
+    def _hashed(self, found: DataFrame, features: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
         c = self.config
-        cut = lambda df: df.select(F.col("name").alias("id"), "hash")
-        found = pairs.hamming_join(cut(left), None if right is None else cut(right), c.hash_distance, bits=256)
-        told = verify.verified(found, features, c).select("a", "b", "distance", F.col("inliers").alias("points"), "fixed_camera")
+        told = verify.verified(found, features, c).select("a", "b", F.col("inliers").alias("points"), "fixed_camera")
         va, vb = vectors.toDF("a", "va"), vectors.toDF("b", "vb")
         sims = found.join(va, "a").join(vb, "b").select("a", "b", F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("similarity"))
-        return self._keep(pairs.confirm_hash_pairs(found, sims, told.drop("distance"), c.confirm_similarity, c.confirm_points), name)
+        return self._keep(pairs.confirm_hash_pairs(found, sims, told, c.confirm_similarity, c.confirm_points), name)
 
-    def _split_templates(self, found: DataFrame, photos: DataFrame, features: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    def _split_templates(self, found: DataFrame, photos: DataFrame, pixels_of: DataFrame, features: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         n = photos.count()
         told = found.select("a", "b", "similarity", "inliers", "box_a", "box_b")
         if n < self.config.least_photos_for_templates:
             return told, told.withColumn("distinct", F.lit(0).cast("long")).where(F.lit(False))
-        refs = templates.reference_sample(found, photos, self.config.template_references)
-        seen = verify.seen_in_references(found, refs, features, self.config)
+        refs = self._keep(templates.reference_sample(found, photos, self.config.template_references), f"references-{name}")
+        more = refs.select(F.col("ref").alias("name")).join(features.select("name"), "name", "left_anti")
+        both = features.union(self._features(pixels_of, more, f"reference-features-{name}"))
+        seen = verify.seen_in_references(found, refs, both, self.config)
         distinct = self._keep(templates.distinct_inliers(seen, self.config), f"distinct-{name}")
         return templates.set_aside(told, distinct, n, self.config)
 
@@ -91,23 +105,26 @@ class Audit:
             test_good = test_measures.where("ok")
             pixels_of = pixels_of.union(images.pixels(self.spark, test, "test").where("height > 0"))
             vectors = vectors.union(test_good.select("name", "v"))
-        # Two detections a photo, whatever the number of pairs it is in.
-        features = self._keep(verify.feature_table(pixels_of), "features")
+        splits = {"pairs": (None, "duplicate_pairs", "similar_pairs")} | ({"leaks": (test_good, "leaked_pairs", "similar_leaks")} if test else {})
+        close = {k: self._hashes(good, other, k) for k, (other, _, _) in splits.items()}
+        near = {k: self._near(good, other, k) for k, (other, _, _) in splits.items()}
+        seen = [df.select(F.explode(F.array("a", "b")).alias("name")) for df in (*close.values(), *near.values())]
+        features = self._features(pixels_of, reduce(DataFrame.union, seen), "features")
         readable = facts.join(good.select("name"), "name", "left_semi")
-        result["duplicate_pairs"] = self._hashed(good, None, features, vectors, "duplicate_pairs")
+        result["duplicate_pairs"] = self._hashed(close["pairs"], features, vectors, "duplicate_pairs")
         result["blurry_images"] = good.where(F.col("sharpness") <= c.blur_limit).select("name", "sharpness")
         result["risky_orientation_images"] = readable.where(risky_orientation(F.col("orientation"))).select("name", "orientation", swaps_dimensions(F.col("orientation")).alias("swaps_dimensions"))
-        result["unreadable_images"] = measures.where("not ok").select("name")
+        result["unreadable_images"] = measures.where("not ok").select("name", F.lit("the image cannot be decoded").alias("error"))
         photos = vectors.select(F.col("name").alias("id"))
         aside = []
-        found = self._similar(good, None, result["duplicate_pairs"], features, "similar_pairs")
-        result["similar_pairs"], look = self._advisory("templates", lambda: self._split_templates(found, photos, features, "pairs"), (found.drop("keypoints", "fixed_camera"), None))
-        aside.append((look, "duplicate"))
+        for key, (_, hashed, similar) in splits.items():
+            if hashed not in result:
+                result[hashed] = self._hashed(close[key], features, vectors, hashed)
+            found = self._similar(near[key], result[hashed], features, similar)
+            fallback = (found.drop("keypoints", "fixed_camera"), None)
+            result[similar], look = self._advisory(f"templates of {key}", partial(self._split_templates, found, photos, pixels_of, features, key), fallback)
+            aside.append((look, "leak" if key == "leaks" else "duplicate"))
         if test:
-            result["leaked_pairs"] = self._hashed(good, test_good, features, vectors, "leaked_pairs")
-            leaks = self._similar(good, test_good, result["leaked_pairs"], features, "similar_leaks")
-            result["similar_leaks"], look = self._advisory("leak templates", lambda: self._split_templates(leaks, photos, features, "leaks"), (leaks.drop("keypoints", "fixed_camera"), None))
-            aside.append((look, "leak"))
             ids = lambda df: df.select(F.col("name").alias("id"), "v")
             result["shift"] = self._advisory("shift", lambda: shift.check_shift(ids(good), ids(test_good), c), None)
         empty = self.spark.createDataFrame([], "a string, b string, similarity double, inliers long, box_a array<double>, box_b array<double>, distinct long, kind string")

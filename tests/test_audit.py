@@ -1,5 +1,7 @@
 """Operators on hand-made rows, and the whole scan on drawn photos."""
 
+import datetime
+import json
 import struct
 import zlib
 
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 from gleanery.config import AuditConfig
 from gleanery.functions import boxes as bx
 from gleanery.functions import names as nm
-from gleanery.operators import bursts, findings, labels, overlay, pairs, pixels, shift, templates, verify
+from gleanery.operators import bursts, control, edits, evaluation, findings, labels, overlay, pairs, pixels, review, shift, templates, verify
+from gleanery.plans import decide
 from gleanery.plans.scan import Audit, check_labels
+from gleanery.sources import tables
 from gleanery.sources.exif import read_exif
 
 
@@ -248,6 +252,99 @@ def test_equal_names_in_both_folders(spark, tmp_path):
     assert of("similar_leaks") == [("train/c.png", "test/d.png")] and of("similar_pairs") == []
 
 
+def test_decisions_from_a_scan(spark, folders, tmp_path):
+    """Findings to files: a review by rule, one that fails, a scan that fails, and paths by session or time."""
+    train, test, _ = map(str, folders)
+    root = f"file://{tmp_path}"
+    report = Audit(spark, AuditConfig(shift_permutations=20), work=f"{root}/work").scan(train, test)
+    out = decide.run_session(spark, lambda: report, root, session="s1")
+    assert not out["agent_error"] and not out["truncated"]
+    gone = {r.file for r in out["decisions"].where("action = 'quarantine'").collect()}
+    assert {"train/t3.PNG", "train/t2.PNG"} <= gone and "test/leak.png" not in gone
+    told = json.loads((tmp_path / "results/sessions/s1.json").read_text())
+    assert {"a": "train/t3.PNG", "b": "test/leak.png"}.items() <= told["leaked_pairs"][0].items() and told["decisions"]
+
+    class Broken(review.RuleReviewer):
+        def answers(self, shown, photos):
+            raise RuntimeError("cut off")
+
+    now = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    failed = decide.run_session(spark, lambda: report, root, reviewer=Broken(), now=now)
+    assert failed["agent_error"] and failed["decisions"] is None and failed["leaked_pairs"] is report["leaked_pairs"]
+    assert (tmp_path / "results/20240102T030405Z.json").read_text() == (tmp_path / "results/latest.json").read_text()
+
+    def broken():
+        raise OSError("no photos")
+
+    with pytest.raises(OSError):
+        decide.run_session(spark, broken, root, session="s2")
+    assert json.loads((tmp_path / "results/sessions/s2.json").read_text()) == {"error": "scan failed"}
+
+
+def test_review_of_borderline_pairs(spark):
+    rows = [(1, ["a", "b"], 26), (2, ["c", "b"], 60), (3, ["d", "e"], 24)]
+    copies = spark.createDataFrame(rows, "seq long, files array<string>, matching_keypoints long")
+    leaks = spark.createDataFrame([(1, ["a", "x"], 30)], "seq long, files array<string>, matching_keypoints long")
+    found = findings.findings({"train_test_leak_edited_copy": leaks, "edited_copy": copies})
+    got = {r.file: (r.action, r.verdict, r.disputed) for r in review.decide(found, review.RuleReviewer()).collect()}
+    # The leak and the closest copy are reviewed (two at most); the rest follows the rule.
+    assert got == {"a": ("quarantine", "same", False), "x": ("keep", "same", False), "d": ("keep", "unsure", False), "e": ("quarantine", "unsure", True), "b": ("quarantine", None, False)}
+
+
+def test_inlier_table_is_exhaustive(spark):
+    rasters = {"t1": scene(1), "t2": scene(2), "v1": scene(1)[:, ::-1], "v2": scene(4), "v3": scene(2)}
+    features = verify.feature_table(photos_of(spark, rasters)).cache()
+    side = lambda c: features.where(F.startswith("name", F.lit(c)) & ~F.col("turned")).select("name")
+    got = {(r.a, r.b): r.inliers for r in evaluation.inlier_table(side("t"), side("v"), features, block=1).collect()}
+    assert set(got) == {(a, b) for a in ("t1", "t2") for b in ("v1", "v2", "v3")}
+    assert {k for k, n in got.items() if n >= 25} == {("t1", "v1"), ("t2", "v3")}
+
+
+def test_edits_keep_what_they_should(spark):
+    v = scene(6)[:64, :64]
+    df = spark.createDataFrame([(v.ravel().tolist(),)], "v array<double>")
+    made = df.select(edits.cropped(F.col("v"), 64, 64).alias("crop"), edits.recompressed(F.col("v"), 64, 64, 8.0).alias("jpeg"), edits.stamped(F.col("v"), 64, 64, True, 0.5).alias("tiled")).first()
+    rows = 8 + np.arange(64) * 48 // 64
+    assert (np.array(made.crop).reshape(64, 64) == v[np.ix_(rows, rows)]).all()
+    jpeg = np.array(made.jpeg).reshape(64, 64)
+    assert (jpeg[::2, ::2] == jpeg[1::2, 1::2]).all() and np.abs(jpeg[::2, ::2] - v.reshape(32, 2, 32, 2).mean((1, 3))).max() <= 4
+    mask = np.array(edits.mark(64, 64, True)).reshape(64, 64)
+    assert np.allclose(np.array(made.tiled).reshape(64, 64), np.where(mask, v / 2 + 127.5, v))
+    with pytest.raises(ValueError):
+        edits.perturbed(F.col("v"), "louder", 64, 64)
+
+
+def test_tables_in_and_out(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    (tmp_path / "a.csv").write_text("page,n\nx,1\ny,\n")
+    (tmp_path / "a.json").write_text('[{"id": 1, "s": "x"}, {"id": 2}]')
+    assert [tuple(r) for r in tables.read_csv(spark, f"{root}/a.csv", "page string, n int").orderBy("page").collect()] == [("x", 1), ("y", None)]
+    assert [tuple(r) for r in tables.read_json(spark, f"{root}/a.json", "id int, s string").orderBy("id").collect()] == [(1, "x"), (2, None)]
+    for scan, n in (("s1", 3), ("s2", 5), ("s1", 2)):
+        tables.write_report({"t": spark.range(n)}, f"{root}/report", scan)
+    assert {r.scan: r["count"] for r in spark.read.parquet(f"{root}/report/t").groupBy("scan").count().collect()} == {"s1": 2, "s2": 5}
+    flagged = spark.createDataFrame([("a", "b", 3), ("c", "d", 9)], "a string, b string, inliers int")
+    tables.write_flagged(flagged, f"{root}/flagged")
+    assert [r.inliers for r in spark.read.csv(f"{root}/flagged", header=True).collect()] == ["9", "3"]
+    tables.write_json(flagged, f"{root}/json")
+    assert spark.read.json(f"{root}/json").count() == 2
+
+
+def test_log_and_forget(spark):
+    log = spark.createDataFrame([("d1", "a" * 32)], "day string, session string")
+    asked = spark.createDataFrame([("d1", "a" * 32), ("d2", "a" * 32), ("d2", "a" * 32), ("d2", "bad")], "day string, session string")
+    assert [tuple(r) for r in control.new_log_entries(log, asked).collect()] == [("d2", "a" * 32)]
+    objects = spark.createDataFrame([("saved/o/s/images/0/x.jpg",), ("saved/o/s2/images/0/x.jpg",)], "key string")
+    assert [r.key for r in control.forgotten(objects, "o", "s").collect()] == ["saved/o/s/images/0/x.jpg"]
+
+
+def test_one_hash_that_many_photos_have(spark):
+    """Its photos meet in an equi-join; the band sees the hash once."""
+    rows = [(i, [7, 0, 0, 0]) for i in range(50)] + [(50, [6, 0, 0, 0]), (51, [-1, -1, 0, 0])]
+    found = pairs.hamming_join(spark.createDataFrame(rows, "id long, hash array<long>"), None, 5, bits=256).collect()
+    assert {(r.a, r.b, r.distance) for r in found} == {(i, j, 0) for j in range(50) for i in range(j)} | {(i, 50, 1) for i in range(50)}
+
+
 def test_no_leak_keys_without_a_test_folder(spark, folders):
     found = Audit(spark).scan(str(folders[2]))
     assert not {"leaked_pairs", "similar_leaks", "shift", "label_problems"} & set(found)
