@@ -709,6 +709,111 @@ def test_pipeline_keeps_columns_and_takes_effect(spark, tmp_path):
     assert sorted(docs.columns) == ["decoded_sha256", "doc_id", "ids_sha256", "n_tokens"]
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """Documents as a folder of tables: near copies, secrets, nulls, empty texts, repeated rows, and columns with inner names."""
+    rng = random.Random(12)
+    base = [prose(rng, 90).replace("\n", " ") for _ in range(24)]
+    texts = dict(enumerate(base))
+    for k in range(6):  # near copies of the first text
+        own = base[0].split(" ")
+        for _ in range(k):
+            own[rng.randrange(len(own))] = "other"
+        texts[100 + k] = " ".join(own)
+    texts |= {200: base[5] + ' password = "abc123def" end', 201: base[6] + f" AKIA{'A1' * 9} tail", 202: "junk " * 80, 203: "too few", 204: "", 205: None, 206: base[7] + " " + "long " * 3000}
+    rows = [(i, t, "en", "s", len(t) if t is not None else None, True, 7) for i, t in texts.items()] + [(3, base[3], "en", "s", len(base[3]), True, 7), (None, base[8], "en", "s", len(base[8]), True, 7), (None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, _gone int"
+    at = tmp_path_factory.mktemp("corpus")
+    told = [(i, int(i % 3 != 0), int(i % 11 == 0)) for i in texts if i % 2 == 0] + [(None, 1, 0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(told, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_each_stage_by_brute_force(spark, corpus, library):
+    """Every stage on what the one before it kept, row by row."""
+    import corpus_pipeline
+
+    order = lambda rows: sorted(rows, key=repr)
+    labels = spark.read.parquet(f"{corpus}/labels.parquet")
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").cache()
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "near_copies", "secrets", "mixture"):
+        before, out = docs.collect(), stages[name](spark, docs, corpus).cache()
+        assert out.columns == docs.columns
+        after = out.collect()
+        if name == "quality":
+            verdict = {}
+            for r in quality_llr.quality_rules(docs, labels).collect():
+                verdict.setdefault(r.doc_id, []).append(r.kept)
+            want = [r for r in before if r.doc_id is not None and verdict[r.doc_id][0]] + [r for r in before if r.doc_id is None and r.text and any(verdict[None])]
+            assert 0 < len(after) < len(before) and all(len(words(r.text)) >= 50 for r in after)
+        elif name == "near_copies":
+            parts, _ = components({r.doc_id: r.text for r in before if r.doc_id is not None}, 5, 80)
+            want = [r for r in before if r.doc_id is None or parts[r.doc_id] == r.doc_id]
+            assert len(want) < len(before)
+        elif name == "secrets":
+            plain = {r.doc_id: r for r in before}
+            for r in after:
+                old = plain[r.doc_id].text
+                spans = base_spans(old)
+                assert not base_spans(r.text) and ("[secret]" in r.text) == bool(spans) and r.n_chars == (len(r.text) if spans else plain[r.doc_id].n_chars)
+                assert spans or r.text == old
+            want = after if len(after) == len(before) else None
+        else:
+            rate = {r.doc_id: r.rate for r in mixing.document_rates(docs, labels, corpus_pipeline.MIX).collect()}
+            drawn = {r.doc_id: r.x for r in docs.select("doc_id", mixing.draw("doc_id", corpus_pipeline.MIX.seed).alias("x")).collect()}
+            want = [r for r in before if r.doc_id is None or drawn[r.doc_id] < rate[r.doc_id] or rate[r.doc_id] >= 1]
+        assert order(after) == order(want)
+        docs = out
+    got = stages["tokens"](spark, docs, corpus).collect()
+    ids = [(r.doc_id, library.encode(r.text, add_special_tokens=False).ids, r.text) for r in docs.collect()]
+    want = [(i, len(x), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, x, t in ids]
+    assert order((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == order(want)
+    assert order(tuple(r) for r in corpus_pipeline.run(spark, corpus).collect()) == order(tuple(r) for r in got)
+
+
+def test_the_pipeline_of_an_empty_table(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{corpus}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_posteriors_by_brute_force(spark):
+    """Naive Bayes over hashed words, word by word."""
+    rng = random.Random(13)
+    rows = [(k, " ".join(rng.choice("aa bb cc dd ee ff".split()) for _ in range(rng.randrange(0, 70)))) for k in range(60)]
+    told = [(k, int(k % 3 != 0), int(k % 7 == 0)) for k in range(0, 60, 2)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(told, "doc_id long, quality int, toxic int")
+    config = mixing.MixConfig(buckets=16)
+    got = {r.doc_id: r for r in mixing.document_rates(docs, labels, config).collect()}
+    cell = {r.w: r.c for r in spark.createDataFrame([(w,) for w in "aa bb cc dd ee ff".split()], "w string").select("w", mixing._cell("w", config).alias("c")).collect()}
+    domain = {k: "toxic" if t else "clean" if q else "low" for k, q, t in told}
+    counts = {d: Counter(cell[w] for k, t in rows if domain.get(k) == d for w in t.split()) for d in ("toxic", "clean", "low")}
+    size = Counter(domain.values())
+    for k, t in rows:
+        own = t.split()
+        weight = min(len(own), 40) / max(1, len(own))
+        z = {d: math.log((size[d] + 1) / (len(domain) + 3)) + weight * sum(math.log((c[cell[w]] + 0.5) / (c.total() + 8)) for w in own) for d, c in counts.items()}
+        top = max(z.values())
+        p = {d: math.exp(x - top) for d, x in z.items()}
+        assert all(abs(p[d] / sum(p.values()) - got[k][f"p_{d}"]) < 6e-4 for d in p)
+
+
+def test_one_id_that_many_rows_share(spark, library):
+    """Repeated and null ids spread over shards; every row is there, and the files are in order."""
+    rows = [(5, f"text {k} of one id") for k in range(300)] + [(None, f"none {k}") for k in range(100)] + [(k, f"own {k}") for k in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rangecoder.round_trip(docs, llm.tokenizer_path()).collect()
+    want = Counter((i, zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    placed = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in placed] == [None] * 100 + [5] * 300 + list(range(10, 60))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(placed, placed[1:]))
+
+
 def test_all_are_registered():
     names = list(e.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
