@@ -9,6 +9,8 @@ from dataclasses import dataclass
 class AuditConfig:
     """Thresholds of the checks; pass a changed copy (``dataclasses.replace``) to any operator."""
 
+    # The defaults below equal those that results are compared with.
+
     image_suffixes: tuple[str, ...] = (".png", ".jpg", ".jpeg")
     label_suffixes: tuple[str, ...] = (".txt", ".xml", ".json")
     not_labels: tuple[str, ...] = ("classes.txt", "labels.txt", "obj.names", "readme.txt")

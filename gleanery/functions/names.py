@@ -25,6 +25,7 @@ def trimmed(text: Column) -> Column:
     return F.coalesce(F.btrim(text, F.lit(" \x00")), F.lit(""))
 
 
+# Content types and extensions, and the patterns of names, tokens and sessions below.
 EXTENSIONS = {"image/jpeg": ".jpg", "image/png": ".png", "text/plain": ".txt", "text/xml": ".xml", "application/json": ".json"}
 PHOTO_TYPES = ("image/jpeg", "image/png")
 
