@@ -26,6 +26,7 @@ used.  Other columns are ignored by :func:`document_rates` and passed through by
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -152,6 +153,8 @@ def fit_rates(found: DataFrame, config: MixConfig, scratch: Scratch) -> Column:
         faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         history.append(((pace - 1) / faster, [float(x) for x in np.round(unit * error, 12)]))
         pace = faster
+    else:
+        warnings.warn(f"after {config.steps} steps a domain's total is {np.abs(error).max():.2g} of all tokens away from its target, which the rates' bounds may put out of reach", stacklevel=2)
     return rate_after(history, step, config.most)[0]
 
 
