@@ -24,7 +24,9 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         above = nearer.select(F.col("id").alias("component"), F.col("component").alias("above"))
         step += 1
         new = scratch.put(nearer.join(above, "component").select("id", F.col("above").alias("component"), (F.col("above") != F.col("was")).alias("moved")), f"{name}-{step}")
-        if new.where("moved").isEmpty():
+        done = new.where("moved").isEmpty()
+        for old in (f"{name}-{step - 1}", f"{name}-near", *([f"{name}-both"] if done else [])):
+            scratch.drop(old)
+        if done:
             return new.select("id", "component")
-        scratch.drop(f"{name}-{step - 1}")
         now = new.select("id", "component")

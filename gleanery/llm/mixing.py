@@ -128,11 +128,14 @@ def fit_rates(found: DataFrame, config: MixConfig, scratch: Scratch) -> Column:
     """The rate of a row of ``found``, as an expression over its posterior."""
     n = len(DOMAINS)
     p = [f"p{k}" for k in range(n)]
-    cells = scratch.put(found.groupBy(*p).agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("t")), "cells")
+    # At most half a million rows, however large the corpus: as many as three posteriors in thousandths can be. In one
+    # part, so that a step is one task; written, so that a lost executor's part is read again.
+    cells = scratch.put(found.groupBy(*p).agg(F.sum(F.col("n_tokens") * F.col("copies")).cast("double").alias("t")).repartition(1), "cells").persist()
     gram = [F.sum(F.col("t") * F.col(a) * F.col(b)).alias(f"{a}{b}") for a in p for b in p]
     first = cells.agg(F.sum("t").alias("t"), *[F.sum(F.col("t") * F.col(a)).alias(a) for a in p], *gram).first()  # one row
     total = first.t or 0.0
     if not total:
+        cells.unpersist()
         return F.lit(1.0)
     own = np.array([first[a] for a in p])
     wanted = np.array([config.targets.get(d, 0.0) for d in DOMAINS])
@@ -155,6 +158,7 @@ def fit_rates(found: DataFrame, config: MixConfig, scratch: Scratch) -> Column:
         pace = faster
     else:
         warnings.warn(f"after {config.steps} steps a domain's total is {np.abs(error).max():.2g} of all tokens away from its target, which the rates' bounds may put out of reach", stacklevel=2)
+    cells.unpersist()
     return rate_after(history, step, config.most)[0]
 
 
