@@ -59,12 +59,18 @@ class Scratch:
         atexit.register(self._close)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table.  Spark deletes the shuffle files behind it once the driver finds
+        that nothing holds their plan, so the driver's heap is collected here; otherwise a chain
+        of tables keeps the files of all its links."""
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        _remove(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        """Removes tables; all of them if none is named."""
+        for path in [f"{self.root}/{n}" for n in names] or [self.root]:
+            _remove(self.spark, path)
 
     def _close(self) -> None:
         try:

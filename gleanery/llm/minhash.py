@@ -202,13 +202,17 @@ class _Linker:
 
     def __init__(self, docs: DataFrame, config: NearConfig, scratch: Scratch):
         self.config, self.scratch = config, scratch
-        self.rows = scratch.put(sketches(docs, config), "sketches")
-        own = self.rows.where("n > 0 and doc_id is not null")
-        self.classes = scratch.put(own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-        each = self.classes.select("rep", "n", F.explode("bands").alias("key"))
+        sketched = scratch.put(sketches(docs, config), "sketches")
+        self.rows = scratch.put(sketched.drop("bands"), "rows")
+        own = sketched.where("n > 0 and doc_id is not null")
+        banded = scratch.put(own.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "banded")
+        self.classes = scratch.put(banded.drop("bands"), "classes")
+        scratch.drop("sketches")
+        each = banded.select("rep", "n", F.explode("bands").alias("key"))
         # In a bucket, the least id is the first pivot: mostly the same one in all buckets of a group.
         shared = each.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).where("c > 1").drop("c")
         self.members = scratch.put(each.join(shared, "key"), "members")
+        scratch.drop("banded")
         self.sets = scratch.put(full_sets(docs, self.members.select(F.col("rep").alias("id")).distinct(), config), "sets")
         self.checked: DataFrame | None = None
         self.components: DataFrame | None = None
@@ -317,12 +321,16 @@ class _Linker:
             if not self.other_pivots(f"pivots{k}"):
                 break
         self.the_rest()
+        self.scratch.drop("members", "sets")
         return self.components
 
 
 def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``."""
-    scratch = Scratch(docs.sparkSession)
+    return _near_duplicates(docs, config, Scratch(docs.sparkSession))
+
+
+def _near_duplicates(docs: DataFrame, config: NearConfig, scratch: Scratch) -> DataFrame:
     linker = _Linker(docs, config, scratch)
     components = linker.run().withColumnRenamed("id", "rep")
     named = linker.classes.select("d1", "d2", "n", "rep").join(components, "rep", "left").select("d1", "d2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
@@ -334,5 +342,7 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """The rows of ``docs``, with their columns, but for those that are near copies of a kept one."""
-    gone = near_duplicates(docs, config).where("not kept").select("doc_id")
-    return without_ids(docs, "doc_id", gone, Scratch(docs.sparkSession))
+    working, kept = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    gone = kept.put(_near_duplicates(docs, config, working).where("not kept").select("doc_id"), "dropped")
+    working.drop()
+    return without_ids(docs, "doc_id", gone, kept)
