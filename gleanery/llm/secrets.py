@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import Scratch, fresh
+from ._shared import BROADCAST_IDS, Scratch, fresh
 
 
 @dataclass(frozen=True)
@@ -217,18 +217,31 @@ def masked(text: Column, starts: Column, ends: Column, mask: str) -> Column:
     return let(blocks, lambda cut: let(reach, lambda far: put(cut, far)))
 
 
+def _bits(blob: str) -> Column:
+    """The first 64 bits of an address."""
+    return F.conv(F.substring(blob, 1, 16), 16, -10).cast("long")
+
+
 def redact_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: Sequence[Rule] = RULES, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span, and whole private keys, replaced by ``mask``; ``n_chars``, if there, follows the new text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     ledger = ledger or BlobLedger(spark, f"{scratch.root}/ledger")
     ledger.scan(address(docs).select("blob", "text"), rules)
-    blob, spans = fresh(docs, "_blob"), fresh(docs, "_spans")
+    blob, spans, part = fresh(docs, "_blob"), fresh(docs, "_spans"), fresh(docs, "_part")
     findings = scratch.put(ledger.findings(rules), "findings").toDF(blob, spans)
-    joined = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(findings, blob, "left")
+    addressed = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256))
+    if findings.count() > BROADCAST_IDS:
+        joined = addressed.join(findings, blob, "left")
+    else:
+        # Few blobs have findings: 64 bits of their addresses are broadcast, and only texts that may hold one are shuffled.
+        some = F.broadcast(findings.select(_bits(blob).alias(part)).distinct())
+        keyed = addressed.withColumn(part, _bits(blob))
+        hit, clean = keyed.join(some, part, "left_semi").drop(part), keyed.join(some, part, "left_anti").drop(part)
+        joined = hit.join(findings, blob, "left").select(*docs.columns, spans).union(clean.select(*docs.columns, F.lit(None).cast(T.ArrayType(SPAN)).alias(spans)))
     starts = F.transform(spans, lambda s: s["start"])
-    clean = masked(F.col("text"), starts, F.transform(spans, lambda s: key_end(F.col("text"), s)), mask)
-    out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(clean))
+    masked_text = masked(F.col("text"), starts, F.transform(spans, lambda s: key_end(F.col("text"), s)), mask)
+    out = joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(masked_text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
