@@ -441,8 +441,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, config: CodeConfig = C
     ordered.mapInArrow(run, SEGMENTS).write.mode("overwrite").parquet(path)
 
 
-def read_segments(spark: SparkSession, path: str, config: CodeConfig = CodeConfig()) -> DataFrame:
-    """``(shard, segment, row, doc_id, ids)`` from the files, ids as little-endian unsigned 32-bit integers."""
+def _documents(files: DataFrame, kind: str, values, config: CodeConfig) -> DataFrame:
+    """``(shard, segment, row, doc_id, ...)`` of segments, whose last columns (of the types ``kind``) are ``values`` of some documents' ids."""
     block = config.block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,14 +450,25 @@ def read_segments(spark: SparkSession, path: str, config: CodeConfig = CodeConfi
             for i in range(b.num_rows):
                 shard, segment, names, lengths, blocks = (b.column(k)[i].as_py() for k in range(5))
                 raw = decode_blocks(blocks, sum(lengths), block).tobytes()
-                ends = np.concatenate(([0], np.cumsum(lengths))) * 4
+                ends = (np.concatenate(([0], np.cumsum(lengths))) * 4).tolist()
                 for at in range(0, len(names), 1000):
                     some = range(at, min(at + 1000, len(names)))
-                    columns = [pa.array([shard] * len(some), pa.int32()), pa.array([segment] * len(some), pa.int32()), pa.array(list(some), pa.int32()), pa.array(names[at : at + 1000], pa.int64()), pa.array([raw[ends[j] : ends[j + 1]] for j in some], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "segment", "row", "doc_id", "ids"])
+                    own = values([raw[ends[j] : ends[j + 1]] for j in some])
+                    columns = [pa.array([shard] * len(some), pa.int32()), pa.array([segment] * len(some), pa.int32()), pa.array(list(some), pa.int32()), pa.array(names[at : at + 1000], pa.int64()), *own.values()]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "segment", "row", "doc_id", *own])
+
+    return files.mapInArrow(run, f"shard int, segment int, row int, doc_id long, {kind}")
+
+
+def read_segments(spark: SparkSession, path: str, config: CodeConfig = CodeConfig()) -> DataFrame:
+    """``(shard, segment, row, doc_id, ids)`` from the files, ids as little-endian unsigned 32-bit integers."""
+    return _documents(spark.read.schema(SEGMENTS).parquet(path), "ids binary", lambda ids: {"ids": pa.array(ids, pa.binary())}, config)
+
 
-    files = spark.read.schema(SEGMENTS).parquet(path)
-    return files.mapInArrow(run, "shard int, segment int, row int, doc_id long, ids binary")
+def read_sums(spark: SparkSession, path: str, config: CodeConfig = CodeConfig()) -> DataFrame:
+    """``(shard, segment, row, doc_id, n_tokens, ids_crc32)`` from the files: what is left of the ids that they hold."""
+    sums = lambda ids: {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())}
+    return _documents(spark.read.schema(SEGMENTS).parquet(path), "n_tokens long, ids_crc32 long", sums, config)
 
 
 def document_starts(spark: SparkSession, path: str) -> DataFrame:
@@ -477,7 +488,7 @@ def digests(spark: SparkSession, path: str, config: CodeConfig = CodeConfig()) -
     """The contract's columns, from the files."""
     from pyspark.sql.window import Window
 
-    found = read_segments(spark, path, config).select("shard", "segment", "row", "doc_id", F.crc32("ids").alias("ids_crc32"), (F.length("ids") / 4).cast("long").alias("n_tokens"))
+    found = read_sums(spark, path, config)
     ahead = Window.partitionBy("shard", "segment").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = found.withColumn("inside", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)))
     return placed.join(document_starts(spark, path), ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

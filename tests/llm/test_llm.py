@@ -502,13 +502,16 @@ def test_range_coder_round_trip():
         rangecoder.decode_blocks([blocks[0][:40] + bytes([blocks[0][40] ^ 1]) + blocks[0][41:]], len(alike))
 
 
-def test_token_files(docs, odd, library):
+def test_token_files(spark, docs, odd, library, tmp_path):
     got = by_id(rangecoder.round_trip(docs, llm.tokenizer_path(), rangecoder.CodeConfig(segment=2000)))
     at = 0
     for i, t in TEXT.items():
         ids = [*library.encode(t, add_special_tokens=False).ids, 2]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    rangecoder.write_ids(docs, llm.tokenizer_path(), f"file://{tmp_path}/ids")
+    whole = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rangecoder.read_segments(spark, f"file://{tmp_path}/ids").collect()}
+    assert whole == {i: [*library.encode(t, add_special_tokens=False).ids, 2] for i, t in TEXT.items()}
     assert rangecoder.round_trip(odd, llm.tokenizer_path()).count() == 4
     assert rangecoder.round_trip(docs.limit(0), llm.tokenizer_path()).count() == 0
 
