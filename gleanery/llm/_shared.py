@@ -90,7 +90,7 @@ def append_struct(docs: DataFrame, text: str, name: str, fields: T.StructType, k
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, fields)]))
 
 
-#: The most ids that are broadcast: 16 MB of them.
+#: The most ids that are broadcast: 16 MB of them, some 140 MB as the hash table that a join builds.
 BROADCAST_IDS = 2_000_000
 
 
